@@ -41,6 +41,14 @@ def mismatch(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
     return None
 
 
+TYPE_NAMES = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+def type_differences(got: dict[str, str], relation: duckdb.DuckDBPyConnection) -> list[str]:
+    want = {column[0]: str(column[1]) for column in relation.description}
+    return [f"{n}: {t} / {want.get(n)}" for n, t in got.items() if TYPE_NAMES.get(t) != want.get(n)]
+
+
 def main(sf_dir: str, names: list[str]) -> int:
     spark = build_session(spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
@@ -53,12 +61,11 @@ def main(sf_dir: str, names: list[str]) -> int:
         rows = got.toPandas()
         spent = time.time() - began
         relation = con.execute(ORACLES[name])
+        different = type_differences(types, relation)
         want = relation.fetchdf()
         verdict = mismatch(rows, want)
         failed += verdict is not None
-        print(f"{'ok  ' if verdict is None else 'FAIL'} {name} {len(rows)} rows {spent:.2f}s {'' if verdict is None else verdict[:1500]}")
-        if verdict is not None:
-            print("     ", types, [(d[0], str(d[1])) for d in relation.description])
+        print(f"{'FAIL' if verdict else 'ok  '} {name} {len(rows)} rows {spent:.2f}s", *different, (verdict or "")[:1500])
     print(f"{failed} failed")
     return failed
 

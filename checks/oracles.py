@@ -306,7 +306,7 @@ ORACLES: dict[str, str] = {
         select=f"SELECT file, line_no, CAST(length(line) AS INTEGER) AS n_chars FROM doc_lines WHERE length(line) <= {LINE_LIMIT}",
     ),
     "grep_context": _with(E_LINES, _grep("log_lines", GREP, 3, 3), select="SELECT * FROM found"),
-    "grep_context_down": _with(D_LINES, _grep("doc_lines", "error|not", 0, 1), select="SELECT * FROM found"),
+    "grep_context_down": _with(D_LINES, _grep("doc_lines", "tion[.,]", 0, 1), select="SELECT * FROM found"),
     "grep_groups": _with(
         E_LINES,
         _grep("log_lines", GREP, 2, 0),

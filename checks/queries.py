@@ -79,7 +79,7 @@ def grep_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grep_context_down(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.grep(inputs.document_lines(spark, sf_dir), "error|not", context=1, direction="down")
+    return search.grep(inputs.document_lines(spark, sf_dir), "tion[.,]", context=1, direction="down")
 
 
 def grep_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
