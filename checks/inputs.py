@@ -1,6 +1,6 @@
 """Inputs of the registered queries, all derived from the given tables.
 
-The CASE expressions are shared by Spark and the checking SQL, so that both see the same lines, names and entries;
+The expressions are shared by Spark and the checking SQL, so that both see the same lines, names and entries;
 what is done with them is written twice.
 """
 
@@ -9,45 +9,87 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumberline.runtime import spread
 from lumberline.sources.lines import lines_from_table
 
 FILE = "CAST((event_id - event_id % 512) / 512 AS BIGINT)"
 TID = "(1000 + CAST((event_id - event_id % 8) / 8 AS BIGINT) % 5)"
 
 
-def _head(level: str) -> str:
-    return f"t || '  2000  ' || {TID} || ' {level} ' || "
-
-
-# One log line per event; t is the event time as MM-dd HH:mm:ss.SSS.
-LOG_LINE = f"""CASE
-  WHEN event_id % 32 = 0 THEN {_head('E')}'AndroidRuntime: FATAL EXCEPTION: main'
-  WHEN event_id % 32 = 1 THEN {_head('E')}'AndroidRuntime: Process: com.example.app' || (user_id % 7) || ', PID: ' || (1000 + user_id)
-  WHEN event_id % 32 = 2 THEN {_head('E')}'AndroidRuntime: java.lang.IllegalStateException: bad state ' || event_id
-  WHEN event_id % 32 = 3 THEN {_head('E')}'AndroidRuntime:  at com.example.Main.run(Main.java:' || event_id || ')'
-  WHEN event_id % 32 = 4 THEN {_head('W')}'Net: connection timeout =0x1f' || user_id || ' retry ' || event_id
-  WHEN event_id % 32 = 5 THEN {_head('I')}'Player: open http://example.com/' || event_id
-  WHEN event_id % 32 = 6 AND {FILE} % 5 = 2 THEN 'Hello world, Now in BL33Z'
-  WHEN event_id % 32 = 8 THEN t || ' D/SubtitleService( 2781): #00 pc 000' || (11000 + user_id) || '  /vendor/bin/sub'
-  WHEN event_id % 32 = 9 THEN t || ' D/SubtitleService( 2781): #01 pc 000' || (12000 + user_id) || '  /vendor/bin/sub'
-  WHEN event_id % 32 = 10 THEN t || ' D/Other( 99): #02 pc 000' || (13000 + user_id) || '  /vendor/bin/other'
-  WHEN event_id % 32 = 12 THEN t || ' W/System.err( ' || (1000 + user_id) || '): java.lang.IllegalArgumentException: wake lock'
-  WHEN event_id % 32 = 13 THEN t || ' W/System.err( ' || (1000 + CASE WHEN event_id % 64 = 13 THEN user_id ELSE 0 END) || '):  at android.os.Wake.release(Wake.java:' || (event_id % 97) || ')'
-  WHEN event_id % 32 = 16 THEN {_head('F')}'DEBUG   : *** *** *** *** *** *** *** *** *** *** *** *** *** *** *** ***'
-  WHEN event_id % 32 = 17 THEN {_head('F')}'DEBUG   : pid: ' || (1000 + user_id) || ', tid: ' || (2000 + user_id) || ', name: Binder  >>> /system/bin/svc' || (user_id % 5) || ' <<<'
-  WHEN event_id % 32 = 18 THEN {_head('F')}'DEBUG   : signal 11 (SIGSEGV) fault addr 0x' || event_id
-  WHEN event_id % 32 = 20 THEN t || ' I/tombstoned( ' || (300 + user_id) || '): tombstoned: received crash request'
-  WHEN event_id % 32 = 22 THEN '[  ' || event_id || '.000123] CPU: 0 PID: ' || user_id || ' Comm: worker' || (user_id % 3)
-  WHEN event_id % 32 = 23 AND event_id % 512 < 32 THEN '[  ' || event_id || '.000124] Hardware name: board (DT)'
-  WHEN event_id % 32 = 24 THEN '[  ' || event_id || '.000125] Unable to handle kernel paging request at 0000' || event_id
-  WHEN event_id % 32 = 25 THEN 'ffffff80: ' || event_id || ' ' || event_id
-  WHEN event_id % 32 = 26 THEN '[  ' || event_id || '.000126] Modules linked in: amvideo'
-  WHEN event_id % 32 = 27 AND event_id % 64 = 27 THEN '[  ' || event_id || '.000127] Kernel panic - not syncing'
-  WHEN event_id % 32 = 27 THEN 'plain text'
-  WHEN event_id % 32 = 28 THEN ''
-  WHEN {FILE} % 4 = 1 THEN '[  ' || event_id || '.000999] svc: ' || event_type || ' for user ' || user_id
-  ELSE {_head('I')}'Svc: ' || event_type || ' handled for user ' || user_id || ' id=' || event_id
-END"""
+# Line templates by event_id % 32 (0 to 27), then those that replace one of them in some files or events.
+TEMPLATES = [
+    "{h}E AndroidRuntime: FATAL EXCEPTION: main",
+    "{h}E AndroidRuntime: Process: com.example.app{u7}, PID: {u1000}",
+    "{h}E AndroidRuntime: java.lang.IllegalStateException: bad state {e}",
+    "{h}E AndroidRuntime:  at com.example.Main.run(Main.java:{e})",
+    "{h}W Net: connection timeout =0x1f{u} retry {e}",
+    "{h}I Player: open http://example.com/{e}",
+    "Hello world, Now in BL33Z",
+    "",
+    "{t} D/SubtitleService( 2781): #00 pc 000{u11000}  /vendor/bin/sub",
+    "{t} D/SubtitleService( 2781): #01 pc 000{u12000}  /vendor/bin/sub",
+    "{t} D/Other( 99): #02 pc 000{u13000}  /vendor/bin/other",
+    "",
+    "{t} W/System.err( {u1000}): java.lang.IllegalArgumentException: wake lock",
+    "{t} W/System.err( {u1000}):  at android.os.Wake.release(Wake.java:{e97})",
+    "{t} W/System.err( 1000):  at android.os.Wake.release(Wake.java:{e97})",
+    "",
+    "{h}F DEBUG   : *** *** *** *** *** *** *** *** *** *** *** *** *** *** *** ***",
+    "{h}F DEBUG   : pid: {u1000}, tid: {u2000}, name: Binder  >>> /system/bin/svc{u5} <<<",
+    "{h}F DEBUG   : signal 11 (SIGSEGV) fault addr 0x{e}",
+    "",
+    "{t} I/tombstoned( {u300}): tombstoned: received crash request",
+    "",
+    "[  {e}.000123] CPU: 0 PID: {u} Comm: worker{u3}",
+    "[  {e}.000124] Hardware name: board (DT)",
+    "[  {e}.000125] Unable to handle kernel paging request at 0000{e}",
+    "ffffff80: {e} {e}",
+    "[  {e}.000126] Modules linked in: amvideo",
+    "[  {e}.000127] Kernel panic - not syncing",
+    "plain text",
+    "",
+    "[  {e}.000999] svc: {type} for user {u}",
+    "{h}I Svc: {type} handled for user {u} id={e}",
+]
+PLAIN, BLANK, KERNEL_SVC, SVC, OTHER_FRAME = 28, 29, 30, 31, 14
+TEMPLATE = f"""CASE
+  WHEN event_id % 32 IN (0, 1, 2, 3, 4, 5, 8, 9, 10, 12, 16, 17, 18, 20, 22, 24, 25, 26) THEN event_id % 32
+  WHEN event_id % 32 = 6 AND {FILE} % 5 = 2 THEN 6
+  WHEN event_id % 32 = 13 THEN CASE WHEN event_id % 64 = 13 THEN 13 ELSE {OTHER_FRAME} END
+  WHEN event_id % 32 = 23 AND event_id % 512 < 32 THEN 23
+  WHEN event_id % 32 = 27 THEN CASE WHEN event_id % 64 = 27 THEN 27 ELSE {PLAIN} END
+  WHEN event_id % 32 = 28 THEN {BLANK}
+  WHEN {FILE} % 4 = 1 THEN {KERNEL_SVC}
+  ELSE {SVC} END"""
+
+# What stands for each mark of a template; t is the event time as MM-dd HH:mm:ss.SSS.
+MARKS = {
+    "{h}": f"t || '  2000  ' || {TID} || ' '",
+    "{t}": "t",
+    "{e}": "event_id",
+    "{e97}": "event_id % 97",
+    "{u}": "user_id",
+    "{u3}": "user_id % 3",
+    "{u5}": "user_id % 5",
+    "{u7}": "user_id % 7",
+    "{u300}": "300 + user_id",
+    "{u1000}": "1000 + user_id",
+    "{u2000}": "2000 + user_id",
+    "{u11000}": "11000 + user_id",
+    "{u12000}": "12000 + user_id",
+    "{u13000}": "13000 + user_id",
+    "{type}": "event_type",
+}
+
+
+def log_line(pick: str) -> str:
+    """The line of an event; ``pick`` spells, in the dialect at hand, choosing from an array of literals."""
+    literals = ", ".join(f"'{template}'" for template in TEMPLATES)
+    line = pick.format(literals, f"CAST({TEMPLATE} AS INT) + 1")
+    for mark, value in MARKS.items():
+        line = f"replace({line}, '{mark}', CAST({value} AS STRING))"
+    return line
+
 
 # A pattern per customer: overlapping, case-differing, anchored, blank and invalid ones.
 PATTERN = """CASE
@@ -107,13 +149,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines_from_table(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return lines_from_table(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timed = table(spark, sf_dir, "events").withColumn("t", F.date_format("ts", "MM-dd HH:mm:ss.SSS"))
-    # explode keeps the optimizer from copying the long CASE into every later test of the line
-    return timed.selectExpr(f"{FILE} AS file", "event_id % 512 + 1 AS line_no", f"explode(array({LOG_LINE})) AS line")
+    timed = spread(table(spark, sf_dir, "events")).withColumn("t", F.date_format("ts", "MM-dd HH:mm:ss.SSS"))
+    # explode keeps the optimizer from copying the long expression into every later test of the line
+    line = f"explode(array({log_line('element_at(array({}), {})')})) AS line"
+    return timed.selectExpr(f"{FILE} AS file", "event_id % 512 + 1 AS line_no", line)
 
 
 def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from checks import inputs
 from checks.queries import CLASS_LINKS, GREP, LINE_LIMIT
 from lumberline.functions import text
-from lumberline.functions.heads import BRIEF, BRIEF_NAME, THREADTIME, THREADTIME_NAME
+from lumberline.functions.heads import BRIEF_NAME, THREADTIME_NAME
 
 E_LINES = f"""log_lines AS (
-  SELECT {inputs.FILE} AS file, event_id % 512 + 1 AS line_no, {inputs.LOG_LINE} AS line
+  SELECT {inputs.FILE} AS file, event_id % 512 + 1 AS line_no,
+  {inputs.log_line('list_extract([{}], {})')} AS line
   FROM (SELECT *, strftime(ts, '%m-%d %H:%M:%S.%g') AS t FROM events))"""
 
 D_LINES = r"""doc_parts AS (
@@ -17,6 +18,10 @@ D_LINES = r"""doc_parts AS (
 doc_lines AS (
   SELECT doc_id AS file, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS line FROM doc_parts)"""
 
+THREADTIME = r"^\s*\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d{3}\s+(?:\d+\s+){1,2}(\d+)\s+[A-Z](?:\s|$)"
+BRIEF = r"^\s*\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d{3}\s+[A-Z]/[^:]+\(\s*(\d+)\):"
+LOG_HEAD = r"[0-9-]+\s+[0-9:.]+\s+[0-9]+\s+[0-9]+\s+\w(?:\s|$)"
+NUMBERS = r"=0x[a-fA-F0-9]+|0x[a-fA-F0-9]+|=[a-fA-F0-9]+|\b[a-fA-F0-9]+\b"
 STOP_LIST = "[" + ", ".join(f"'{word}'" for word in text.STOP_WORDS) + "]"
 
 
@@ -38,7 +43,7 @@ def _fold(expr: str) -> str:
 
 
 def _key(line: str) -> str:
-    bare = _replace(_replace(_fold(line), text.LOG_HEAD, ""), text.NUMBERS, "")
+    bare = _replace(_replace(_fold(line), LOG_HEAD, ""), NUMBERS, "")
     words = f"string_split({_replace(bare, '[^a-zA-Z]+', ' ')}, ' ')"
     kept = f"list_filter({words}, lambda w: length(w) > 1 AND NOT list_contains({STOP_LIST}, lower(w)))"
     return f"array_to_string({kept}, ' ')"

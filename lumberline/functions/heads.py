@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lumberline.functions.text import ascii_fold
+from lumberline.functions.text import BLANK
 
 # Line formats and the names given to them.
-THREADTIME = r"^\s*\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d{3}\s+(?:\d+\s+){1,2}(\d+)\s+[A-Z](?:\s|$)"
-BRIEF = r"^\s*\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d{3}\s+[A-Z]/[^:]+\(\s*(\d+)\):"
+DAY_TIME = rf"^{BLANK}*\d{{2}}-\d{{2}}{BLANK}+\d{{2}}:\d{{2}}:\d{{2}}\.\d{{3}}{BLANK}+"
+THREADTIME = rf"{DAY_TIME}(?:\d+{BLANK}+){{1,2}}(\d+){BLANK}+[A-Z](?:{BLANK}|$)"
+BRIEF = rf"{DAY_TIME}[A-Z]/[^:]+\({BLANK}*(\d+)\):"
 THREADTIME_NAME = "Logcat (ThreadTime extended)"
 BRIEF_NAME = "Logcat (Brief/Process)"
 UNKNOWN_NAME = "Unknown"
@@ -21,17 +22,13 @@ def first_group(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def thread_id(line: Column) -> Column:
-    folded = ascii_fold(line)
-    return F.coalesce(first_group(folded, THREADTIME), first_group(folded, BRIEF))
+    return F.coalesce(first_group(line, THREADTIME), first_group(line, BRIEF))
 
 
 def log_info(line: Column) -> Column:
-    folded = ascii_fold(line)
-    extended = first_group(folded, THREADTIME)
-    brief = first_group(folded, BRIEF)
-    kind = (
-        F.when(extended.isNotNull(), THREADTIME_NAME).when(brief.isNotNull(), BRIEF_NAME).otherwise(UNKNOWN_NAME)
-    )
+    extended = first_group(line, THREADTIME)
+    brief = first_group(line, BRIEF)
+    kind = F.when(extended.isNotNull(), THREADTIME_NAME).when(brief.isNotNull(), BRIEF_NAME).otherwise(UNKNOWN_NAME)
     return F.struct(kind.alias("type"), F.coalesce(extended, brief).alias("thread_id"))
 
 
@@ -40,25 +37,25 @@ def origin(name: Column, pid: Column) -> Column:
 
 
 def runtime_origin(line: Column) -> Column:
-    pattern = r"Process:\s+(.+?),\s+PID:\s+(\d+)"
+    pattern = rf"Process:{BLANK}+([^\n]+?),{BLANK}+PID:{BLANK}+(\d+)"
     pid = first_group(line, pattern, 2)
     return F.when(pid.isNotNull(), origin(first_group(line, pattern, 1), pid))
 
 
 def tag_origin(line: Column, tag_chars: str = "A-Za-z0-9_") -> Column:
-    pattern = rf"([{tag_chars}]+)\(\s*(\d+)\):"
+    pattern = rf"([{tag_chars}]+)\({BLANK}*(\d+)\):"
     pid = first_group(line, pattern, 2)
     return F.when(pid.isNotNull(), origin(first_group(line, pattern, 1), pid))
 
 
 def dump_origin(line: Column) -> Column:
-    pid = first_group(line, r"pid:\s*(\d+),\s*tid:\s*(\d+),")
-    return F.when(pid.isNotNull(), origin(first_group(line, r">>>\s+(.+?)\s+<<<"), pid))
+    pid = first_group(line, rf"pid:{BLANK}*(\d+),{BLANK}*tid:{BLANK}*(\d+),")
+    return F.when(pid.isNotNull(), origin(first_group(line, rf">>>{BLANK}+([^\n]+?){BLANK}+<<<"), pid))
 
 
 def tombstone_origin(line: Column) -> Column:
     denied = origin(first_group(line, 'comm="([^"]+)"'), first_group(line, r"pid=(\d+)"))
-    plain = origin(F.lit(None).cast("string"), first_group(line, r"\(\s*(\d+)\):"))
+    plain = origin(F.lit(None).cast("string"), first_group(line, rf"\({BLANK}*(\d+)\):"))
     return F.when(line.contains("avc: denied"), denied).otherwise(plain)
 
 

@@ -1,4 +1,4 @@
-"""Line-level text functions: folding, the two dedup keys, stripping, rendering, URL and keyword tests."""
+"""Line-level text functions: the two dedup keys, stripping, rendering, URL and keyword tests."""
 
 from __future__ import annotations
 
@@ -22,9 +22,13 @@ ERROR_STEMS = (
     "timeout permission"
 ).split()
 
-# Patterns that give equal keys.
-LOG_HEAD = r"[0-9-]+\s+[0-9:.]+\s+[0-9]+\s+[0-9]+\s+\w(?:\s|$)"
-NUMBERS = r"=0x[a-fA-F0-9]+|0x[a-fA-F0-9]+|=[a-fA-F0-9]+|\b[a-fA-F0-9]+\b"
+# Blanks and word characters as Python's Unicode regexes see them, for the JVM's regex engine.
+BLANK = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+WORD = r"[\p{L}\p{N}_]"
+
+# What is cut from a line before its words are taken.
+LOG_HEAD = rf"[0-9-]+{BLANK}+[0-9:.]+{BLANK}+[0-9]+{BLANK}+[0-9]+{BLANK}+{WORD}(?:{BLANK}|$)"
+NUMBERS = rf"=0x[a-fA-F0-9]+|0x[a-fA-F0-9]+|=[a-fA-F0-9]+|(?<!{WORD})[a-fA-F0-9]++(?!{WORD})"
 URL_SCHEMES = ("http://", "rtsp://", "https://")
 
 # Every character Python calls a blank; Spark's own trim knows only the space.
@@ -38,44 +42,26 @@ LINE_END = r"\r\n|\r|\n"
 MAX_LINE_CHARS = 100_000
 
 
-def ascii_fold(text: Column) -> Column:
-    """Map a line to ASCII so that plain regexes see the word and blank boundaries Python's Unicode regexes see.
-
-    Non-ASCII letters and digits become ``_``, blanks become a space, the rest becomes ``#``. Lines that are
-    ASCII already skip the regexes.
-    """
-    controls = F.translate(text, "\x0b\x1c\x1d\x1e\x1f", "     ")
-    folded = F.regexp_replace(text, r"[^\x00-\x7F\P{L}]", "_")
-    folded = F.regexp_replace(folded, r"[^\x00-\x7F\P{N}]", "_")
-    folded = F.regexp_replace(folded, r"[\x{85}[^\x00-\x7F\P{Z}]]", " ")
-    folded = F.translate(folded, "\x0b\x1c\x1d\x1e\x1f", "     ")
-    folded = F.regexp_replace(folded, r"[^\x00-\x7F]", "#")
-    return F.when(F.octet_length(text) == F.length(text), controls).otherwise(folded)
-
-
 def strip_blanks(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
 def meaningful_words(text: Column) -> Column:
     """Letter runs of two or more that are no stop words, joined by one space, case kept."""
-    words = F.split(F.regexp_replace(text, "[^a-zA-Z]+", " "), " ")
+    words = F.split(text, "[^a-zA-Z]+")
     kept = F.filter(words, lambda w: (F.length(w) > 1) & ~F.lower(w).isin(STOP_WORDS))
     return F.array_join(kept, " ")
 
 
 def cleaned_key(line: Column) -> Column:
     """The key two lines share when they differ only in head, numbers, symbols and stop words."""
-    text = F.regexp_replace(ascii_fold(line), LOG_HEAD, "")
-    return meaningful_words(F.regexp_replace(text, NUMBERS, ""))
+    return meaningful_words(F.regexp_replace(F.regexp_replace(line, LOG_HEAD, ""), NUMBERS, ""))
 
 
 def normalized_line(line: Column) -> Column:
     """A lighter key: hex addresses, numbers and symbols out, blanks collapsed."""
-    text = F.regexp_replace(ascii_fold(line), "0x[0-9a-fA-F]+", "")
-    text = F.regexp_replace(text, r"\b[0-9]+\b", "")
-    text = F.regexp_replace(text, r"[^a-zA-Z\s]", "")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    text = F.regexp_replace(line, r"0x[0-9a-fA-F]+|[^a-zA-Z\s\x0b\x1c-\x1f\x85\p{Z}]", "")
+    return F.trim(F.regexp_replace(text, f"{BLANK}+", " "))
 
 
 def has_url(line: Column) -> Column:

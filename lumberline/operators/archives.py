@@ -18,18 +18,21 @@ def test_result_archives(entries: DataFrame) -> DataFrame:
     """Archives with a directory that holds every required file and directory: ``(archive, is_test_result)``."""
     path = F.lower(F.replace("entry", F.lit("\\"), F.lit("/")))
     bare = F.btrim(path, F.lit("/"))
+    leaf = base_name(bare)
+    name = F.concat(leaf, F.when(path.endswith("/"), "/").otherwise(""))
+    required = [*RESULT_FILES, *RESULT_DIRS]
     placed = entries.select(
         "archive",
-        F.length(F.regexp_replace(path, "[^/]", "")).alias("slashes"),
-        F.when(bare.contains("/"), F.regexp_replace(bare, "/[^/]*$", "")).otherwise("").alias("parent"),
-        F.concat(base_name(bare), F.when(path.endswith("/"), "/").otherwise("")).alias("name"),
+        F.substr(bare, F.lit(1), F.length(bare) - F.length(leaf)).alias("parent"),
+        F.when(F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit(""))) <= RESULT_DEPTH, name).alias("name"),
     )
-    required = [*RESULT_FILES, *RESULT_DIRS]
-    wanted = F.when((F.col("slashes") <= RESULT_DEPTH) & F.col("name").isin(required), F.col("name"))
     held = placed.groupBy("archive", "parent").agg(
-        F.size(F.array_except(F.array(*map(F.lit, required)), F.collect_set(wanted))).alias("missing")
+        *[F.max(F.col("name").eqNullSafe(one)).alias(f"has_{number}") for number, one in enumerate(required)]
     )
-    return held.groupBy("archive").agg(F.bool_or(F.col("missing") == 0).alias("is_test_result"))
+    complete = F.lit(True)
+    for number in range(len(required)):
+        complete = complete & F.col(f"has_{number}")
+    return held.groupBy("archive").agg(F.bool_or(complete).alias("is_test_result"))
 
 
 def bugreport_archives(entries: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from lumberline.functions.heads import (
     thread_id,
     tombstone_origin,
 )
+from lumberline.functions.text import BLANK
 from lumberline.operators.blocks import capture_blocks, joined_text, lines_in_ranges
 from lumberline.runtime import CELL_LINES, cell_of, materialize
 
@@ -23,10 +24,10 @@ DEFAULT_DETECTORS = (DEBUG, RUNTIME, NATIVE, KEYWORDS, PANIC)
 
 # Marks of the detectors.
 DUMP_RULER = " ".join(["***"] * 16)
-NATIVE_FRAME = r"#\d{2}\s+pc\s+[0-9a-fA-F]+"
-NATIVE_FIRST_FRAME = r"#00\s+pc\s+[0-9a-fA-F]+"
+NATIVE_FRAME = rf"#\d{{2}}{BLANK}+pc{BLANK}+[0-9a-fA-F]"
+NATIVE_FIRST_FRAME = rf"#00{BLANK}+pc{BLANK}+[0-9a-fA-F]"
 JAVA_EXCEPTION = r"java\.lang\.[a-zA-Z0-9_$]+Exception"
-JAVA_FRAME = r"\s+at\s+[a-zA-Z0-9_$.]+\("
+JAVA_FRAME = rf"{BLANK}at{BLANK}+[a-zA-Z0-9_$.]+\("
 TOMBSTONE_WORDS = ("tombstoned:", "/system/bin/tombstoned")
 LOOK_BACK = 200  # lines searched for the hardware name, the panic line included
 TAIL = 6  # lines kept after the panic line

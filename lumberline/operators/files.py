@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumberline.functions.text import ascii_fold, strip_blanks
+from lumberline.functions.text import BLANK, strip_blanks
 
 # What the lines of each class look like.
-KERNEL_TIME = r"\[\s*\d+\.\d+(?:@\d+)?\]"
-LOGCAT_HEAD = r"^\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+\s+(\d+\s+\d+\s+)?[VDIWEF]"
+KERNEL_TIME = rf"\[{BLANK}*\d+\.\d+(?:@\d+)?\]"
+LOGCAT_HEAD = rf"^\d{{2}}-\d{{2}}{BLANK}+\d{{2}}:\d{{2}}:\d{{2}}\.\d+{BLANK}+(\d+{BLANK}+\d+{BLANK}+)?[VDIWEF]"
 BOOT_BANNER = "Hello world, Now in BL33Z"
 
 
@@ -18,7 +18,7 @@ def detect_file_types(lines: DataFrame, threshold: int = 20) -> DataFrame:
 
     Each task keeps the first few lines of each kind before the shuffle, so a huge file sends no more than a small one.
     """
-    text = ascii_fold(strip_blanks(F.col("line")))
+    text = strip_blanks(F.col("line"))
     kind = (
         F.when(text.rlike(KERNEL_TIME), "kernel")
         .when(text.rlike(LOGCAT_HEAD), "logcat")

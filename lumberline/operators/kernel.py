@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumberline.functions.text import BLANK
 from lumberline.operators.blocks import joined_text, lines_in_ranges, segment_ranges
 from lumberline.runtime import CELL_LINES, materialize
 
 # Line patterns of an oops report.
 OOPS_START = r"(?i)Kernel panic|Internal error|Unable to handle kernel paging request|Oops:"
 OOPS_END = r"(?i)Modules linked in:|---\[ end trace"
-HEX_DUMP = r"^\s*([0-9a-fA-F]{8}|[0-9a-fA-F]{16})[: ]"
+HEX_DUMP = rf"^{BLANK}*([0-9a-fA-F]{{8}}|[0-9a-fA-F]{{16}})[: ]"
 
 # A block's text is put together from at most this many lines; a longer block makes further rows, part 1, 2, ….
 BLOCK_SPAN = 1 << 22
