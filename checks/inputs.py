@@ -149,11 +149,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines_from_table(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
+    return lines_from_table(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text")
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timed = spread(table(spark, sf_dir, "events")).withColumn("t", F.date_format("ts", "MM-dd HH:mm:ss.SSS"))
+    timed = spread(table(spark, sf_dir, "events"), "event_id").withColumn("t", F.date_format("ts", "MM-dd HH:mm:ss.SSS"))
     # explode keeps the optimizer from copying the long expression into every later test of the line
     line = f"explode(array({log_line('element_at(array({}), {})')})) AS line"
     return timed.selectExpr(f"{FILE} AS file", "event_id % 512 + 1 AS line_no", line)
@@ -173,7 +173,7 @@ def module_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    return spread(table(spark, sf_dir, "lineitem"), "l_suppkey").selectExpr(
         f"{ARCHIVE} AS archive", f"{ENTRY_POS} AS pos", f"{ENTRY} AS entry"
     )
 

@@ -27,7 +27,10 @@ BLANK = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
 
 # What is cut from a line before its words are taken.
-LOG_HEAD = rf"[0-9-]+{BLANK}+[0-9:.]+{BLANK}+[0-9]+{BLANK}+[0-9]+{BLANK}+{WORD}(?:{BLANK}|$)"
+# The look-behind and the possessive runs keep long digit runs from being tried from every position.
+LOG_HEAD = (
+    rf"(?<![0-9-])[0-9-]++{BLANK}++[0-9:.]++{BLANK}++[0-9]++{BLANK}++[0-9]++{BLANK}++{WORD}(?:{BLANK}|$)"
+)
 NUMBERS = rf"=0x[a-fA-F0-9]+|0x[a-fA-F0-9]+|=[a-fA-F0-9]+|(?<!{WORD})[a-fA-F0-9]++(?!{WORD})"
 URL_SCHEMES = ("http://", "rtsp://", "https://")
 
@@ -38,7 +41,6 @@ BLANKS = (
     + "\u1680\u2028\u2029\u202f\u205f\u3000"
 )
 
-LINE_END = r"\r\n|\r|\n"
 MAX_LINE_CHARS = 100_000
 
 

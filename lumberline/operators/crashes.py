@@ -119,7 +119,7 @@ def block_crashes(candidates: DataFrame, detectors: tuple[str, ...], width: int,
         )
         first_origin = F.when((F.col("detector") == name) & allowed, found.origin).otherwise(first_origin)
     told = captured.withColumn("origin", first_origin).withColumn(
-        "trace_part", F.floor((F.col("line_no") - F.col("start_line")) / trace_span).cast("int")
+        "trace_part", cell_of(F.col("line_no") - F.col("start_line"), trace_span).cast("int")
     )
     origin_at = F.when(F.col("origin").isNotNull(), F.struct("line_no", "origin"))
     return (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumberline.functions.text import BLANK
 from lumberline.operators.blocks import joined_text, lines_in_ranges, segment_ranges
-from lumberline.runtime import CELL_LINES, materialize
+from lumberline.runtime import CELL_LINES, cell_of, materialize
 
 # Line patterns of an oops report.
 OOPS_START = r"(?i)Kernel panic|Internal error|Unable to handle kernel paging request|Oops:"
@@ -32,7 +32,7 @@ def kernel_ranges(lines: DataFrame, width: int = CELL_LINES) -> DataFrame:
 def kernel_blocks(lines: DataFrame, width: int = CELL_LINES, block_span: int = BLOCK_SPAN) -> DataFrame:
     """``(file, start_line, end_line, part, block)``; hex-dump lines are left out of the text."""
     inside = lines_in_ranges(lines, materialize(kernel_ranges(lines, width)))
-    part = F.floor((F.col("line_no") - F.col("start_line")) / block_span).cast("int")
+    part = cell_of(F.col("line_no") - F.col("start_line"), block_span).cast("int")
     return (
         inside.where(~F.col("line").rlike(HEX_DUMP))
         .groupBy("file", "start_line", "end_line", part.alias("part"))

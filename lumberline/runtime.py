@@ -71,11 +71,12 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if measured_bytes(df) <= limit else df
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
     """Deal the rows of an input that has fewer splits than there are cores; a large input is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def cell_of(line_no: Column, width: int) -> Column:
-    return F.floor(line_no / F.lit(width)).cast("bigint")
+    """The cell of ``width`` consecutive lines a line is in."""
+    return F.call_function("div", line_no, F.lit(width).cast("bigint"))

@@ -6,7 +6,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumberline.functions.text import LINE_END
 from lumberline.runtime import broadcast_if_small, materialize
 
 BOM_HEAD_BYTES = 16384  # enough for 4096 characters of UTF-8
@@ -15,8 +14,9 @@ BOM_HEAD_CHARS = 4096
 
 def split_lines(text: Column) -> Column:
     """Lines of a text: LF, CRLF and CR end a line, and a final line end opens no further line."""
-    parts = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    unified = F.when(text.contains("\r"), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
+    ended = F.when(unified.endswith("\n"), F.substr(unified, F.lit(1), F.length(unified) - 1)).otherwise(unified)
+    return F.when(text != "", F.split(ended, "\n", -1)).otherwise(F.array().cast("array<string>"))
 
 
 def lines_from_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
