@@ -9,8 +9,9 @@ from lumberline.functions.text import cleaned_key, has_url
 
 
 def with_key(lines: DataFrame) -> DataFrame:
-    """Lines without URLs, with their key."""
-    return lines.where(~has_url(F.col("line"))).withColumn("cleaned_log", cleaned_key(F.col("line")))
+    """Lines without URLs, with their key; the key is declared not NULL, or joins on it would test it twice."""
+    key = F.coalesce(cleaned_key(F.col("line")), F.lit(""))
+    return lines.where(~has_url(F.col("line"))).withColumn("cleaned_log", key)
 
 
 def clean(lines: DataFrame, known_duplicates: DataFrame | None = None) -> DataFrame:

@@ -56,10 +56,18 @@ def block_detectors() -> dict[str, BlockDetector]:
             line.rlike("(?i)fatal exception"), line.contains("AndroidRuntime"), runtime_origin(line), False, True
         ),
         NATIVE: BlockDetector(
-            line.rlike(NATIVE_FIRST_FRAME), line.rlike(NATIVE_FRAME), tag_origin(line), True, False
+            line.contains("#00") & line.rlike(NATIVE_FIRST_FRAME),
+            line.contains("#") & line.rlike(NATIVE_FRAME),
+            tag_origin(line),
+            True,
+            False,
         ),
         JAVA: BlockDetector(
-            line.rlike(JAVA_EXCEPTION), line.rlike(JAVA_FRAME), tag_origin(line, "A-Za-z0-9_./"), True, False
+            line.contains("java.lang.") & line.rlike(JAVA_EXCEPTION),
+            line.contains("at") & line.rlike(JAVA_FRAME),
+            tag_origin(line, "A-Za-z0-9_./"),
+            True,
+            False,
         ),
     }
 

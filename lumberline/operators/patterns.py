@@ -121,18 +121,22 @@ def _matcher(patterns: list[str], limit: int, any_case: bool):
     return match
 
 
+def _literal_matches(text: Column, patterns: list[str], limit: int, flags: str) -> Column:
+    """The first ``limit`` patterns found in ``text``, which is computed once per row."""
+
+    def found(value: Column) -> Column:
+        hits = [F.when(value.rlike(flags + p), F.lit(p)) for p in patterns]
+        if limit == 1:
+            return F.filter(F.array(F.coalesce(*hits)), lambda p: p.isNotNull())
+        return F.slice(F.filter(F.array(*hits), lambda p: p.isNotNull()), 1, limit)
+
+    return F.transform(F.array(text), found)[0] if patterns else F.array().cast("array<string>")
+
+
 def _with_matches(lines: DataFrame, patterns: DataFrame, text: Column, limit: int, flags: str) -> DataFrame:
     first = next(_slices(patterns, LITERAL_PATTERNS + 1), [])
     if len(first) <= LITERAL_PATTERNS and _in_jvm(lines, first, flags):
-        hits = [F.when(text.rlike(flags + p), F.lit(p)) for p in first]
-        if not hits:
-            found = F.array().cast("array<string>")
-        elif limit == 1:
-            one = F.coalesce(*hits)
-            found = F.when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>"))
-        else:
-            found = F.slice(F.filter(F.array(*hits), lambda p: p.isNotNull()), 1, limit)
-        return lines.withColumn("_found", found)
+        return lines.withColumn("_found", _literal_matches(text, first, limit, flags))
     return _python_matches(lines, _slices(patterns, SLICE_PATTERNS), text, limit, flags == CASE_FREE)
 
 
@@ -141,10 +145,14 @@ def filter_lines(cleaned: DataFrame, patterns: DataFrame) -> DataFrame:
     rendered = render_line(F.col("line_no"), F.col("raw_log"))
     first = next(_slices(patterns, LITERAL_PATTERNS + 1), [])
     if first and len(first) <= LITERAL_PATTERNS and _in_jvm(cleaned, first, CASE_BOUND):
-        matches = rendered.rlike(CASE_BOUND + first[0])
-        for pattern in first[1:]:
-            matches = matches | rendered.rlike(CASE_BOUND + pattern)
-        kept = cleaned.where(matches)
+
+        def matched(value: Column) -> Column:
+            found = value.rlike(CASE_BOUND + first[0])
+            for pattern in first[1:]:
+                found = found | value.rlike(CASE_BOUND + pattern)
+            return found
+
+        kept = cleaned.where(F.exists(F.array(rendered), matched))
     else:
         kept = _with_matches(cleaned, patterns, rendered, 1, CASE_BOUND).where(F.size("_found") > 0)
     return kept.select("file", "line_no", F.col("raw_log").alias("log"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumberline.runtime import materialize
-
 
 def append_records(records: DataFrame, path: str) -> int:
-    """Append records to the history and return how many; they are computed once, before the table changes."""
-    fixed = materialize(records)
-    fixed.write.mode("append").parquet(path)
-    return fixed.count()
+    """Append records to the history and return how many.
+
+    They must be materialized: they were compared with the table that changes here.
+    """
+    records.write.mode("append").parquet(path)
+    return records.count()
 
 
 def write_records_csv(records: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -15,8 +15,8 @@ BOM_HEAD_CHARS = 4096
 def split_lines(text: Column) -> Column:
     """Lines of a text: LF, CRLF and CR end a line, and a final line end opens no further line."""
     unified = F.when(text.contains("\r"), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
-    ended = F.when(unified.endswith("\n"), F.substr(unified, F.lit(1), F.length(unified) - 1)).otherwise(unified)
-    return F.when(text != "", F.split(ended, "\n", -1)).otherwise(F.array().cast("array<string>"))
+    parts = F.split(F.regexp_replace(unified, r"\n\z", ""), "\n", -1)
+    return F.when(text != "", parts).otherwise(F.array().cast("array<string>"))
 
 
 def lines_from_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

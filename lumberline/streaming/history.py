@@ -7,6 +7,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from lumberline.operators.clean import clean
 from lumberline.operators.history import new_records
+from lumberline.runtime import materialize
 from lumberline.sinks.tables import append_records
 from lumberline.sources.history import read_history
 
@@ -19,6 +20,6 @@ def history_writer(lines: DataFrame, history_path: str) -> DataStreamWriter:
 
     def store(batch: DataFrame, batch_id: int) -> None:
         records = new_records(clean(batch), read_history(batch.sparkSession, history_path))
-        append_records(records, history_path)
+        append_records(materialize(records), history_path)
 
     return lines.writeStream.foreachBatch(store)
