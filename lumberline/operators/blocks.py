@@ -1,7 +1,8 @@
 """Sequence operators on lines: latest earlier line, running totals, blocks, and lines inside ranges.
 
-None of them puts a whole file into one task. A file is cut into cells of consecutive lines; windows run inside a
-cell, one summary row per cell is ordered over the file, and the result is joined back to the cell.
+None of them puts a large file into one task. A file is cut into cells of consecutive lines; windows run inside a
+cell, one summary row per cell is ordered over the file, and the result is joined back to the cell. Only when no file
+is longer than a cell, which callers measure, is the plain window used (``one_cell``).
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumberline.runtime import CELL_LINES, RANGE_CELL, broadcast_if_small, cell_of
+from lumberline.runtime import CELL_LINES, RANGE_CELL, cell_of, measured
 
 
 def _cells(width: int) -> Column:
@@ -17,12 +18,21 @@ def _cells(width: int) -> Column:
 
 
 def latest_at_or_before(
-    rows: DataFrame, is_mark: Column, mark: Column, name: str, keys: tuple[str, ...] = ("file",), width: int = CELL_LINES
+    rows: DataFrame,
+    is_mark: Column,
+    mark: Column,
+    name: str,
+    keys: tuple[str, ...] = ("file",),
+    width: int = CELL_LINES,
+    one_cell: bool = False,
 ) -> DataFrame:
     """Add ``name``: the value ``mark`` had on the latest row with ``is_mark``, this row included; NULL before it.
 
-    ``mark`` is made of columns of ``rows``; it is carried together with the line number it comes from.
+    ``mark`` is a struct made of columns of ``rows``; it is carried together with the line number it comes from.
     """
+    if one_cell:
+        here = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn(name, F.last(F.when(is_mark, mark), ignorenulls=True).over(here))
     marked = rows.withColumn("_cell", _cells(width)).withColumn(
         "_mark", F.when(is_mark, F.struct(F.col("line_no").alias("_at"), mark.alias("_value")))
     )
@@ -47,8 +57,13 @@ def running_total(
     keys: tuple[str, ...] = ("file",),
     width: int = CELL_LINES,
     inclusive: bool = True,
+    one_cell: bool = False,
 ) -> DataFrame:
     """Add ``name``: the sum of ``value`` over the rows up to this one, or before it."""
+    last = 0 if inclusive else -1
+    if one_cell:
+        here = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, last)
+        return rows.withColumn(name, F.coalesce(F.sum(value).over(here), F.lit(0)))
     valued = rows.withColumn("_cell", _cells(width)).withColumn("_value", value)
     cell_keys = [*keys, "_cell"]
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,14 +73,15 @@ def running_total(
         .select(*cell_keys, F.sum("_sum").over(before).alias("_carried"))
         .where(F.col("_carried").isNotNull())
     )
-    last = 0 if inclusive else -1
     inside = Window.partitionBy(*cell_keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, last)
     local = valued.withColumn("_local", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
     total = (F.col("_local") + F.coalesce(F.col("_carried"), F.lit(0))).alias(name)
     return local.join(carried, cell_keys, "left").select(*rows.columns, total)
 
 
-def capture_blocks(rows: DataFrame, keys: tuple[str, ...] = ("file",), width: int = CELL_LINES) -> DataFrame:
+def capture_blocks(
+    rows: DataFrame, keys: tuple[str, ...] = ("file",), width: int = CELL_LINES, one_cell: bool = False
+) -> DataFrame:
     """Give every start and member row the block it belongs to.
 
     ``rows`` holds only candidate rows, with ``line_no``, ``tid`` and ``is_start``. A start row opens a block that
@@ -73,19 +89,19 @@ def capture_blocks(rows: DataFrame, keys: tuple[str, ...] = ("file",), width: in
     start row, both NULL counting as equal. Adds ``start_line``; rows outside any block are dropped.
     """
     start = F.struct(F.col("line_no").alias("line_no"), F.col("tid").alias("tid"))
-    opened = latest_at_or_before(rows, F.col("is_start"), start, "_start", keys, width)
+    opened = latest_at_or_before(rows, F.col("is_start"), start, "_start", keys, width, one_cell)
     in_block = F.col("_start").isNotNull() & (F.col("is_start") | F.col("tid").eqNullSafe(F.col("_start.tid")))
     return opened.where(in_block).select(*rows.columns, F.col("_start.line_no").alias("start_line"))
 
 
-def segment_ranges(events: DataFrame, width: int = CELL_LINES) -> DataFrame:
+def segment_ranges(events: DataFrame, width: int = CELL_LINES, one_cell: bool = False) -> DataFrame:
     """Ranges from the first start to the next end: ``(file, start_line, end_line)``.
 
     ``events(file, line_no, is_start, is_end)`` holds only start and end rows. Starts inside a range are ignored, a
     range without end is dropped, and one row may be both.
     """
     ends = F.col("is_end").cast("bigint")
-    segments = running_total(events, ends, "segment", width=width, inclusive=False)
+    segments = running_total(events, ends, "segment", width=width, inclusive=False, one_cell=one_cell)
     return (
         segments.groupBy("file", "segment")
         .agg(
@@ -105,22 +121,22 @@ def _range_cells(ranges: DataFrame, width: int) -> DataFrame:
 def lines_in_ranges(lines: DataFrame, ranges: DataFrame, width: int = RANGE_CELL) -> DataFrame:
     """Every line inside every range: the columns of ``ranges`` with ``line_no`` and ``line``.
 
-    ``ranges(file, start_line, end_line, …)`` should be materialized; it is measured and broadcast when small, so
-    that the lines are not shuffled for a few ranges.
+    ``ranges(file, start_line, end_line, …)`` is materialized, measured, and broadcast when small, so that the lines
+    are not shuffled for a few ranges.
     """
-    spread = broadcast_if_small(_range_cells(ranges, width))
+    spread = measured(_range_cells(ranges, width)).small()
     inside = F.col("line_no").between(F.col("start_line"), F.col("end_line"))
     celled = lines.withColumn("_cell", _cells(width))
     return celled.join(spread, ["file", "_cell"]).where(inside).select(*ranges.columns, "line_no", "line")
 
 
 def lines_near(lines: DataFrame, ranges: DataFrame, width: int = RANGE_CELL) -> DataFrame:
-    """Lines inside at least one range, each once."""
-    spread = _range_cells(ranges, width).select(F.col("file").alias("_file"), "_cell", "start_line", "end_line")
-    spread = broadcast_if_small(spread.withColumnRenamed("_cell", "_range_cell"))
+    """Lines inside at least one range, each once; ``ranges`` is treated as in ``lines_in_ranges``."""
+    cells = _range_cells(ranges, width)
+    spread = measured(cells.select(F.col("file").alias("_file"), F.col("_cell"), "start_line", "end_line")).small()
     hit = (
         (F.col("file") == F.col("_file"))
-        & (_cells(width) == F.col("_range_cell"))
+        & (_cells(width) == F.col("_cell"))
         & F.col("line_no").between(F.col("start_line"), F.col("end_line"))
     )
     return lines.join(spread, hit, "left_semi")

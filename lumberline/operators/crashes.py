@@ -17,7 +17,7 @@ from lumberline.functions.heads import (
 )
 from lumberline.functions.text import BLANK
 from lumberline.operators.blocks import capture_blocks, joined_text, lines_in_ranges
-from lumberline.runtime import CELL_LINES, cell_of, materialize
+from lumberline.runtime import CELL_LINES, Cut, cell_of, measured
 
 DEBUG, RUNTIME, NATIVE, JAVA, KEYWORDS, PANIC = "debug", "runtime", "native", "java", "keywords", "kernel_panic"
 DEFAULT_DETECTORS = (DEBUG, RUNTIME, NATIVE, KEYWORDS, PANIC)
@@ -114,11 +114,11 @@ def candidate_lines(lines: DataFrame, detectors: tuple[str, ...]) -> DataFrame:
     )
 
 
-def block_crashes(candidates: DataFrame, detectors: tuple[str, ...], width: int, trace_span: int) -> DataFrame:
+def block_crashes(candidates: Cut, detectors: tuple[str, ...], width: int, trace_span: int) -> DataFrame:
     """Crash rows of the block detectors, all captured in one pass keyed by detector and file."""
     chosen = {name: found for name, found in block_detectors().items() if name in detectors}
-    rows = candidates.where(F.col("detector").isin(*chosen)).withColumn("tid", thread_id(F.col("line")))
-    captured = capture_blocks(rows, ("detector", "file"), width)
+    rows = candidates.rows.where(F.col("detector").isin(*chosen)).withColumn("tid", thread_id(F.col("line")))
+    captured = capture_blocks(rows, ("detector", "file"), width, one_cell=candidates.last_line < width)
 
     first_origin = F.lit(None)
     for name, found in chosen.items():
@@ -192,7 +192,7 @@ def panic_ranges(candidates: DataFrame, width: int) -> DataFrame:
 def panic_crashes(lines: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
     """Kernel panics: the lines from the hardware name to a few lines after the panic, with the line before them."""
     found = panic_ranges(candidates, width).withColumn("body_line", F.col("start_line"))
-    reach = materialize(found.withColumn("start_line", F.col("start_line") - 1))
+    reach = found.withColumn("start_line", F.col("start_line") - 1)
     body = F.col("line_no") >= F.col("body_line")
     told = kernel_origin(F.col("line"))
     return (
@@ -228,14 +228,14 @@ def extract_crashes(
     The lines are scanned once for candidates, which are cut off with a checkpoint; only a panic's surrounding lines
     need a second look at ``lines``.
     """
-    candidates = materialize(candidate_lines(lines, tuple(detectors)))
+    candidates = measured(candidate_lines(lines, tuple(detectors)))
     parts = []
     if set(detectors) & set(block_detectors()):
         parts.append(block_crashes(candidates, tuple(detectors), width, trace_span))
     if KEYWORDS in detectors:
-        parts.append(keyword_crashes(candidates))
+        parts.append(keyword_crashes(candidates.rows))
     if PANIC in detectors:
-        parts.append(panic_crashes(lines, candidates, width))
+        parts.append(panic_crashes(lines, candidates.rows, width))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumberline.functions.text import BLANK
 from lumberline.operators.blocks import joined_text, lines_in_ranges, segment_ranges
-from lumberline.runtime import CELL_LINES, cell_of, materialize
+from lumberline.runtime import CELL_LINES, cell_of, measured
 
 # Line patterns of an oops report.
 OOPS_START = r"(?i)Kernel panic|Internal error|Unable to handle kernel paging request|Oops:"
@@ -21,17 +21,17 @@ BLOCK_SPAN = 1 << 22
 def kernel_ranges(lines: DataFrame, width: int = CELL_LINES) -> DataFrame:
     line = F.col("line")
     is_end = line.rlike(OOPS_END) & ~line.rlike(HEX_DUMP)
-    events = (
+    events = measured(
         lines.where(line.rlike(OOPS_START) | line.rlike(OOPS_END))
         .select("file", "line_no", line.rlike(OOPS_START).alias("is_start"), is_end.alias("is_end"))
         .where("is_start or is_end")
     )
-    return segment_ranges(events, width)
+    return segment_ranges(events.rows, width, one_cell=events.last_line < width)
 
 
 def kernel_blocks(lines: DataFrame, width: int = CELL_LINES, block_span: int = BLOCK_SPAN) -> DataFrame:
     """``(file, start_line, end_line, part, block)``; hex-dump lines are left out of the text."""
-    inside = lines_in_ranges(lines, materialize(kernel_ranges(lines, width)))
+    inside = lines_in_ranges(lines, kernel_ranges(lines, width))
     part = cell_of(F.col("line_no") - F.col("start_line"), block_span).cast("int")
     return (
         inside.where(~F.col("line").rlike(HEX_DUMP))

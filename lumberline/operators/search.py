@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumberline.functions.text import has_error_stem, is_short_line, render_line, strip_blanks
 from lumberline.operators.blocks import lines_near
-from lumberline.runtime import cell_of, materialize
+from lumberline.runtime import cell_of
 
 # Match lists hold at most the hits of this many consecutive lines; a longer file has several lists.
 GROUP_LINES = 1 << 20
@@ -25,8 +25,8 @@ def short_lines(lines: DataFrame, limit: int) -> DataFrame:
 def grep(lines: DataFrame, regex: str, context: int = 0, direction: str = "both") -> DataFrame:
     """Matching lines and ``context`` lines before and/or after each: ``(file, line_no, line, is_match)``.
 
-    Only the line numbers of the matches are cut off and turned into ranges; the text is read again, and is shuffled
-    only when the ranges are too many to broadcast.
+    The line numbers of the matches become ranges; the text is read again, and is shuffled only when the ranges are
+    too many to broadcast.
     """
     if direction not in ("up", "down", "both"):
         raise ValueError("direction must be 'up', 'down' or 'both'")
@@ -35,8 +35,7 @@ def grep(lines: DataFrame, regex: str, context: int = 0, direction: str = "both"
         return lines.where(is_match).select("file", "line_no", "line", F.lit(True).alias("is_match"))
     up = context if direction in ("up", "both") else 0
     down = context if direction in ("down", "both") else 0
-    hits = materialize(lines.where(is_match).select("file", "line_no"))
-    ranges = hits.select(
+    ranges = lines.where(is_match).select(
         "file", (F.col("line_no") - up).alias("start_line"), (F.col("line_no") + down).alias("end_line")
     )
     return lines_near(lines, ranges).select("file", "line_no", "line", is_match.alias("is_match"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,38 +38,58 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
     return builder.getOrCreate()
 
 
+def _checkpoint_folder(spark: SparkSession) -> None:
+    """Use the folder the session names in ``spark.checkpoint.dir``; make a private one only in a local session."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = os.path.join(tempfile.mkdtemp(prefix="lumberline-"), "checkpoints")
+    context.setCheckpointDir(folder)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that later branches do not repeat the scan behind ``df``.
+    """Cut the lineage with a reliable checkpoint, so that later branches do not repeat the work behind ``df``."""
+    _checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; a private one is made only if there is none
-    and the session is local.
+
+@dataclass(frozen=True)
+class Cut:
+    """Materialized rows with what was measured while they were written.
+
+    A task that ran twice may count twice, so ``size`` errs only towards not broadcasting.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = os.path.join(tempfile.mkdtemp(prefix="lumberline-"), "checkpoints")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+
+    rows: DataFrame
+    size: int
+    last_line: int
+
+    def small(self, limit: int = BROADCAST_BYTES) -> DataFrame:
+        """The rows, marked for broadcast when their size allows it; otherwise the join is left to Spark."""
+        return F.broadcast(self.rows) if self.size <= limit else self.rows
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Rows and text of ``df`` in bytes, counted by Spark; meant for materialized or small inputs."""
+def measured(df: DataFrame) -> Cut:
+    """Materialize ``df`` and measure it in the same job: bytes held, and the highest ``line_no`` if there is one."""
     size = F.lit(0)
     for field in df.schema.fields:
         if isinstance(field.dataType, T.StringType):
             size = size + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0)) + 40
         else:
             size = size + 16
-    return df.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0)).alias("n")).first()["n"]
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark ``df`` for broadcast when its measured size allows it; otherwise leave the join to Spark."""
-    return F.broadcast(df) if measured_bytes(df) <= limit else df
+    last_line = F.max("line_no") if "line_no" in df.columns else F.lit(None)
+    seen = Observation()
+    watched = df.observe(
+        seen,
+        F.coalesce(F.sum(size.cast("bigint")), F.lit(0)).alias("size"),
+        F.coalesce(last_line.cast("bigint"), F.lit(0)).alias("last_line"),
+    )
+    rows = materialize(watched)
+    return Cut(rows, seen.get["size"], seen.get["last_line"])
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumberline.operators.archives import archive_actions
-from lumberline.runtime import broadcast_if_small, materialize
+from lumberline.runtime import measured
 
 ARCHIVE_NAME = r"(?i)\.(zip|tar|tar\.(gz|bz2|xz|lz|lzma|z))$"
 ENTRY_SCHEMA = "archive STRING, pos BIGINT, entry STRING, is_dir BOOLEAN"
@@ -113,6 +113,6 @@ def archive_lines(spark: SparkSession, path: str, nested: bool = False, batch_li
                     yield frame(rows)
 
     actions = archive_actions(archive_entries(spark, path)).where("action <> 'skip'")
-    wanted = materialize(actions.select("archive", "only_entry"))
-    chosen = _archive_files(spark, path).join(broadcast_if_small(wanted), "archive")
+    wanted = measured(actions.select("archive", "only_entry"))
+    chosen = _archive_files(spark, path).join(wanted.small(), "archive")
     return chosen.mapInPandas(unpacked, LINE_SCHEMA)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumberline.runtime import broadcast_if_small, materialize
+from lumberline.runtime import measured
 
 BOM_HEAD_BYTES = 16384  # enough for 4096 characters of UTF-8
 BOM_HEAD_CHARS = 4096
@@ -75,9 +75,9 @@ def read_lines(spark: SparkSession, path: str | list[str], errors: str = "replac
     joined back to a second scan. UTF-16 files are found in the first pass and decoded whole.
     """
     scan = _text_scan(spark, path)
-    splits = materialize(_split_table(scan))
-    suspects = [row["file"] for row in splits.where("maybe_utf16").select("file").distinct().toLocalIterator()]
-    offsets = broadcast_if_small(splits.where(~F.col("maybe_utf16")).drop("maybe_utf16"))
+    splits = measured(_split_table(scan))
+    suspects = [row["file"] for row in splits.rows.where("maybe_utf16").select("file").distinct().toLocalIterator()]
+    offsets = splits.small().where(~F.col("maybe_utf16")).drop("maybe_utf16")
     numbered = scan.join(offsets, ["file", "split"]).select(
         "file",
         (F.col("scan_id") - F.col("first_id") + F.col("offset") + 1).alias("line_no"),
