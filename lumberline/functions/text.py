@@ -52,15 +52,30 @@ def strip_blanks(text: Column) -> Column:
 KEEPS_WORD = "w -> length(w) > 1 AND lower(w) NOT IN (" + ", ".join(f"'{word}'" for word in STOP_WORDS) + ")"
 
 
-def meaningful_words(text: Column) -> Column:
-    """Letter runs of two or more that are no stop words, joined by one space, case kept."""
-    kept = F.call_function("filter", F.split(text, "[^a-zA-Z]+"), F.expr(KEEPS_WORD))
-    return F.array_join(kept, " ")
+def _meaningful(words: Column) -> Column:
+    """Words of two or more letters that are no stop words, joined by one space, case kept."""
+    return F.array_join(F.call_function("filter", words, F.expr(KEEPS_WORD)), " ")
+
+
+# A hex word, or else a run of letters in group 1.
+HEX_WORD_OR_LETTERS = rf"(?<!{WORD})[a-fA-F0-9]++(?!{WORD})|([a-zA-Z]{{2,}})"
+# What a log head that starts inside a word looks like; any character beyond ASCII counts as part of a word here.
+GLUED_HEAD = rf"[a-zA-Z_\x{{80}}-\x{{10FFFF}}][0-9-]++{BLANK}++[0-9:.]"
 
 
 def cleaned_key(line: Column) -> Column:
-    """The key two lines share when they differ only in head, numbers, symbols and stop words."""
-    return meaningful_words(F.regexp_replace(F.regexp_replace(line, LOG_HEAD, ""), NUMBERS, ""))
+    """The key two lines share when they differ only in head, numbers, symbols and stop words.
+
+    Cutting heads and numbers can glue letters together only where a number follows ``=`` or ``0x`` or a head follows
+    a letter. All other lines give the same words in one pass that skips hex words and takes the letter runs; heads
+    hold no such run.
+    """
+    cut = F.regexp_replace(F.regexp_replace(line, LOG_HEAD, ""), NUMBERS, "")
+    may_glue = line.contains("=") | line.contains("0x") | line.rlike(GLUED_HEAD)
+    return (
+        F.when(may_glue, _meaningful(F.split(cut, "[^a-zA-Z]+")))
+        .when(line.isNotNull(), _meaningful(F.regexp_extract_all(line, F.lit(HEX_WORD_OR_LETTERS), F.lit(1))))
+    )
 
 
 def normalized_line(line: Column) -> Column:
@@ -76,8 +91,14 @@ def has_url(line: Column) -> Column:
     return found
 
 
+def matches_any_case(text: Column, pattern: str) -> Column:
+    """Regex found in any case; the slower Unicode comparison is left to texts that are not ASCII."""
+    is_wide = F.octet_length(text) != F.length(text)
+    return text.rlike(f"(?i){pattern}") | (is_wide & text.rlike(f"(?iu){pattern}"))
+
+
 def has_error_stem(line: Column, stems: tuple[str, ...] | list[str] = tuple(ERROR_STEMS)) -> Column:
-    return line.rlike("(?iu)" + "|".join(stems))
+    return matches_any_case(line, "|".join(stems))
 
 
 def char_length(text: Column) -> Column:

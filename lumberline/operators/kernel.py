@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumberline.functions.text import BLANK
+from lumberline.functions.text import BLANK, matches_any_case
 from lumberline.operators.blocks import joined_text, lines_in_ranges, segment_ranges
 from lumberline.runtime import CELL_LINES, cell_of, measured
 
 # Line patterns of an oops report.
-OOPS_START = r"(?i)Kernel panic|Internal error|Unable to handle kernel paging request|Oops:"
-OOPS_END = r"(?i)Modules linked in:|---\[ end trace"
+OOPS_START = r"Kernel panic|Internal error|Unable to handle kernel paging request|Oops:"
+OOPS_END = r"Modules linked in:|---\[ end trace"
 HEX_DUMP = rf"^{BLANK}*([0-9a-fA-F]{{8}}|[0-9a-fA-F]{{16}})[: ]"
 
 # A block's text is put together from at most this many lines; a longer block makes further rows, part 1, 2, ….
@@ -20,12 +20,10 @@ BLOCK_SPAN = 1 << 22
 
 def kernel_ranges(lines: DataFrame, width: int = CELL_LINES) -> DataFrame:
     line = F.col("line")
-    is_end = line.rlike(OOPS_END) & ~line.rlike(HEX_DUMP)
-    events = measured(
-        lines.where(line.rlike(OOPS_START) | line.rlike(OOPS_END))
-        .select("file", "line_no", line.rlike(OOPS_START).alias("is_start"), is_end.alias("is_end"))
-        .where("is_start or is_end")
-    )
+    is_start = matches_any_case(line, OOPS_START)
+    is_end = matches_any_case(line, OOPS_END) & ~line.rlike(HEX_DUMP)
+    marks = lines.select("file", "line_no", is_start.alias("is_start"), is_end.alias("is_end"))
+    events = measured(marks.where("is_start or is_end"))
     return segment_ranges(events.rows, width, one_cell=events.last_line < width)
 
 
