@@ -124,6 +124,9 @@ LOGSET = """'/ws/Amp' || (o_custkey % 50) || CASE o_orderkey % 3 WHEN 0 THEN '_W
 FILE_PATH = """'/logs/' || o_custkey || '/' || o_orderstatus || '_' || o_orderkey ||
 CASE o_orderkey % 5 WHEN 0 THEN '.log' WHEN 1 THEN '.TXT' WHEN 2 THEN '.log.gz' WHEN 3 THEN '.bin' ELSE '.Log' END"""
 
+# One text per turn of a conversation.
+TURN_ID = "conv_id * 1000 + turn"
+
 # Chat answers wrapped in fences and tags.
 MARKDOWN_ANSWER = """CASE conv_id % 4
   WHEN 0 THEN chr(10) || ' ```markdown title' || chr(10) || text || chr(10) || '``` '
@@ -152,6 +155,15 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_from_table(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text")
 
 
+def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").selectExpr(f"{TURN_ID} AS turn_id", "text")
+    return lines_from_table(spread(turns, "turn_id"), "turn_id", "text")
+
+
+def benchmark_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_from_table(table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     timed = spread(table(spark, sf_dir, "events"), "event_id").withColumn("t", F.date_format("ts", "MM-dd HH:mm:ss.SSS"))
     # explode keeps the optimizer from copying the long expression into every later test of the line

@@ -12,12 +12,17 @@ E_LINES = f"""log_lines AS (
   {inputs.log_line('list_extract([{}], {})')} AS line
   FROM (SELECT *, strftime(ts, '%m-%d %H:%M:%S.%g') AS t FROM events))"""
 
-D_LINES = r"""doc_parts AS (
-  SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts
-  FROM (SELECT doc_id, string_split_regex(text, '\r\n|\r|\n') AS parts FROM documents)),
-doc_lines AS (
-  SELECT doc_id AS file, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS line FROM doc_parts)"""
 
+
+def _text_lines(name: str, table: str, text_id: str) -> str:
+    return rf"""{name}_parts AS (
+  SELECT id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts
+  FROM (SELECT {text_id} AS id, string_split_regex(text, '\r\n|\r|\n') AS parts FROM {table})),
+{name}_lines AS (
+  SELECT id AS file, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS line FROM {name}_parts)"""
+
+
+D_LINES = _text_lines("doc", "documents", "doc_id")
 THREADTIME = r"^\s*\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d{3}\s+(?:\d+\s+){1,2}(\d+)\s+[A-Z](?:\s|$)"
 BRIEF = r"^\s*\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d{3}\s+[A-Z]/[^:]+\(\s*(\d+)\):"
 LOG_HEAD = r"[0-9-]+\s+[0-9:.]+\s+[0-9]+\s+[0-9]+\s+\w(?:\s|$)"
@@ -49,11 +54,11 @@ def _key(line: str) -> str:
     return f"array_to_string({kept}, ' ')"
 
 
-def _cleaned(source: str, name: str = "cleaned", extra: str = "TRUE") -> str:
+def _cleaned(source: str, name: str = "cleaned") -> str:
     return f"""{name} AS (
   SELECT file, max(line_no) AS line_no, cleaned_log, arg_max(line, line_no) AS raw_log
   FROM (SELECT file, line_no, line, {_key('line')} AS cleaned_log FROM {source}
-        WHERE NOT (contains(line, 'http://') OR contains(line, 'https://') OR contains(line, 'rtsp://')) AND {extra})
+        WHERE NOT (contains(line, 'http://') OR contains(line, 'https://') OR contains(line, 'rtsp://')))
   GROUP BY file, cleaned_log)"""
 
 
@@ -69,10 +74,11 @@ def _stripped(expr: str) -> str:
 TID = f"""CASE WHEN regexp_matches(line, '{THREADTIME}') THEN regexp_extract(line, '{THREADTIME}', 1)
   WHEN regexp_matches(line, '{BRIEF}') THEN regexp_extract(line, '{BRIEF}', 1) END"""
 
-HALVES = [
+BATCH_AND_HISTORY = [
     D_LINES,
-    _cleaned("doc_lines", "batch", "file % 2 = 0"),
-    _cleaned("doc_lines", "earlier", "file % 2 = 1"),
+    _text_lines("turn", "conversations", inputs.TURN_ID),
+    _cleaned("doc_lines", "batch"),
+    _cleaned("turn_lines", "earlier"),
 ]
 
 
@@ -288,6 +294,12 @@ ORACLES: dict[str, str] = {
         )
         + ") AS normalized FROM doc_lines",
     ),
+    "stop_words_removed": _with(
+        D_LINES,
+        select=f"""SELECT file, line_no, array_to_string(list_filter(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}_]+'),
+  lambda w: NOT list_contains({STOP_LIST} || ['a', 'd', 'i', 'm', 'o', 's', 't', 'y'], lower(w))), ' ') AS words
+  FROM doc_lines""",
+    ),
     "log_info": _with(
         E_LINES,
         select=f"""SELECT file, line_no, CASE WHEN regexp_matches(line, '{THREADTIME}') THEN '{THREADTIME_NAME}'
@@ -351,17 +363,17 @@ ORACLES: dict[str, str] = {
   FROM file_types GROUP BY file_type""",
     ),
     "store_new_records": _with(
-        *HALVES,
+        *BATCH_AND_HISTORY,
         select=f"""SELECT sha256(cleaned_log) AS record_id, cleaned_log,
   {_stripped("arg_min(raw_log, file * 1000000 + line_no)")} AS raw_log
   FROM batch WHERE cleaned_log NOT IN (SELECT cleaned_log FROM earlier) GROUP BY cleaned_log""",
     ),
     "stored_keys": _with(D_LINES, _cleaned("doc_lines"), select="SELECT DISTINCT cleaned_log FROM cleaned"),
     "subtract_known": _with(
-        *HALVES, select="SELECT * FROM batch WHERE cleaned_log NOT IN (SELECT cleaned_log FROM earlier)"
+        *BATCH_AND_HISTORY, select="SELECT * FROM batch WHERE cleaned_log NOT IN (SELECT cleaned_log FROM earlier)"
     ),
     "store_counts": _with(
-        *HALVES,
+        *BATCH_AND_HISTORY,
         select="""SELECT processed, processed - new AS skipped, new FROM (
   SELECT count(*) AS processed, count(DISTINCT cleaned_log) FILTER (
     WHERE cleaned_log NOT IN (SELECT cleaned_log FROM earlier)) AS new FROM batch)""",
@@ -369,7 +381,8 @@ ORACLES: dict[str, str] = {
     "known_duplicates_excluded": _with(
         D_LINES,
         _cleaned("doc_lines"),
-        _cleaned("doc_lines", "known", "file % 3 = 0"),
+        _text_lines("item", "benchmark", "item_id"),
+        _cleaned("item_lines", "known"),
         select="SELECT * FROM cleaned WHERE cleaned_log NOT IN (SELECT cleaned_log FROM known)",
     ),
     "module_lookup": _with(

@@ -50,6 +50,11 @@ def normalize_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("file", "line_no", text.normalized_line(F.col("line")).alias("normalized"))
 
 
+def stop_words_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = inputs.document_lines(spark, sf_dir)
+    return lines.select("file", "line_no", text.without_stop_words(F.col("line")).alias("words"))
+
+
 def log_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = inputs.log_lines(spark, sf_dir).select("file", "line_no", heads.log_info(F.col("line")).alias("info"))
     return told.select("file", "line_no", F.col("info.type").alias("type"), "info.thread_id")
@@ -115,18 +120,14 @@ def files_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("file_type", "part", F.array_join(F.col("files").cast("array<string>"), ",").alias("files"))
 
 
-def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Documents with odd ids as the history, those with even ids as the new batch."""
-    lines = inputs.document_lines(spark, sf_dir)
-    stored = history.new_records(
-        clean(lines.where("file % 2 = 1")), spark.createDataFrame([], "cleaned_log STRING")
-    )
-    return clean(lines.where("file % 2 = 0")), stored
+def _batch_and_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All document lines as the new batch, the records of all conversation lines as the history."""
+    empty = spark.createDataFrame([], "cleaned_log STRING")
+    return clean_dedup(spark, sf_dir), history.new_records(clean(inputs.conversation_lines(spark, sf_dir)), empty)
 
 
 def store_new_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch, stored = _halves(spark, sf_dir)
-    return history.new_records(batch, stored).drop("created_at")
+    return history.new_records(*_batch_and_history(spark, sf_dir)).drop("created_at")
 
 
 def stored_key_set(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,17 +135,16 @@ def stored_key_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subtract_known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.subtract_known(*_halves(spark, sf_dir))
+    return history.subtract_known(*_batch_and_history(spark, sf_dir))
 
 
 def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.history_counts(*_halves(spark, sf_dir))
+    return history.history_counts(*_batch_and_history(spark, sf_dir))
 
 
 def known_duplicates_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = inputs.document_lines(spark, sf_dir)
-    known = clean(lines.where("file % 3 = 0")).select("cleaned_log").distinct()
-    return clean(lines, known_duplicates=known)
+    known = clean(inputs.benchmark_lines(spark, sf_dir)).select("cleaned_log").distinct()
+    return clean(inputs.document_lines(spark, sf_dir), known_duplicates=known)
 
 
 def _requested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,6 +311,7 @@ QUERIES: dict[str, Query] = {
     "rendered_lines": rendered_lines,
     "url_lines_dropped": url_lines_dropped,
     "normalize_line": normalize_line,
+    "stop_words_removed": stop_words_removed,
     "log_info": log_info,
     "error_lines": error_lines,
     "error_lines_logcat": error_lines_logcat,

@@ -16,6 +16,9 @@ STOP_WORDS = (
     "what when where which while who whom why will with won wouldn you your yours yourself yourselves"
 ).split()
 
+# The single letters that are stop words too.
+STOP_LETTERS = "a d i m o s t y".split()
+
 # Stems that mark a line as interesting, matched anywhere and in any case.
 ERROR_STEMS = (
     "error fail exception panic fatal denied crash oops segfault abort corrupt not dropped err disconnected "
@@ -57,6 +60,17 @@ def _meaningful(words: Column) -> Column:
     return F.array_join(F.call_function("filter", words, F.expr(KEEPS_WORD)), " ")
 
 
+KEEPS_ANY_WORD = (
+    "w -> lower(w) NOT IN (" + ", ".join(f"'{word}'" for word in [*STOP_LETTERS, *STOP_WORDS]) + ")"
+)
+
+
+def without_stop_words(text: Column) -> Column:
+    """All words of a text, numbers included, that are no stop words, joined by one space."""
+    words = F.regexp_extract_all(text, F.lit(f"{WORD}+"), F.lit(0))
+    return F.array_join(F.call_function("filter", words, F.expr(KEEPS_ANY_WORD)), " ")
+
+
 # A hex word, or else a run of letters in group 1.
 HEX_WORD_OR_LETTERS = rf"(?<!{WORD})[a-fA-F0-9]++(?!{WORD})|([a-zA-Z]{{2,}})"
 # What a log head that starts inside a word looks like; any character beyond ASCII counts as part of a word here.

@@ -31,12 +31,11 @@ def latest_logset(listing: DataFrame) -> DataFrame:
 
     ``listing`` holds directories as ``(path, mtime)``.
     """
-    parts = F.split(F.col("path"), "/")
-    leaf = F.lower(F.element_at(parts, -1))
-    module = F.regexp_extract(leaf, "^(.*)_logset$", 1)
-    above = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.lower(p))
-    wrapped = F.array_contains(above, F.concat("module", F.lit("_wrapper"))) | F.array_contains(
-        above, F.concat("module", F.lit("_wraper"))
+    path = F.concat(F.lit("/"), F.lower("path"))
+    leaf = base_name(path)
+    module = F.substr(leaf, F.lit(1), F.length(leaf) - len("_logset"))
+    wrapped = path.contains(F.concat(F.lit("/"), F.col("module"), F.lit("_wrapper/"))) | path.contains(
+        F.concat(F.lit("/"), F.col("module"), F.lit("_wraper/"))
     )
     return (
         listing.where(leaf.endswith("_logset"))

@@ -69,6 +69,15 @@ def test_strip_blanks_is_python_strip(apply, wild):
     assert apply(wild, text.strip_blanks) == [line.strip() for line in wild]
 
 
+def test_stop_words_leave_texts(apply, wild):
+    def expected(line):
+        stop = {*text.STOP_WORDS, *text.STOP_LETTERS}
+        return " ".join(w for w in re.findall(r"\w+", line) if w.lower() not in stop)
+
+    probes = wild + ["I can't do THIS 12 times", "naïve_word s x"]
+    assert apply(probes, text.without_stop_words) == [expected(line) for line in probes]
+
+
 def test_error_stems_match_in_any_case(apply, wild):
     stems = re.compile("|".join(text.ERROR_STEMS), re.IGNORECASE)
     probes = wild + ["NOTIFY", "nothing", "TimeOut", "craſh", "fine"]
