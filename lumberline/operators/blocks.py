@@ -144,5 +144,5 @@ def lines_near(lines: DataFrame, ranges: DataFrame, width: int = RANGE_CELL) ->
 
 def joined_text(line_no: Column, text: Column, end: str = "\n") -> Column:
     """Aggregate: texts in line order, each followed by ``end``. The group must be bounded."""
-    ordered = F.array_sort(F.collect_list(F.struct(line_no.alias("n"), text.alias("t"))))
-    return F.concat(F.array_join(F.transform(ordered, lambda x: x["t"]), end), F.lit(end))
+    ordered = F.sort_array(F.collect_list(F.struct(line_no.alias("n"), text.alias("t"))))
+    return F.concat(F.array_join(ordered["t"], end), F.lit(end))

@@ -32,9 +32,10 @@ TOMBSTONE_WORDS = ("tombstoned:", "/system/bin/tombstoned")
 LOOK_BACK = 200  # lines searched for the hardware name, the panic line included
 TAIL = 6  # lines kept after the panic line
 
-# A trace is put together from the lines less than this far from its start; lines farther away make further rows
-# of the same crash, with trace_part 1, 2, …, so that no group grows with the file.
-TRACE_SPAN = 1 << 22
+# A trace of more bytes than this is given in several rows of the same crash, with trace_part 0, 1, 2, …, each made of
+# the lines inside one span of the file. A file that ends within the span has no such trace to look for.
+TRACE_BYTES = 64 << 20
+TRACE_SPAN = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -114,7 +115,9 @@ def candidate_lines(lines: DataFrame, detectors: tuple[str, ...]) -> DataFrame:
     )
 
 
-def block_crashes(candidates: Cut, detectors: tuple[str, ...], width: int, trace_span: int) -> DataFrame:
+def block_crashes(
+    candidates: Cut, detectors: tuple[str, ...], width: int, trace_span: int, trace_bytes: int
+) -> DataFrame:
     """Crash rows of the block detectors, all captured in one pass keyed by detector and file."""
     chosen = {name: found for name, found in block_detectors().items() if name in detectors}
     rows = candidates.rows.where(F.col("detector").isin(*chosen)).withColumn("tid", thread_id(F.col("line")))
@@ -126,28 +129,48 @@ def block_crashes(candidates: Cut, detectors: tuple[str, ...], width: int, trace
             ~F.col("is_start") & F.lit(found.origin_on_members)
         )
         first_origin = F.when((F.col("detector") == name) & allowed, found.origin).otherwise(first_origin)
-    told = captured.withColumn("origin", first_origin).withColumn(
-        "trace_part", cell_of(F.col("line_no") - F.col("start_line"), trace_span).cast("int")
-    )
-    origin_at = F.when(F.col("origin").isNotNull(), F.struct("line_no", "origin"))
-    return (
-        told.groupBy("detector", "file", "start_line", "trace_part")
-        .agg(
-            F.max("line_no").alias("end_line"),
-            F.min(origin_at).alias("first"),
-            joined_text(F.col("line_no"), F.col("line")).alias("full_stack_trace"),
+    told = captured.withColumn("origin", first_origin)
+    block = ["detector", "file", "start_line"]
+    first = F.min(F.when(F.col("origin").isNotNull(), F.struct("line_no", "origin")))["origin"].alias("origin")
+    last = F.max("line_no").alias("end_line")
+    trace = joined_text(F.col("line_no"), F.col("line")).alias("full_stack_trace")
+    if candidates.last_line < trace_span:
+        crashes = told.groupBy(*block).agg(last, first, trace).withColumn("trace_part", F.lit(0))
+    else:
+        size = F.sum(F.octet_length("line") + 1).alias("bytes")
+        blocks = told.groupBy(*block).agg(last, first, size)
+        large = measured(
+            blocks.where(F.col("bytes") > trace_bytes).select(
+                *block,
+                F.col("end_line").alias("block_end"),
+                F.col("origin.process_name").alias("block_name"),
+                F.col("origin.pid").alias("block_pid"),
+            )
         )
-        .select(
-            "detector",
-            F.col("file").alias("file_name"),
-            "start_line",
-            "end_line",
-            F.coalesce("first.origin.process_name", F.lit("Unknown")).alias("process_name"),
-            F.coalesce("first.origin.pid", F.lit("Unknown")).alias("pid"),
-            "full_stack_trace",
-            F.lit(None).cast("string").alias("crash_type"),
-            "trace_part",
+        span = cell_of(F.col("line_no") - F.col("start_line"), trace_span)
+        part = F.when(F.col("block_end").isNotNull(), span).otherwise(0).cast("int")
+        is_large = F.max("block_end").isNotNull()
+        block_origin = F.struct(F.max("block_name").alias("process_name"), F.max("block_pid").alias("pid"))
+        crashes = (
+            told.join(large.small(), block, "left")
+            .withColumn("trace_part", part)
+            .groupBy(*block, "trace_part")
+            .agg(
+                F.coalesce(F.max("block_end"), last).alias("end_line"),
+                F.when(is_large, block_origin).otherwise(first).alias("origin"),
+                trace,
+            )
         )
+    return crashes.select(
+        "detector",
+        F.col("file").alias("file_name"),
+        "start_line",
+        "end_line",
+        F.coalesce("origin.process_name", F.lit("Unknown")).alias("process_name"),
+        F.coalesce("origin.pid", F.lit("Unknown")).alias("pid"),
+        "full_stack_trace",
+        F.lit(None).cast("string").alias("crash_type"),
+        "trace_part",
     )
 
 
@@ -222,6 +245,7 @@ def extract_crashes(
     detectors: tuple[str, ...] = DEFAULT_DETECTORS,
     width: int = CELL_LINES,
     trace_span: int = TRACE_SPAN,
+    trace_bytes: int = TRACE_BYTES,
 ) -> DataFrame:
     """Crash rows of all requested detectors.
 
@@ -231,7 +255,7 @@ def extract_crashes(
     candidates = measured(candidate_lines(lines, tuple(detectors)))
     parts = []
     if set(detectors) & set(block_detectors()):
-        parts.append(block_crashes(candidates, tuple(detectors), width, trace_span))
+        parts.append(block_crashes(candidates, tuple(detectors), width, trace_span, trace_bytes))
     if KEYWORDS in detectors:
         parts.append(keyword_crashes(candidates.rows))
     if PANIC in detectors:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumberline.functions.text import BLANK, strip_blanks
+from lumberline.functions.text import BLANK
+from lumberline.runtime import materialize
 
 # What the lines of each class look like.
 KERNEL_TIME = rf"\[{BLANK}*\d+\.\d+(?:@\d+)?\]"
-LOGCAT_HEAD = rf"^\d{{2}}-\d{{2}}{BLANK}+\d{{2}}:\d{{2}}:\d{{2}}\.\d+{BLANK}+(\d+{BLANK}+\d+{BLANK}+)?[VDIWEF]"
+LOGCAT_HEAD = rf"^{BLANK}*+\d{{2}}-\d{{2}}{BLANK}+\d{{2}}:\d{{2}}:\d{{2}}\.\d+{BLANK}+(\d+{BLANK}+\d+{BLANK}+)?[VDIWEF]"
 BOOT_BANNER = "Hello world, Now in BL33Z"
 
 
@@ -18,11 +19,11 @@ def detect_file_types(lines: DataFrame, threshold: int = 20) -> DataFrame:
 
     Each task keeps the first few lines of each kind before the shuffle, so a huge file sends no more than a small one.
     """
-    text = strip_blanks(F.col("line"))
+    line = F.col("line")
     kind = (
-        F.when(text.rlike(KERNEL_TIME), "kernel")
-        .when(text.rlike(LOGCAT_HEAD), "logcat")
-        .when(F.col("line").contains(BOOT_BANNER), "banner")
+        F.when(line.contains("[") & line.rlike(KERNEL_TIME), "kernel")
+        .when(line.rlike(LOGCAT_HEAD), "logcat")
+        .when(line.contains(BOOT_BANNER), "banner")
         .otherwise("other")
     )
     in_kind = Window.partitionBy("file", "kind").orderBy("line_no")
@@ -51,8 +52,9 @@ def files_by_type(file_types: DataFrame, per_list: int = 10_000) -> DataFrame:
 
     Files are dealt to lists by hash, with as many lists per class as its count asks for.
     """
-    counts = file_types.groupBy("file_type").agg(F.ceil(F.count(F.lit(1)) / per_list).alias("parts"))
-    dealt = file_types.join(F.broadcast(counts), "file_type").withColumn(
+    typed = materialize(file_types)
+    counts = typed.groupBy("file_type").agg(F.ceil(F.count(F.lit(1)) / per_list).alias("parts"))
+    dealt = typed.join(F.broadcast(counts), "file_type").withColumn(
         "part", F.pmod(F.xxhash64("file"), F.col("parts"))
     )
-    return dealt.groupBy("file_type", "part").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    return dealt.groupBy("file_type", "part").agg(F.sort_array(F.collect_list("file")).alias("files"))

@@ -43,7 +43,7 @@ def grep(lines: DataFrame, regex: str, context: int = 0, direction: str = "both"
 
 def match_groups(found: DataFrame, group_lines: int = GROUP_LINES) -> DataFrame:
     """Found lines as lists of ``line n: text`` per file: ``(file, part, match_lines)``, part 0 for all but huge files."""
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    ordered = F.sort_array(F.collect_list(F.struct("line_no", "text")))
     return (
         found.select(
             "file",
@@ -52,5 +52,5 @@ def match_groups(found: DataFrame, group_lines: int = GROUP_LINES) -> DataFrame:
             render_line(F.col("line_no"), strip_blanks(F.col("line")), "line").alias("text"),
         )
         .groupBy("file", "part")
-        .agg(F.transform(ordered, lambda x: x["text"]).alias("match_lines"))
+        .agg(ordered["text"].alias("match_lines"))
     )

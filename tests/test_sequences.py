@@ -77,7 +77,8 @@ def expected_blocks(detector: str, lines: list[str]) -> set[tuple]:
 def test_block_detectors_are_what_a_loop_finds(log, width):
     rng = random.Random(11)
     texts = {f"f{n}": crash_file(rng, rng.randrange(1, 120)) for n in range(12)}
-    found = crashes.extract_crashes(shuffled(log(texts)), tuple(STARTS), width=width).collect()
+    span = 2 if width == 3 else crashes.TRACE_SPAN  # the first looks for oversize traces, the second need not
+    found = crashes.extract_crashes(shuffled(log(texts)), tuple(STARTS), width=width, trace_span=span).collect()
     for detector in STARTS:
         for file, lines in texts.items():
             got = [r for r in found if r["detector"] == detector and r["file_name"] == file]
@@ -85,10 +86,27 @@ def test_block_detectors_are_what_a_loop_finds(log, width):
             assert len(got) == len(expected_blocks(detector, lines))
 
 
-def test_far_lines_of_a_crash_make_further_parts(log):
-    lines = [head(1) + "AndroidRuntime: FATAL EXCEPTION"] + ["x"] * 9 + [head(1) + "AndroidRuntime: late"]
-    found = crashes.extract_crashes(log(lines), ("runtime",), width=4, trace_span=5).orderBy("trace_part").collect()
-    assert [(r["start_line"], r["end_line"], r["trace_part"]) for r in found] == [(1, 1, 0), (1, 11, 2)]
+def test_only_oversize_traces_come_in_parts(log):
+    member = head(1) + "AndroidRuntime: "
+    lines = [member + "FATAL EXCEPTION"] + ["x"] * 9 + [member + "Process: p, PID: 3", member + "Process: q, PID: 4"]
+    small = ["fatal exception"] + ["x"] * 20 + ["AndroidRuntime"]
+    frame = log({"large": lines, "small": small})
+
+    def found(**limits):
+        rows = crashes.extract_crashes(frame, ("runtime",), width=4, **limits).orderBy("file_name", "trace_part").collect()
+        return [(r["start_line"], r["end_line"], r["process_name"], r["pid"], r["trace_part"], r["full_stack_trace"]) for r in rows]
+
+    def text(*kept):
+        return "".join(line + "\n" for line in kept)
+
+    whole = (1, 12, "p", "3", 0, text(lines[0], *lines[10:]))
+    tail = (1, 22, "Unknown", "Unknown", 0, text(small[0], small[-1]))
+    assert found() == found(trace_span=5) == [whole, tail]
+    assert found(trace_span=5, trace_bytes=60) == [
+        (1, 12, "p", "3", 0, text(lines[0])),
+        (1, 12, "p", "3", 2, text(*lines[10:])),
+        tail,
+    ]
 
 
 def test_crash_attributes(log):
