@@ -69,9 +69,9 @@ class Cut:
     size: int
     last_line: int
 
-    def small(self, limit: int = BROADCAST_BYTES) -> DataFrame:
+    def small(self) -> DataFrame:
         """The rows, marked for broadcast when their size allows it; otherwise the join is left to Spark."""
-        return F.broadcast(self.rows) if self.size <= limit else self.rows
+        return F.broadcast(self.rows) if self.size <= BROADCAST_BYTES else self.rows
 
 
 def measured(df: DataFrame) -> Cut:

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lumberline import runtime
 from lumberline.functions.heads import log_info
 from lumberline.operators import blocks, budget, crashes, files, kernel, search
 
@@ -230,6 +231,30 @@ def test_grep_with_context(log, direction, up, down):
                 assert got[file, number] == (lines[number - 1] == "hit")
 
 
+def test_ranges_too_large_to_broadcast_give_the_same(log, spark, monkeypatch):
+    rng = random.Random(8)
+    texts = {f: [rng.choice(["Oops: hit", "x", "Modules linked in:", "y"]) for _ in range(600)] for f in "ab"}
+    frame = shuffled(log(texts))
+
+    def results():
+        near = search.grep(frame, "hit", context=2)
+        inside = kernel.kernel_blocks(frame, width=50)
+        return near, inside
+
+    def plan(frame):
+        return frame._jdf.queryExecution().executedPlan().toString()
+
+    expected = [sorted(map(tuple, r.collect())) for r in results()]
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled_results = results()
+        assert [sorted(map(tuple, r.collect())) for r in shuffled_results] == expected
+        assert all("BroadcastHashJoin" not in plan(r) and "SortMergeJoin" in plan(r) for r in shuffled_results)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_match_groups_keep_order_and_split_huge_files(log):
     found = search.grep(log([f" hit {n}" for n in range(1, 8)]), "hit")
     rows = search.match_groups(found, group_lines=5).orderBy("part").collect()

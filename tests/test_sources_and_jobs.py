@@ -15,6 +15,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from lumberline import runtime
 from lumberline.operators.patterns import combine_patterns, map_patterns, valid_patterns
 from lumberline.plans import jobs
 from lumberline.sinks import tables, text
@@ -31,12 +32,22 @@ def by_file(frame):
     return found
 
 
+def unhinted(frame):
+    """A measured table that Spark must shuffle."""
+    cut = runtime.measured(frame)
+    return runtime.Cut(cut.rows.hint("merge"), cut.size, cut.last_line)
+
+
 def numbered(*texts):
     return list(enumerate(texts, start=1))
 
 
 @pytest.mark.parametrize("split_bytes", ["128m", "64k", "7k"])
-def test_line_numbers_do_not_depend_on_the_splits(spark, tmp_path, split_bytes):
+@pytest.mark.parametrize("offsets", ["broadcast", "shuffled"])
+def test_line_numbers_do_not_depend_on_the_splits(spark, tmp_path, split_bytes, offsets, monkeypatch):
+    if offsets == "shuffled":
+        monkeypatch.setattr(runtime, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr("lumberline.sources.lines.measured", unhinted)
     rng = random.Random(3)
     for name in ("a.log", "b.log"):
         with open(tmp_path / name, "w", newline="") as out:
