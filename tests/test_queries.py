@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import duckdb_tables, mismatch, type_differences
+from checks.oracles import ORACLES
+from checks.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -16,13 +18,14 @@ def tables():
 
 
 def test_every_query_has_its_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.keys() <= entry.queries().keys()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, tables, name):
-    got = entry.queries()[name](spark, SF_DIR)
-    relation = tables.execute(entry.oracle_sql()[name])
+    got = QUERIES[name](spark, SF_DIR)
+    relation = tables.execute(ORACLES[name])
     assert type_differences(dict(got.dtypes), relation) == []
     assert mismatch(got.toPandas(), relation.fetchdf()) is None
 
