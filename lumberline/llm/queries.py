@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumberline.llm import packing, pieces, token_files
+from lumberline.llm import exact_dedup, language_model, packing, pieces, preference, quality, simhash, token_files, topk, warc
 
 WORD_FILE, PIECE_FILE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -39,6 +39,16 @@ def _crc_rows(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = quality.in_fold("doc_id", 3, 1)
+    known = quality.labelled_documents(docs, table(spark, sf_dir, "labels"), "quality", ~held_out)
+    scored = quality.score(docs.select("doc_id", "text"), quality.train(known))
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, write coded files, read them back."""
     files = token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path(WORD_FILE), end_id=2)
@@ -53,13 +63,51 @@ def op3_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document stays of each group of equal texts."""
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), hash_all=True)
+
+
+def op5_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the pages to bundles and read the bundles."""
+    return warc.read_archives(warc.archive_pages(table(spark, sf_dir, "pages")))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents."""
+    groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those that are not held out."""
+    return language_model.score_texts(table(spark, sf_dir, "documents"), quality.in_fold("doc_id", 7, 2))
+
+
 def op8_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents, a row per piece."""
     return packing.piece_rows(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_FILE), end_id=1))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best others of every fiftieth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with an answer as a pair: its last answer against a repetition of the one before."""
+    return preference.format_preferences(preference.repeated_answer_pairs(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_token_files": op2_token_files,
     "op3_piece_round_trip": op3_piece_round_trip,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_seekable_warc": op5_seekable_warc,
+    "op6_simhash": op6_simhash,
+    "op7_language_model": op7_language_model,
     "op8_concatenate_and_cut": op8_concatenate_and_cut,
+    "op9_exact_top_k": op9_exact_top_k,
+    "op10_preference_pairs": op10_preference_pairs,
 }
