@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumberline.runtime import measured
+from lumberline.runtime import measured, written
 
 BOM_HEAD_BYTES = 16384  # enough for 4096 characters of UTF-8
 BOM_HEAD_CHARS = 4096
@@ -33,13 +35,23 @@ def _repaired(raw: Column, errors: str) -> Column:
     raise ValueError(f"errors must be 'replace' or 'ignore', not {errors!r}")
 
 
+def shown_path(uri: Column) -> Column:
+    """A file's path as it is named in its folder; Spark gives it encoded as a URI."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
+def _literal_path(path: str) -> str:
+    """The path with the signs of file patterns taken literally."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def _text_scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Raw lines with the file split they come from and an id that grows by one per line inside a split."""
     return (
         spark.read.option("recursiveFileLookup", "true")
         .text(path)
         .select(
-            F.col("_metadata.file_path").alias("file"),
+            shown_path(F.col("_metadata.file_path")).alias("file"),
             F.col("_metadata.file_block_start").alias("split"),
             F.col("value").alias("raw"),
             F.monotonically_increasing_id().alias("scan_id"),
@@ -48,44 +60,49 @@ def _text_scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _split_table(scan: DataFrame) -> DataFrame:
-    """Per file split: first id, lines in the earlier splits of the file, and whether UTF-16 is possible."""
-    starts_with_mark = (F.col("split") == 0) & F.substring(F.col("raw").cast("binary"), 1, 2).isin(
-        bytearray(b"\xff\xfe"), bytearray(b"\xfe\xff")
-    )
+    """Per file split: first id, lines in the earlier splits of the file, and whether its first line has a UTF-16 mark."""
+    marked = F.substring(F.col("raw").cast("binary"), 1, 2).isin(bytearray(b"\xff\xfe"), bytearray(b"\xfe\xff"))
     splits = scan.groupBy("file", "split").agg(
         F.min("scan_id").alias("first_id"),
         F.count(F.lit(1)).alias("lines"),
-        F.max(F.col("raw").contains("\x00") | starts_with_mark).alias("maybe_utf16"),
+        F.min_by(marked, "scan_id").alias("marked"),
+        F.min(F.when(F.col("raw").contains("\x00"), F.col("scan_id"))).alias("nul_id"),
     )
     earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("file")
-    return splits.select(
-        "file",
-        "split",
-        "first_id",
-        F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("offset"),
-        F.max("maybe_utf16").over(whole).alias("maybe_utf16"),
-    )
+    return splits.withColumn("offset", F.coalesce(F.sum("lines").over(earlier), F.lit(0))).drop("lines")
+
+
+def _utf16_files(scan: DataFrame, splits: DataFrame) -> DataFrame:
+    """Files with a mark, or with a NUL among their first characters: of their first split only the head is read."""
+    first = splits.where("split = 0")
+    early = first.where(~F.col("marked") & (F.col("nul_id") - F.col("first_id") < BOM_HEAD_CHARS)).select("file", "nul_id")
+    head = scan.where("split = 0").join(early, "file").where("scan_id <= nul_id")
+    length = F.when(F.col("scan_id") < F.col("nul_id"), F.char_length("raw") + 1).otherwise(F.instr("raw", "\x00"))
+    near = head.groupBy("file").agg(F.sum(length).alias("chars")).where(F.col("chars") <= BOM_HEAD_CHARS)
+    return first.where("marked").select("file").unionByName(near.select("file"))
 
 
 def read_lines(spark: SparkSession, path: str | list[str], errors: str = "replace") -> DataFrame:
     """Numbered lines of all text files under ``path``.
 
-    The text is never shuffled: a first pass counts lines per file split, and the small table of split offsets is
-    joined back to a second scan. UTF-16 files are found in the first pass and decoded whole.
+    The files are read once: raw lines are written with their split, and both the counts that number them and the
+    lines themselves come from that table. So the numbers do not depend on how Spark cuts files later, nor on files
+    that grow meanwhile. The text is never shuffled; the small table of split offsets is joined to it. UTF-16 files,
+    which must stay below 2 GB each, are decoded whole.
     """
-    scan = _text_scan(spark, path)
+    scan = written(_text_scan(spark, path))
     splits = measured(_split_table(scan))
-    suspects = [row["file"] for row in splits.rows.where("maybe_utf16").select("file").distinct().toLocalIterator()]
-    offsets = splits.small().where(~F.col("maybe_utf16")).drop("maybe_utf16")
+    wide = measured(_utf16_files(scan, splits.rows))
+    offsets = splits.small().select("file", "split", "first_id", "offset")
     numbered = scan.join(offsets, ["file", "split"]).select(
         "file",
         (F.col("scan_id") - F.col("first_id") + F.col("offset") + 1).alias("line_no"),
         _repaired(F.col("raw"), errors).alias("line"),
     )
+    suspects = [_literal_path(row["file"]) for row in wide.rows.toLocalIterator()]
     if not suspects:
         return numbered
-    return numbered.unionByName(decode_files(spark, suspects, errors))
+    return numbered.join(wide.small(), "file", "left_anti").unionByName(decode_files(spark, suspects, errors))
 
 
 def is_utf16(content: Column) -> Column:
@@ -109,7 +126,7 @@ def decode_files(spark: SparkSession, path: str | list[str], errors: str = "repl
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(path)
-        .select(F.col("_metadata.file_path").alias("file"), "content")
+        .select(shown_path(F.col("_metadata.file_path")).alias("file"), "content")
     )
     wide = F.when(is_utf16(F.col("content")), F.col("content"))
     decoded = files.select(

@@ -63,6 +63,40 @@ def test_line_numbers_do_not_depend_on_the_splits(spark, tmp_path, split_bytes,
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_lines_survive_other_splits_at_the_action(spark, tmp_path):
+    with open(tmp_path / "my log 100%+[1]*.log", "w") as out:
+        out.writelines(f"{n}: text\n" for n in range(1, 400_001))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        read = lines.read_lines(spark, str(tmp_path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "7")
+        with open(tmp_path / "my log 100%+[1]*.log", "a") as out:
+            out.write("grown\n")
+        assert read.count() == 400_000
+        assert read.where(F.col("line_no") != F.substring_index("line", ":", 1).cast("bigint")).count() == 0
+        assert read.select("file").distinct().first()["file"].endswith("/my log 100%+[1]*.log")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
+def test_wide_files_of_any_name(spark, tmp_path):
+    names = ["a b.txt", "50%25.txt", "x[1].txt", "s*r.txt", "c+d{e}.txt"]
+    for name in names:
+        (tmp_path / name).write_bytes(b"\xff\xfe" + f"in {name}".encode("utf-16-le"))
+    (tmp_path / "late.txt").write_text("line\n" * 20_000 + "\x00end\n")
+    read = by_file(lines.read_lines(spark, str(tmp_path)))
+    assert {name: read[name] for name in names} == {name: [(1, f"in {name}")] for name in names}
+    assert len(read["late.txt"]) == 20_001 and read["late.txt"][-1] == (20_001, "\x00end")
+
+
+def test_a_late_nul_keeps_a_file_in_splits(spark, tmp_path):
+    (tmp_path / "k.log").write_text("line\n" * 5000 + "\x00\n")
+    plan = lines.read_lines(spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "binaryFile" not in plan
+
+
 def test_encodings(spark, tmp_path):
     plain = "one é\nzwei\r\n\r三"
     (tmp_path / "utf8.txt").write_bytes(plain.encode())
