@@ -17,17 +17,17 @@ def with_key(lines: DataFrame) -> DataFrame:
 def clean(lines: DataFrame, known_duplicates: DataFrame | None = None) -> DataFrame:
     """One row per file and key, the last line winning: ``(file, line_no, cleaned_log, raw_log)``.
 
-    The aggregate is combined before the shuffle, so a key shared by a third of all lines travels once per task.
+    The aggregate is combined before the shuffle, so a key shared by a third of all lines travels once per task. Known
+    keys are left out after it, when a key stands once per file.
     """
-    keyed = with_key(lines)
-    if known_duplicates is not None:
-        keyed = exclude_known(keyed, known_duplicates)
     last = F.max(F.struct("line_no", "line")).alias("last")
-    return (
-        keyed.groupBy("file", "cleaned_log")
+    cleaned = (
+        with_key(lines)
+        .groupBy("file", "cleaned_log")
         .agg(last)
         .select("file", F.col("last.line_no").alias("line_no"), "cleaned_log", F.col("last.line").alias("raw_log"))
     )
+    return cleaned if known_duplicates is None else exclude_known(cleaned, known_duplicates)
 
 
 def exclude_known(keyed: DataFrame, known: DataFrame) -> DataFrame:

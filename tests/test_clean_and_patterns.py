@@ -31,7 +31,10 @@ def test_cleaning_twice_changes_nothing(log):
 
 def test_known_duplicates_are_left_out(log, spark):
     known = spark.createDataFrame([("beta",)], "cleaned_log STRING")
-    assert [r["cleaned_log"] for r in clean(log(["beta 1", "gamma"]), known).collect()] == ["gamma"]
+    left = clean(log(["beta 1", "gamma"]), known)
+    assert [r["cleaned_log"] for r in left.collect()] == ["gamma"]
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftAnti") < plan.index("Aggregate")
 
 
 def test_new_records_take_the_first_line_of_the_batch(log, spark):
