@@ -466,7 +466,7 @@ ORACLES: dict[str, str] = {
         select=f"""SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN {_stripped('text')} WHEN 3 THEN ''
   ELSE {_stripped('answer')} END AS answer FROM told""",
     ),
-    "fence_json": """SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 6 < 3 THEN conv_id END AS conv,
+    "fence_json": """SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 6 < 4 THEN conv_id END AS conv,
   CASE WHEN (conv_id + turn) % 6 < 3 THEN role END AS role FROM conversations""",
     "class_links": f"SELECT p_partkey, CASE {CLASS_TYPE} {LINKS} ELSE '' END AS link FROM part",
     "archive_test_results": _with(ENTRIES, select="SELECT * FROM results"),

@@ -10,6 +10,12 @@ from lumberline.functions.text import BLANKS, strip_blanks
 MARKDOWN_FENCE = r"^```markdown[^\n]*\n([\s\S]*?)\n?```\z"
 JSON_FENCE = "```json"
 
+# Strings and comments, which are kept as they are, or a comma that ends a list or an object.
+FINAL_COMMA = (
+    r'("(?:[^"\\]++|\\[\s\S])*+"' r"|'(?:[^'\\]++|\\[\s\S])*+'" r"|//[^\n]*+|/\*[\s\S]*?\*/)"
+    r"|,(?=(?:\s|//[^\n]*\n|/\*[\s\S]*?\*/)*[}\]])"
+)
+
 
 def unfence_markdown(text: Column) -> Column:
     whole = strip_blanks(text)
@@ -37,12 +43,17 @@ def without_think(text: Column) -> Column:
 
 
 def fenced_json(text: Column) -> Column:
-    """Body of the first JSON fence as a VARIANT, read leniently; NULL when absent or unreadable."""
+    """Body of the first JSON fence as a VARIANT, read leniently; NULL when absent or unreadable.
+
+    Comments, single quotes, bare names, final commas and backslashes before any character are taken.
+    """
     body = F.btrim(_before(_after(text, JSON_FENCE), "```"), F.lit(BLANKS))
+    body = F.when(body.contains(","), F.regexp_replace(body, FINAL_COMMA, "$1")).otherwise(body)
     lenient = {
         "allowSingleQuotes": "true",
         "allowUnquotedFieldNames": "true",
         "allowComments": "true",
+        "allowBackslashEscapingAnyCharacter": "true",
         "mode": "PERMISSIVE",
     }
     return F.from_json(body, "variant", lenient)

@@ -119,11 +119,14 @@ def test_fenced_json_is_lenient(apply):
         "```json {'a': 1}```",
         "```json {a: 1 /* c */}```",
         '```json {"a": 1,}```',
+        "```json {a: 1, // it's last, }\n }```",
         "```json {a```",
         "no fence",
     ]
     read = apply(probes, lambda c: answers.fenced_json(c).cast("string"))
-    assert read == ['{"a":1}'] * 3 + [None] * 3
+    assert read == ['{"a":1}'] * 5 + [None] * 2
+    kept = ['```json {"a": ",}", \'b\': [1, 2, ], "c": "it\\\'s \\d"}```', "```json [',]', \"/* , } */\",]```"]
+    assert apply(kept, lambda c: answers.fenced_json(c).cast("string")) == ['{"a":",}","b":[1,2],"c":"it\'s d"}', '[",]","/* , } */"]']
 
 
 def test_module_names(apply):
