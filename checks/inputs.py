@@ -102,6 +102,10 @@ PATTERN = """CASE
   ELSE CASE WHEN c_custkey % 2 = 0 THEN ' ' ELSE 'connection timeout' END
 END"""
 
+# A long list: many hundreds of distinct patterns, most of which match nothing, some read apart by Java and Python.
+LONG_PATTERN = """CASE WHEN o_orderkey % 100 = 7 THEN 'user [' || (o_orderkey % 10) || '&&]+ id'
+  ELSE 'user ' || (o_orderkey % 1000) || ' id' END"""
+
 # Catalog: several suppliers share a normalised module name. Requests: one per customer, some names unknown.
 MODULE_NAME = "CASE WHEN s_suppkey % 2 = 0 THEN 'Module_' || s_nationkey || '-Hal' ELSE 'module.' || s_nationkey || ' HAL' END"
 MODULE_FILE = "'/patterns/' || s_suppkey || '.txt'"
@@ -171,6 +175,10 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed.selectExpr(f"{FILE} AS file", "event_id % 512 + 1 AS line_no", line)
 
 
+def long_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr("o_custkey AS module_key", f"{LONG_PATTERN} AS pattern")
+
+
 def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").selectExpr("c_nationkey AS module_key", f"{PATTERN} AS pattern")
 

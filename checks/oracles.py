@@ -409,6 +409,14 @@ ORACLES: dict[str, str] = {
         _mapped("all_lines", 1),
         select="SELECT * FROM mapped",
     ),
+    "pattern_mapping_long_list": _with(
+        E_LINES,
+        _cleaned("log_lines"),
+        f"usable AS (SELECT DISTINCT {inputs.LONG_PATTERN} AS pattern FROM orders)",
+        "all_lines AS (SELECT file, line_no, raw_log AS log FROM cleaned)",
+        _mapped("all_lines", 2),
+        select="SELECT * FROM mapped",
+    ),
     "pattern_stats": _with(
         *PATTERN_BASE,
         _mapped("filtered", 2),

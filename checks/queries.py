@@ -199,6 +199,12 @@ def pattern_mapping_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_ops.map_patterns(lines, pattern_ops.valid_patterns(combined), 1)
 
 
+def pattern_mapping_long_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = clean_dedup_logcat(spark, sf_dir).select("file", "line_no", F.col("raw_log").alias("log"))
+    combined = materialize(pattern_ops.combine_patterns(inputs.long_patterns(spark, sf_dir)))
+    return pattern_ops.map_patterns(lines, pattern_ops.valid_patterns(combined), 2)
+
+
 def pattern_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     filtered, combined = _filtered(spark, sf_dir)
     mapping = pattern_ops.map_patterns(filtered, pattern_ops.valid_patterns(combined), 2)
@@ -346,6 +352,7 @@ QUERIES: dict[str, Query] = {
     "pattern_mapping": _mapped(1),
     "pattern_mapping_top2": _mapped(2),
     "pattern_mapping_all_lines": pattern_mapping_all_lines,
+    "pattern_mapping_long_list": pattern_mapping_long_list,
     "pattern_stats": pattern_stats,
     "parse_clean_line": parse_clean_line,
     "rendered_tails": rendered_tails,

@@ -1,26 +1,32 @@
 """Pattern lists: combine them, filter lines by them, and tell which pattern matched a line.
 
-A short list becomes literal regex expressions, each compiled once per task. A longer one is matched by Python workers
-that compile it once and stop at the first hits; it is brought to them in slices of bounded size, one after the other,
-so that neither the driver nor a worker holds the whole list and lines are never joined with patterns.
+Each pattern has one engine, chosen by its own text alone: the JVM's for what Java reads as Python does, in blocks of
+literal regex expressions, and Python workers for the rest. So a line's matches do not depend on what else is in the
+list or how long it is. Workers get their patterns in slices, one after the other; lines are never joined with patterns.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumberline.functions.text import render_line, strip_blanks
 from lumberline.runtime import materialize
 
-LITERAL_PATTERNS = 200
+BLOCK_PATTERNS = 200
 SLICE_PATTERNS = 20_000
-SLICES_PER_CUT = 10
-CASE_FREE, CASE_BOUND = "(?iU)", "(?U)"
+STEPS_PER_CUT = 10
+# The d flag: only LF ends a line for Java's dot and anchors, as in Python.
+CASE_FREE, CASE_BOUND = "(?idU)", "(?dU)"
+
+# What Java may read otherwise than Python: set operations and brackets inside brackets, Java's own meaning of some
+# escapes, verbose mode, and a class that begins with its closing bracket.
+READ_APART = re.compile(r"&&|\\[Zvh0]|\(\?[a-zA-Z]*x|\[\^?\]|\[[^\]]*\[")
 
 
 def _accepted():
@@ -70,30 +76,31 @@ def _slices(patterns: DataFrame, size: int) -> Iterator[list[str]]:
         after = found[-1]
 
 
-def _in_jvm(lines: DataFrame, patterns: list[str], flags: str) -> bool:
-    """Whether the JVM's regex engine takes all patterns."""
+def _refused(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """The patterns that the JVM's regex engine does not take; halves of a refused list are tried apart."""
+    if not patterns:
+        return []
     try:
-        lines.sparkSession.range(1).select(F.array(*[F.lit("").rlike(flags + p) for p in patterns])).collect()
+        spark.range(1).select(F.array(*[F.lit("").rlike(CASE_FREE + p) for p in patterns])).collect()
     except PySparkException as refused:
-        if "INVALID_PARAMETER_VALUE.PATTERN" in str(refused):
-            return False
-        raise
-    return True
-
-
-def _python_matches(
-    lines: DataFrame, slices: Iterator[list[str]], text: Column, limit: int, any_case: bool
-) -> DataFrame:
-    """Add ``_found``: the first ``limit`` patterns, in order, found in ``text``.
-
-    After some slices the state is cut off, which frees them.
-    """
-    matched = lines.withColumn("_text", text).withColumn("_found", F.array().cast("array<string>"))
-    for number, patterns in enumerate(slices, start=1):
-        matched = matched.mapInPandas(_matcher(patterns, limit, any_case), matched.schema)
-        if number % SLICES_PER_CUT == 0:
-            matched = materialize(matched)
-    return matched.drop("_text")
+        if "INVALID_PARAMETER_VALUE.PATTERN" not in str(refused):
+            raise
+        if len(patterns) == 1:
+            return patterns
+        middle = len(patterns) // 2
+        return _refused(spark, patterns[:middle]) + _refused(spark, patterns[middle:])
+    return []
+
+
+def _by_engine(spark: SparkSession, patterns: list[str]) -> tuple[list[str], list[str]]:
+    """The patterns for the JVM and those for Python."""
+    alike = [p for p in patterns if not READ_APART.search(p)]
+    refused = set()
+    for first in range(0, len(alike), BLOCK_PATTERNS):
+        refused.update(_refused(spark, alike[first : first + BLOCK_PATTERNS]))
+    jvm = [p for p in alike if p not in refused]
+    known = set(jvm)
+    return jvm, [p for p in patterns if p not in known]
 
 
 def _matcher(patterns: list[str], limit: int, any_case: bool):
@@ -115,46 +122,53 @@ def _matcher(patterns: list[str], limit: int, any_case: bool):
             return hits
 
         for batch in batches:
-            batch["_found"] = [extended(t, f) for t, f in zip(batch["_text"], batch["_found"])]
+            batch["_python"] = [extended(t, f) for t, f in zip(batch["_text"], batch["_python"])]
             yield batch
 
     return match
 
 
-def _literal_matches(text: Column, patterns: list[str], limit: int, flags: str) -> Column:
-    """The first ``limit`` patterns found in ``text``, which is computed once per row."""
+def _block_matches(text: Column, found: Column, patterns: list[str], limit: int, flags: str) -> Column:
+    """``found`` with the patterns of one block that match ``text``; a row that has its ``limit`` is left as it is."""
 
-    def found(value: Column) -> Column:
-        hits = [F.when(value.rlike(flags + p), F.lit(p)) for p in patterns]
+    def hits(value: Column) -> Column:
+        each = [F.when(value.rlike(flags + p), F.lit(p)) for p in patterns]
         if limit == 1:
-            return F.filter(F.array(F.coalesce(*hits)), lambda p: p.isNotNull())
-        return F.slice(F.filter(F.array(*hits), lambda p: p.isNotNull()), 1, limit)
+            return F.filter(F.array(F.coalesce(*each)), lambda p: p.isNotNull())
+        return F.slice(F.filter(F.array(*each), lambda p: p.isNotNull()), 1, limit)
 
-    return F.transform(F.array(text), found)[0] if patterns else F.array().cast("array<string>")
+    more = F.slice(F.concat(found, F.transform(F.array(text), hits)[0]), 1, limit)
+    return F.when(F.size(found) >= limit, found).otherwise(more)
 
 
 def _with_matches(lines: DataFrame, patterns: DataFrame, text: Column, limit: int, flags: str) -> DataFrame:
-    first = next(_slices(patterns, LITERAL_PATTERNS + 1), [])
-    if len(first) <= LITERAL_PATTERNS and _in_jvm(lines, first, flags):
-        return lines.withColumn("_found", _literal_matches(text, first, limit, flags))
-    return _python_matches(lines, _slices(patterns, SLICE_PATTERNS), text, limit, flags == CASE_FREE)
+    """Add ``_found``: the first ``limit`` patterns, in order, found in ``text``.
+
+    Both engines keep their first ``limit``; the first of both together are the first of all. After some steps the
+    state is cut off, which ends plans from growing with the list.
+    """
+    none = F.array().cast("array<string>")
+    matched = lines.withColumn("_text", text).withColumn("_jvm", none).withColumn("_python", none)
+    steps = 0
+    for found in _slices(patterns, SLICE_PATTERNS):
+        jvm, python = _by_engine(lines.sparkSession, found)
+        for first in range(0, len(jvm), BLOCK_PATTERNS):
+            block = jvm[first : first + BLOCK_PATTERNS]
+            matched = matched.withColumn("_jvm", _block_matches(F.col("_text"), F.col("_jvm"), block, limit, flags))
+            steps += 1
+            if steps % STEPS_PER_CUT == 0:
+                matched = materialize(matched)
+        if python:
+            matched = matched.mapInPandas(_matcher(python, limit, flags == CASE_FREE), matched.schema)
+            steps += 1
+    both = F.slice(F.array_sort(F.concat("_jvm", "_python")), 1, limit)
+    return matched.withColumn("_found", both).drop("_text", "_jvm", "_python")
 
 
 def filter_lines(cleaned: DataFrame, patterns: DataFrame) -> DataFrame:
     """Cleaned lines whose rendered form any valid pattern matches, case-sensitively: ``(file, line_no, log)``."""
     rendered = render_line(F.col("line_no"), F.col("raw_log"))
-    first = next(_slices(patterns, LITERAL_PATTERNS + 1), [])
-    if first and len(first) <= LITERAL_PATTERNS and _in_jvm(cleaned, first, CASE_BOUND):
-
-        def matched(value: Column) -> Column:
-            found = value.rlike(CASE_BOUND + first[0])
-            for pattern in first[1:]:
-                found = found | value.rlike(CASE_BOUND + pattern)
-            return found
-
-        kept = cleaned.where(F.exists(F.array(rendered), matched))
-    else:
-        kept = _with_matches(cleaned, patterns, rendered, 1, CASE_BOUND).where(F.size("_found") > 0)
+    kept = _with_matches(cleaned, patterns, rendered, 1, CASE_BOUND).where(F.size("_found") > 0)
     return kept.select("file", "line_no", F.col("raw_log").alias("log"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import warnings
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,13 +60,14 @@ def expected_mapping(usable, texts, most):
     return sorted(rows)
 
 
-@pytest.fixture(params=["literals", "workers", "many slices"])
+@pytest.fixture(params=["literals", "workers", "small blocks"])
 def path(request, monkeypatch):
-    if request.param != "literals":
-        monkeypatch.setattr(patterns, "LITERAL_PATTERNS", 0)
-    if request.param == "many slices":
-        monkeypatch.setattr(patterns, "SLICE_PATTERNS", 1)
-        monkeypatch.setattr(patterns, "SLICES_PER_CUT", 2)
+    if request.param == "workers":
+        monkeypatch.setattr(patterns, "READ_APART", re.compile(""))
+    if request.param == "small blocks":
+        monkeypatch.setattr(patterns, "SLICE_PATTERNS", 3)
+        monkeypatch.setattr(patterns, "BLOCK_PATTERNS", 2)
+        monkeypatch.setattr(patterns, "STEPS_PER_CUT", 2)
 
 
 def test_patterns_by_every_path(spark, log, path):
@@ -99,6 +101,30 @@ def test_patterns_only_python_takes_are_matched_too(spark, log):
     assert {r["line_no"]: r["regex"] for r in mapping.collect() if r["regex"]} == {3: "(?P<word>plain)", 4: "b(?P<x>a)z"}
 
 
+@pytest.mark.parametrize("others", [0, 1, 199, 200, 700])
+def test_a_pattern_reads_the_same_in_any_list(spark, log, others):
+    probes = ["[a&&b]q", "(?P<n>x)q", "[a-z&&[^b]]q", r"end\Z", "[]x]q", r"tab\vq", "d.t$", "plain"]
+    texts = ["x & yq", "&q", "bq", "b]q", "xq", "end", "end ", "]q", "d\u2028t", "d\rt", "PLAIN", "tab\x0bq", "tab\x0cq"]
+    frame = spark.createDataFrame([(p,) for p in probes + [f"nomatch{i}" for i in range(others)]], "pattern STRING")
+    valid = patterns.valid_patterns(patterns.combine_patterns(frame))
+    cleaned = log(texts).select("file", "line_no", F.col("line").alias("raw_log"))
+    kept = {r["line_no"] for r in patterns.filter_lines(cleaned, valid).collect()}
+    lines = {n: f"Line {n}: {text}" for n, text in enumerate(texts, start=1)}
+    assert kept == {n for n, text in lines.items() if any(re.search(p, text) for p in probes)}
+    mapping = patterns.map_patterns(cleaned.withColumnRenamed("raw_log", "log"), valid, 2)
+    got = sorted((r["line_no"], r["log"], r["regex"]) for r in mapping.collect())
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        assert got == expected_mapping(sorted(probes), texts, 2)
+
+
+def test_patterns_java_reads_alike_need_no_python(spark, log):
+    frame = spark.createDataFrame([(f"word{i}",) for i in range(450)], "pattern STRING")
+    mapping = patterns.map_patterns(log(["a word7"]).withColumnRenamed("line", "log"), frame)
+    assert "MapInPandas" not in mapping._jdf.queryExecution().executedPlan().toString()
+    assert mapping.first()["regex"] == "word7"
+
+
 def test_a_long_pattern_list(spark, log):
     rng = random.Random(1)
     words = [f"w{rng.randrange(10**6)}x" for _ in range(450)]
