@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from lumberline.runtime import CELL_LINES, RANGE_CELL, cell_of, measured
 
 
+# Words of 64 bits of the table that tells which cells ranges touch: 16 million bits, however many ranges there are.
+FILTER_WORDS = 1 << 18
+
+
 def _cells(width: int) -> Column:
     return cell_of(F.col("line_no"), width)
 
@@ -118,28 +122,75 @@ def _range_cells(ranges: DataFrame, width: int) -> DataFrame:
     return ranges.withColumn("_cell", F.explode(F.sequence(first, last)))
 
 
+def _merged_cells(ranges: DataFrame, width: int) -> DataFrame:
+    """Ranges cut at the borders of cells, those of a cell that overlap or touch made one: ``(file, _cell, start_line, end_line)``.
+
+    A cell has few distinct cut ranges, so lists of them are bounded however many ranges there are.
+    """
+    first = F.col("_cell") * F.lit(width).cast("bigint")
+    cut = _range_cells(ranges, width).select(
+        "file",
+        "_cell",
+        F.greatest("start_line", first).alias("start_line"),
+        F.least("end_line", first + (width - 1)).alias("end_line"),
+    )
+    listed = cut.groupBy("file", "_cell").agg(F.array_sort(F.collect_set(F.struct("start_line", "end_line"))).alias("all"))
+
+    def add(merged: Column, r: Column) -> Column:
+        last = F.element_at(merged, -1)
+        joined = F.struct(last["start_line"].alias("start_line"), F.greatest(last["end_line"], r["end_line"]).alias("end_line"))
+        touches = (F.size(merged) > 0) & (r["start_line"] <= F.try_element_at(merged, F.lit(-1))["end_line"] + 1)
+        return F.when(touches, F.concat(F.slice(merged, 1, F.size(merged) - 1), F.array(joined))).otherwise(F.concat(merged, F.array(r)))
+
+    none = F.array().cast("array<struct<start_line:bigint,end_line:bigint>>")
+    return listed.select("file", "_cell", F.explode(F.aggregate("all", none, add)).alias("r")).select("file", "_cell", "r.*")
+
+
+def in_touched_cells(celled: DataFrame, cells: DataFrame) -> DataFrame:
+    """Rows of ``celled(file, _cell, …)`` whose cell may be one of ``cells``, found without a shuffle.
+
+    The cells are hashed to the bits of a table of fixed size, which is broadcast word by word. A row of another cell
+    passes when it shares a bit, so the exact join comes after; but the lines that it shuffles are few.
+    """
+    bit = F.pmod(F.xxhash64("file", "_cell"), F.lit(64 * FILTER_WORDS).cast("bigint"))
+    word, mask = F.shiftrightunsigned(bit, 6), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(63).cast("int"))
+    words = cells.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    passed = celled.withColumn("_word", word).join(F.broadcast(words), "_word").where(mask.bitwiseAND(F.col("_bits")) != 0)
+    return passed.select(celled.columns)
+
+
 def lines_in_ranges(lines: DataFrame, ranges: DataFrame, width: int = RANGE_CELL) -> DataFrame:
     """Every line inside every range: the columns of ``ranges`` with ``line_no`` and ``line``.
 
     ``ranges(file, start_line, end_line, …)`` is materialized, measured, and broadcast when small, so that the lines
-    are not shuffled for a few ranges.
+    are not shuffled for a few ranges; for many ranges only the lines of their cells are.
     """
-    spread = measured(_range_cells(ranges, width)).small()
+    spread = measured(_range_cells(ranges, width))
     inside = F.col("line_no").between(F.col("start_line"), F.col("end_line"))
     celled = lines.withColumn("_cell", _cells(width))
-    return celled.join(spread, ["file", "_cell"]).where(inside).select(*ranges.columns, "line_no", "line")
+    if not spread.is_small:
+        celled = in_touched_cells(celled, spread.rows)
+    return celled.join(spread.small(), ["file", "_cell"]).where(inside).select(*ranges.columns, "line_no", "line")
 
 
 def lines_near(lines: DataFrame, ranges: DataFrame, width: int = RANGE_CELL) -> DataFrame:
-    """Lines inside at least one range, each once; ``ranges`` is treated as in ``lines_in_ranges``."""
-    cells = _range_cells(ranges, width)
-    spread = measured(cells.select(F.col("file").alias("_file"), F.col("_cell"), "start_line", "end_line")).small()
-    hit = (
-        (F.col("file") == F.col("_file"))
-        & (_cells(width) == F.col("_cell"))
-        & F.col("line_no").between(F.col("start_line"), F.col("end_line"))
-    )
-    return lines.join(spread, hit, "left_semi")
+    """Lines inside at least one range, each once; ``ranges`` is treated as in ``lines_in_ranges``, and merged.
+
+    Choose a ``width`` of about the ranges' length, so that a range meets few cells.
+    """
+    merged = measured(_merged_cells(ranges, width))
+    inside = F.col("line_no").between(F.col("start_line"), F.col("end_line"))
+    celled = lines.withColumn("_cell", _cells(width))
+    if not merged.is_small:
+        celled = in_touched_cells(celled, merged.rows)
+    # Merged ranges of a cell share no line, so a line is found once.
+    return celled.join(merged.small(), ["file", "_cell"]).where(inside).select(lines.columns)
+
+
+def byte_part(rows: DataFrame, size: Column, limit: int, keys: tuple[str, ...], width: int = CELL_LINES, one_cell: bool = False) -> DataFrame:
+    """Add ``part``: 0, 1, 2, … by the bytes of the rows of the same keys before the row, ``limit`` to a part."""
+    before = running_total(rows, size.cast("bigint"), "_before", keys, width, inclusive=False, one_cell=one_cell)
+    return before.withColumn("part", F.floor(F.col("_before") / limit).cast("int")).drop("_before")
 
 
 def joined_text(line_no: Column, text: Column, end: str = "\n") -> Column:

@@ -16,7 +16,7 @@ from lumberline.functions.heads import (
     tombstone_origin,
 )
 from lumberline.functions.text import BLANK
-from lumberline.operators.blocks import capture_blocks, joined_text, lines_in_ranges
+from lumberline.operators.blocks import byte_part, capture_blocks, joined_text, lines_in_ranges
 from lumberline.runtime import CELL_LINES, Cut, cell_of, measured
 
 DEBUG, RUNTIME, NATIVE, JAVA, KEYWORDS, PANIC = "debug", "runtime", "native", "java", "keywords", "kernel_panic"
@@ -32,10 +32,8 @@ TOMBSTONE_WORDS = ("tombstoned:", "/system/bin/tombstoned")
 LOOK_BACK = 200  # lines searched for the hardware name, the panic line included
 TAIL = 6  # lines kept after the panic line
 
-# A trace of more bytes than this is given in several rows of the same crash, with trace_part 0, 1, 2, …, each made of
-# the lines inside one span of the file. A file that ends within the span has no such trace to look for.
+# A trace of more bytes than this is given in several rows of the same crash, with trace_part 0, 1, 2, ….
 TRACE_BYTES = 64 << 20
-TRACE_SPAN = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -115,9 +113,7 @@ def candidate_lines(lines: DataFrame, detectors: tuple[str, ...]) -> DataFrame:
     )
 
 
-def block_crashes(
-    candidates: Cut, detectors: tuple[str, ...], width: int, trace_span: int, trace_bytes: int
-) -> DataFrame:
+def block_crashes(candidates: Cut, detectors: tuple[str, ...], width: int, trace_bytes: int) -> DataFrame:
     """Crash rows of the block detectors, all captured in one pass keyed by detector and file."""
     chosen = {name: found for name, found in block_detectors().items() if name in detectors}
     rows = candidates.rows.where(F.col("detector").isin(*chosen)).withColumn("tid", thread_id(F.col("line")))
@@ -130,37 +126,20 @@ def block_crashes(
         )
         first_origin = F.when((F.col("detector") == name) & allowed, found.origin).otherwise(first_origin)
     told = captured.withColumn("origin", first_origin)
-    block = ["detector", "file", "start_line"]
-    first = F.min(F.when(F.col("origin").isNotNull(), F.struct("line_no", "origin")))["origin"].alias("origin")
-    last = F.max("line_no").alias("end_line")
+    block = ("detector", "file", "start_line")
+    parts = byte_part(told, F.octet_length("line") + 1, trace_bytes, block, width, one_cell=candidates.last_line < width)
+    first = F.min(F.when(F.col("origin").isNotNull(), F.struct("line_no", "origin"))).alias("first")
     trace = joined_text(F.col("line_no"), F.col("line")).alias("full_stack_trace")
-    if candidates.last_line < trace_span:
-        crashes = told.groupBy(*block).agg(last, first, trace).withColumn("trace_part", F.lit(0))
-    else:
-        size = F.sum(F.octet_length("line") + 1).alias("bytes")
-        blocks = told.groupBy(*block).agg(last, first, size)
-        large = measured(
-            blocks.where(F.col("bytes") > trace_bytes).select(
-                *block,
-                F.col("end_line").alias("block_end"),
-                F.col("origin.process_name").alias("block_name"),
-                F.col("origin.pid").alias("block_pid"),
-            )
-        )
-        span = cell_of(F.col("line_no") - F.col("start_line"), trace_span)
-        part = F.when(F.col("block_end").isNotNull(), span).otherwise(0).cast("int")
-        is_large = F.max("block_end").isNotNull()
-        block_origin = F.struct(F.max("block_name").alias("process_name"), F.max("block_pid").alias("pid"))
-        crashes = (
-            told.join(large.small(), block, "left")
-            .withColumn("trace_part", part)
-            .groupBy(*block, "trace_part")
-            .agg(
-                F.coalesce(F.max("block_end"), last).alias("end_line"),
-                F.when(is_large, block_origin).otherwise(first).alias("origin"),
-                trace,
-            )
-        )
+    texts = parts.groupBy(*block, "part").agg(F.max("line_no").alias("last"), first, trace)
+    # The few parts of a block share its last line and the first origin that any of them has.
+    of_block = Window.partitionBy(*block)
+    crashes = texts.select(
+        *block,
+        F.max("last").over(of_block).alias("end_line"),
+        F.min("first").over(of_block)["origin"].alias("origin"),
+        "full_stack_trace",
+        F.col("part").alias("trace_part"),
+    )
     return crashes.select(
         "detector",
         F.col("file").alias("file_name"),
@@ -244,7 +223,6 @@ def extract_crashes(
     lines: DataFrame,
     detectors: tuple[str, ...] = DEFAULT_DETECTORS,
     width: int = CELL_LINES,
-    trace_span: int = TRACE_SPAN,
     trace_bytes: int = TRACE_BYTES,
 ) -> DataFrame:
     """Crash rows of all requested detectors.
@@ -255,7 +233,7 @@ def extract_crashes(
     candidates = measured(candidate_lines(lines, tuple(detectors)))
     parts = []
     if set(detectors) & set(block_detectors()):
-        parts.append(block_crashes(candidates, tuple(detectors), width, trace_span, trace_bytes))
+        parts.append(block_crashes(candidates, tuple(detectors), width, trace_bytes))
     if KEYWORDS in detectors:
         parts.append(keyword_crashes(candidates.rows))
     if PANIC in detectors:

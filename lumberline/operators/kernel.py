@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumberline.functions.text import BLANK, matches_any_case
-from lumberline.operators.blocks import joined_text, lines_in_ranges, segment_ranges
-from lumberline.runtime import CELL_LINES, cell_of, measured
+from lumberline.operators.blocks import byte_part, joined_text, lines_in_ranges, segment_ranges
+from lumberline.runtime import CELL_LINES, measured
 
 # Line patterns of an oops report.
 OOPS_START = r"Kernel panic|Internal error|Unable to handle kernel paging request|Oops:"
 OOPS_END = r"Modules linked in:|---\[ end trace"
 HEX_DUMP = rf"^{BLANK}*([0-9a-fA-F]{{8}}|[0-9a-fA-F]{{16}})[: ]"
 
-# A block's text is put together from at most this many lines; a longer block makes further rows, part 1, 2, ….
-BLOCK_SPAN = 1 << 22
+# A block's text has about this many bytes; a longer block makes further rows, part 1, 2, ….
+BLOCK_BYTES = 64 << 20
 
 
 def kernel_ranges(lines: DataFrame, width: int = CELL_LINES) -> DataFrame:
@@ -27,12 +27,9 @@ def kernel_ranges(lines: DataFrame, width: int = CELL_LINES) -> DataFrame:
     return segment_ranges(events.rows, width, one_cell=events.last_line < width)
 
 
-def kernel_blocks(lines: DataFrame, width: int = CELL_LINES, block_span: int = BLOCK_SPAN) -> DataFrame:
+def kernel_blocks(lines: DataFrame, width: int = CELL_LINES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(file, start_line, end_line, part, block)``; hex-dump lines are left out of the text."""
-    inside = lines_in_ranges(lines, kernel_ranges(lines, width))
-    part = cell_of(F.col("line_no") - F.col("start_line"), block_span).cast("int")
-    return (
-        inside.where(~F.col("line").rlike(HEX_DUMP))
-        .groupBy("file", "start_line", "end_line", part.alias("part"))
-        .agg(joined_text(F.col("line_no"), F.col("line")).alias("block"))
-    )
+    inside = lines_in_ranges(lines, kernel_ranges(lines, width)).where(~F.col("line").rlike(HEX_DUMP))
+    block = ("file", "start_line", "end_line")
+    parts = byte_part(inside, F.octet_length("line") + 1, block_bytes, block, width)
+    return parts.groupBy(*block, "part").agg(joined_text(F.col("line_no"), F.col("line")).alias("block"))

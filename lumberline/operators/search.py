@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumberline.functions.text import has_error_stem, is_short_line, render_line, strip_blanks
-from lumberline.operators.blocks import lines_near
-from lumberline.runtime import cell_of
+from lumberline.operators.blocks import byte_part, lines_near
+from lumberline.runtime import RANGE_CELL
 
-# Match lists hold at most the hits of this many consecutive lines; a longer file has several lists.
-GROUP_LINES = 1 << 20
+# A match list holds about this many bytes; a file of more has several lists.
+GROUP_BYTES = 64 << 20
 
 
 def error_lines(lines: DataFrame, stems: list[str] | None = None) -> DataFrame:
@@ -38,19 +38,13 @@ def grep(lines: DataFrame, regex: str, context: int = 0, direction: str = "both"
     ranges = lines.where(is_match).select(
         "file", (F.col("line_no") - up).alias("start_line"), (F.col("line_no") + down).alias("end_line")
     )
-    return lines_near(lines, ranges).select("file", "line_no", "line", is_match.alias("is_match"))
+    return lines_near(lines, ranges, max(RANGE_CELL, context)).select("file", "line_no", "line", is_match.alias("is_match"))
 
 
-def match_groups(found: DataFrame, group_lines: int = GROUP_LINES) -> DataFrame:
+def match_groups(found: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Found lines as lists of ``line n: text`` per file: ``(file, part, match_lines)``, part 0 for all but huge files."""
     ordered = F.sort_array(F.collect_list(F.struct("line_no", "text")))
-    return (
-        found.select(
-            "file",
-            cell_of(F.col("line_no") - 1, group_lines).alias("part"),
-            "line_no",
-            render_line(F.col("line_no"), strip_blanks(F.col("line")), "line").alias("text"),
-        )
-        .groupBy("file", "part")
-        .agg(ordered["text"].alias("match_lines"))
-    )
+    text = render_line(F.col("line_no"), strip_blanks(F.col("line")), "line").alias("text")
+    rendered = found.select("file", "line_no", text)
+    parts = byte_part(rendered, F.octet_length("text"), group_bytes, ("file",))
+    return parts.groupBy("file", F.col("part").cast("bigint").alias("part")).agg(ordered["text"].alias("match_lines"))

@@ -79,9 +79,13 @@ class Cut:
     size: int
     last_line: int
 
+    @property
+    def is_small(self) -> bool:
+        return self.size <= BROADCAST_BYTES
+
     def small(self) -> DataFrame:
         """The rows, marked for broadcast when their size allows it; otherwise the join is left to Spark."""
-        return F.broadcast(self.rows) if self.size <= BROADCAST_BYTES else self.rows
+        return F.broadcast(self.rows) if self.is_small else self.rows
 
 
 def measured(df: DataFrame) -> Cut:

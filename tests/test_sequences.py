@@ -78,8 +78,7 @@ def expected_blocks(detector: str, lines: list[str]) -> set[tuple]:
 def test_block_detectors_are_what_a_loop_finds(log, width):
     rng = random.Random(11)
     texts = {f"f{n}": crash_file(rng, rng.randrange(1, 120)) for n in range(12)}
-    span = 2 if width == 3 else crashes.TRACE_SPAN  # the first looks for oversize traces, the second need not
-    found = crashes.extract_crashes(shuffled(log(texts)), tuple(STARTS), width=width, trace_span=span).collect()
+    found = crashes.extract_crashes(shuffled(log(texts)), tuple(STARTS), width=width).collect()
     for detector in STARTS:
         for file, lines in texts.items():
             got = [r for r in found if r["detector"] == detector and r["file_name"] == file]
@@ -102,12 +101,14 @@ def test_only_oversize_traces_come_in_parts(log):
 
     whole = (1, 12, "p", "3", 0, text(lines[0], *lines[10:]))
     tail = (1, 22, "Unknown", "Unknown", 0, text(small[0], small[-1]))
-    assert found() == found(trace_span=5) == [whole, tail]
-    assert found(trace_span=5, trace_bytes=60) == [
+    assert found() == [whole, tail]
+    assert found(trace_bytes=60) == [
         (1, 12, "p", "3", 0, text(lines[0])),
-        (1, 12, "p", "3", 2, text(*lines[10:])),
+        (1, 12, "p", "3", 1, text(lines[10])),
+        (1, 12, "p", "3", 2, text(lines[11])),
         tail,
     ]
+    assert [row[4] for row in found(trace_bytes=10_000)] == [0, 0]
 
 
 def test_crash_attributes(log):
@@ -250,14 +251,32 @@ def test_ranges_too_large_to_broadcast_give_the_same(log, spark, monkeypatch):
     try:
         shuffled_results = results()
         assert [sorted(map(tuple, r.collect())) for r in shuffled_results] == expected
-        assert all("BroadcastHashJoin" not in plan(r) and "SortMergeJoin" in plan(r) for r in shuffled_results)
+        for plan_text in (plan(r).split("== Initial Plan ==")[0] for r in shuffled_results):
+            # What is broadcast is the bounded table of touched cells; it stands below the shuffle of the lines.
+            assert plan_text.count("BroadcastHashJoin") == 1
+            joined = plan_text[plan_text.index("SortMergeJoin") :]
+            assert joined.index("Exchange hash") < joined.index("BroadcastHashJoin")
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_wide_context_of_many_matches(log):
+    lines = ["hit" if n % 3 == 0 else "x" for n in range(2000)] + ["x"] * 3000
+    got = search.grep(shuffled(log(lines)), "hit", context=1000)
+    rows = got.collect()
+    assert sorted(r["line_no"] for r in rows) == list(range(1, 2999 + 1))
+    assert {r["line_no"] for r in rows if r["is_match"]} == set(range(1, 2000, 3))
+
+
+def test_ranges_of_a_cell_are_merged(spark):
+    ranges = spark.createDataFrame([("a", s, s + 4) for s in range(0, 200, 2)] + [("a", 400, 420)], "file STRING, start_line BIGINT, end_line BIGINT")
+    merged = sorted(tuple(r) for r in blocks._merged_cells(ranges, 100).collect())
+    assert merged == [("a", 0, 0, 99), ("a", 1, 100, 199), ("a", 2, 200, 202), ("a", 4, 400, 420)]
+
+
 def test_match_groups_keep_order_and_split_huge_files(log):
     found = search.grep(log([f" hit {n}" for n in range(1, 8)]), "hit")
-    rows = search.match_groups(found, group_lines=5).orderBy("part").collect()
+    rows = search.match_groups(found, group_bytes=60).orderBy("part").collect()
     assert [r["match_lines"] for r in rows] == [
         [f"line {n}: hit {n}" for n in range(1, 6)],
         [f"line {n}: hit {n}" for n in range(6, 8)],
