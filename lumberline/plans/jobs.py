@@ -1,4 +1,4 @@
-"""The four jobs: clean and store, subtract what is known, extract crashes, filter by modules."""
+"""The jobs: clean and store, subtract what is known, extract crashes, error lines, filter by modules."""
 
 from __future__ import annotations
 
@@ -11,16 +11,28 @@ from pyspark.sql import functions as F
 from lumberline.operators.clean import clean
 from lumberline.operators.crashes import DEFAULT_DETECTORS, extract_crashes
 from lumberline.operators.history import new_records, subtract_known
-from lumberline.operators.modules import requested, resolve_modules, unknown_modules
-from lumberline.operators.patterns import combine_patterns, filter_lines, map_patterns, mapping_stats, valid_patterns
-from lumberline.runtime import materialize
-from lumberline.sinks.tables import append_records, write_crashes_json, write_records_csv
-from lumberline.sinks.text import write_rendered
+from lumberline.operators.modules import known_module_names, requested, resolve_modules, unknown_modules
+from lumberline.operators.patterns import (
+    combine_patterns,
+    filter_lines,
+    invalid_patterns,
+    map_patterns,
+    mapping_stats,
+    valid_patterns,
+)
+from lumberline.operators.search import error_lines
+from lumberline.runtime import materialize, written
+from lumberline.sinks.tables import append_records, write_crashes_json, write_mapping_csv, write_records_csv
+from lumberline.sinks.text import write_pattern_lists, write_rendered
 from lumberline.sources.history import read_history
 from lumberline.sources.lines import read_lines
 from lumberline.sources.modules import load_patterns
 
 
+# Names of a catalog that an error message lists at most.
+NAMES_SHOWN = 1000
+
+
 def clean_and_store(
     spark: SparkSession,
     log_path: str,
@@ -30,8 +42,9 @@ def clean_and_store(
     created_at: dt.datetime | None = None,
 ) -> int:
     """Clean the logs under ``log_path``, append keys never seen before to the history, return how many."""
-    cleaned = materialize(clean(read_lines(spark, log_path)))
+    cleaned = clean(read_lines(spark, log_path))
     if clean_path is not None:
+        cleaned = written(cleaned)
         write_rendered(cleaned, clean_path)
     stamp = created_at or dt.datetime.now().replace(microsecond=0)
     records = materialize(new_records(cleaned, read_history(spark, history_path), stamp))
@@ -52,18 +65,24 @@ def crashes_to_json(
     write_crashes_json(extract_crashes(read_lines(spark, log_path, errors="ignore"), detectors), output_path)
 
 
+def error_lines_to_text(spark: SparkSession, log_path: str, output_path: str, stems: list[str] | None = None) -> None:
+    """Write the numbered lines of the logs that hold an error stem."""
+    write_rendered(error_lines(read_lines(spark, log_path), stems), output_path, text_col="line")
+
+
 class UnknownModules(ValueError):
-    """A request names modules the catalog lacks."""
+    """A request names modules the catalog lacks; the message lists those it has."""
 
 
 @dataclass(frozen=True)
 class ModuleFilter:
-    """Result of filtering lines by modules."""
+    """Result of filtering lines by modules; ``invalid`` has the patterns that no regex engine takes."""
 
     patterns: DataFrame
     filtered: DataFrame
     mapping: DataFrame
     stats: DataFrame
+    invalid: DataFrame
 
 
 def combined_patterns(spark: SparkSession, module_names: str, catalog: DataFrame) -> DataFrame:
@@ -74,7 +93,8 @@ def combined_patterns(spark: SparkSession, module_names: str, catalog: DataFrame
         raise UnknownModules("no module requested")
     unknown = [row["module_name"] for row in unknown_modules(wanted, catalog).collect()]
     if unknown:
-        raise UnknownModules(f"not in the catalog: {', '.join(sorted(unknown))}")
+        known = sorted(row["module_name"] for row in known_module_names(catalog).limit(NAMES_SHOWN).collect())
+        raise UnknownModules(f"not in the catalog: {', '.join(sorted(unknown))}; known: {', '.join(known)}")
     found = resolve_modules(wanted, catalog).select("regex_file_path").distinct().collect()
     return materialize(combine_patterns(load_patterns(spark, [row["regex_file_path"] for row in found])))
 
@@ -87,4 +107,15 @@ def filter_modules(
     usable = valid_patterns(combined)
     filtered = materialize(filter_lines(clean(lines), usable))
     mapping = map_patterns(filtered, usable, max_patterns_per_line)
-    return ModuleFilter(combined, filtered, mapping, mapping_stats(mapping, combined))
+    return ModuleFilter(combined, filtered, mapping, mapping_stats(mapping, combined), invalid_patterns(combined))
+
+
+def filter_modules_to_files(
+    spark: SparkSession, log_path: str, module_names: str, catalog: DataFrame, output_path: str, max_patterns_per_line: int = 1
+) -> ModuleFilter:
+    """Filter the logs under ``log_path`` and write the lines, the mapping as CSV, and the valid and invalid patterns."""
+    result = filter_modules(spark, read_lines(spark, log_path), module_names, catalog, max_patterns_per_line)
+    write_rendered(result.filtered, f"{output_path}/filtered", text_col="log")
+    write_mapping_csv(result.mapping, f"{output_path}/mapping")
+    write_pattern_lists(result.patterns, f"{output_path}/patterns")
+    return result

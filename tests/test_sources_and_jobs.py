@@ -299,8 +299,18 @@ def test_filter_modules(spark, tmp_path):
     both = jobs.filter_modules(spark, frame, "video, audiohal,,video", catalog, 2)
     assert sorted((r["line_no"], r["regex"]) for r in both.mapping.collect()) == [(2, "audio"), (2, "underrun"), (4, "Video")]
     for request in ("nope", "video,nope"):
-        with pytest.raises(jobs.UnknownModules, match="nope"):
+        with pytest.raises(jobs.UnknownModules, match="nope; known: Audio_HAL, audio-hal, video"):
             jobs.filter_modules(spark, frame, request, catalog)
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.log").write_text("\n".join(LOG) + "\n")
+    jobs.filter_modules_to_files(spark, f"{tmp_path}/in", "AUDIO HAL", catalog, f"{tmp_path}/out")
+    assert written(f"{tmp_path}/out/filtered") == "Line 2: Audio underrun 2\n"
+    assert written(f"{tmp_path}/out/patterns/invalid") == "(\n"
+    assert written(f"{tmp_path}/out/patterns/valid") == "audio\nunderrun\n"
+    assert written(f"{tmp_path}/out/mapping", "*.csv").splitlines() == ["line_no,log,regex", "2,Audio underrun 2,audio"]
+    jobs.error_lines_to_text(spark, f"{tmp_path}/in", f"{tmp_path}/errors")
+    assert written(f"{tmp_path}/errors").splitlines() == ["Line 1: Audio underrun 1", "Line 2: Audio underrun 2", "Line 6: fatal exception"]
     with pytest.raises(jobs.UnknownModules):
         jobs.filter_modules(spark, frame, " , ", catalog)
 
