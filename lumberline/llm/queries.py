@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumberline.llm import exact_dedup, language_model, packing, pieces, preference, quality, simhash, token_files, topk, warc
+from lumberline.llm.store import ship_package
 
 WORD_FILE, PIECE_FILE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -21,6 +22,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, for executors that have this package."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -6,6 +6,8 @@ import os
 import posixpath
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,23 @@ from pyspark.sql import DataFrame, SparkSession
 SMALL_ROWS = 100_000
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that they need no installed copy of it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="lumberline-code-"), f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as packed:
+        for path in sorted(package.rglob("*.py")):
+            packed.write(path, path.relative_to(package.parent))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name under the session's ``spark.checkpoint.dir``; a local session without it gets its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,6 +47,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to a new shared folder and read it from there: a lost executor repeats nothing before it."""
     spark = df.sparkSession
+    ship_package(spark)
     folder = shared_folder(spark, name)
     (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
