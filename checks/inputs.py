@@ -26,16 +26,16 @@ TEMPLATES = [
     "{h}I Player: open http://example.com/{e}",
     "Hello world, Now in BL33Z",
     "",
-    "{t} D/SubtitleService( 2781): #00 pc 000{u11000}  /vendor/bin/sub",
-    "{t} D/SubtitleService( 2781): #01 pc 000{u12000}  /vendor/bin/sub",
-    "{t} D/Other( 99): #02 pc 000{u13000}  /vendor/bin/other",
+    "{t} D/FrameFeeder( 4410): #00 pc 0c{u11000}  /opt/feed/bin/feeder",
+    "{t} D/FrameFeeder( 4410): #01 pc 0c{u12000}  /opt/feed/bin/feeder",
+    "{t} D/Other( 99): #02 pc 0d{u13000}  /opt/feed/bin/other",
     "",
     "{t} W/System.err( {u1000}): java.lang.IllegalArgumentException: wake lock",
     "{t} W/System.err( {u1000}):  at android.os.Wake.release(Wake.java:{e97})",
     "{t} W/System.err( 1000):  at android.os.Wake.release(Wake.java:{e97})",
     "",
     "{h}F DEBUG   : *** *** *** *** *** *** *** *** *** *** *** *** *** *** *** ***",
-    "{h}F DEBUG   : pid: {u1000}, tid: {u2000}, name: Binder  >>> /system/bin/svc{u5} <<<",
+    "{h}F DEBUG   : pid: {u1000}, tid: {u2000}, name: mixer  >>> /opt/run/feed{u5} <<<",
     "{h}F DEBUG   : signal 11 (SIGSEGV) fault addr 0x{e}",
     "",
     "{t} I/tombstoned( {u300}): tombstoned: received crash request",
@@ -44,7 +44,7 @@ TEMPLATES = [
     "[  {e}.000124] Hardware name: board (DT)",
     "[  {e}.000125] Unable to handle kernel paging request at 0000{e}",
     "ffffff80: {e} {e}",
-    "[  {e}.000126] Modules linked in: amvideo",
+    "[  {e}.000126] Modules linked in: frontcam",
     "[  {e}.000127] Kernel panic - not syncing",
     "plain text",
     "",
@@ -123,8 +123,8 @@ END"""
 ENTRY_POS = "l_orderkey * 8 + l_linenumber"
 
 # Directory listing: one log set per order; some are not below a wrapper of their own module.
-LOGSET = """'/ws/Amp' || (o_custkey % 50) || CASE o_orderkey % 3 WHEN 0 THEN '_Wrapper' WHEN 1 THEN '_wraper' ELSE '_other' END
-|| '/' || o_orderkey || '/' || CASE WHEN o_orderkey % 11 = 0 THEN 'logs' ELSE 'amp' || (o_custkey % 50) || '_logset' END"""
+LOGSET = """'/ws/Cam' || (o_custkey % 50) || CASE o_orderkey % 3 WHEN 0 THEN '_Wrapper' WHEN 1 THEN '_wraper' ELSE '_other' END
+|| '/' || o_orderkey || '/' || CASE WHEN o_orderkey % 11 = 0 THEN 'logs' ELSE 'cam' || (o_custkey % 50) || '_logset' END"""
 FILE_PATH = """'/logs/' || o_custkey || '/' || o_orderstatus || '_' || o_orderkey ||
 CASE o_orderkey % 5 WHEN 0 THEN '.log' WHEN 1 THEN '.TXT' WHEN 2 THEN '.log.gz' WHEN 3 THEN '.bin' ELSE '.Log' END"""
 

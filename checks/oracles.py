@@ -23,6 +23,7 @@ def _text_lines(name: str, table: str, text_id: str) -> str:
 
 
 D_LINES = _text_lines("doc", "documents", "doc_id")
+# Line formats that must be read as the operators read them.
 THREADTIME = r"^\s*\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d{3}\s+(?:\d+\s+){1,2}(\d+)\s+[A-Z](?:\s|$)"
 BRIEF = r"^\s*\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d{3}\s+[A-Z]/[^:]+\(\s*(\d+)\):"
 LOG_HEAD = r"[0-9-]+\s+[0-9:.]+\s+[0-9]+\s+[0-9]+\s+\w(?:\s|$)"
@@ -107,6 +108,7 @@ def _extract(pattern: str, group: int = 1) -> str:
     return f"regexp_extract(line, '{pattern}', {group})"
 
 
+# Marks, frames and attributes of the detectors.
 PROCESS = r"Process:\s+(.+?),\s+PID:\s+(\d+)"
 DETECTORS = {
     "debug": _block_detector(
@@ -192,6 +194,7 @@ kernel_found AS (
   SELECT file, min(line_no) FILTER (WHERE is_start) AS start_line, max(line_no) FILTER (WHERE is_end) AS end_line
   FROM segments GROUP BY file, segment)"""
 
+# What makes a file kernel or logcat.
 FILE_TYPES = r"""kinds AS (
   SELECT file, line_no, CASE
     WHEN regexp_matches(line, '\[\s*\d+\.\d+(?:@\d+)?\]') THEN 'kernel'
@@ -485,9 +488,9 @@ ORACLES: dict[str, str] = {
   WHEN is_test_result THEN 'skip' ELSE 'all' END AS action, CASE WHEN is_bugreport THEN core_entry END AS only_entry
   FROM reports JOIN results USING (archive)""",
     ),
-    "latest_logset": f"""SELECT regexp_extract(lower(path), '/(amp[0-9]+)_logset$', 1) AS module,
+    "latest_logset": f"""SELECT regexp_extract(lower(path), '/(cam[0-9]+)_logset$', 1) AS module,
   max({{'mtime': mtime, 'path': path}}).path AS path
-  FROM (SELECT {inputs.LOGSET} AS path, o_orderdate AS mtime, 'amp' || (o_custkey % 50) AS m FROM orders)
+  FROM (SELECT {inputs.LOGSET} AS path, o_orderdate AS mtime, 'cam' || (o_custkey % 50) AS m FROM orders)
   WHERE lower(path) LIKE '%\\_logset' ESCAPE '\\' AND (contains(lower(path), '/' || m || '_wrapper/')
     OR contains(lower(path), '/' || m || '_wraper/')) GROUP BY 1""",
     "log_files": f"""SELECT path FROM (SELECT {inputs.FILE_PATH} AS path FROM orders)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumberline.functions.text import BLANKS, strip_blanks
 
+# The fences of answers.
 MARKDOWN_FENCE = r"^```markdown[^\n]*\n([\s\S]*?)\n?```\z"
 JSON_FENCE = "```json"
 

@@ -130,6 +130,7 @@ def render_line(line_no: Column, text: Column, label: str = "Line") -> Column:
 
 def parse_rendered(line: Column) -> Column:
     """``[M:] Line N: rest`` as a struct of N (NULL when absent) and the rest."""
+    # The forms of a rendered line.
     numbered = r"(?s)^\s*\d+:\s*([^\n]*)$"
     body = F.when(line.rlike(numbered), F.regexp_extract(line, numbered, 1)).otherwise(line)
     labelled = r"(?s)^\s*Line\s+(\d+)\s*:\s*([^\n]*)$"

@@ -121,7 +121,7 @@ def test_crash_attributes(log):
             head(6) + "AndroidRuntime: Process: other, PID: 43",
         ],
         "null tid": ["fatal exception", "AndroidRuntime", head(6) + "AndroidRuntime"],
-        "native": ["03-05 10:11:12.345 D/Sub_1( 2781): #00 pc 00011819  /vendor/x"],
+        "native": ["03-05 10:11:12.345 D/Feed_1( 4410): #00 pc 0c05a1b2  /opt/x"],
         "avc": ['tombstoned: avc: denied for pid=9 comm="init x"', "x/system/bin/tombstoned( 31): y", "tombstoned: z"],
     }
     found = crashes.extract_crashes(log(lines)).collect()
@@ -131,7 +131,7 @@ def test_crash_attributes(log):
     assert by_file["debug"] == [("debug", "/bin/x", "7", 2)]
     assert by_file["runtime"] == [("runtime", "com.a b", "42", 3)]
     assert by_file["null tid"] == [("runtime", "Unknown", "Unknown", 2)]
-    assert by_file["native"] == [("native", "Sub_1", "2781", 1)]
+    assert by_file["native"] == [("native", "Feed_1", "4410", 1)]
     assert by_file["avc"] == [
         ("keywords", "init x", "9", 1),
         ("keywords", "Unknown", "31", 2),
