@@ -120,16 +120,22 @@ def in_fold(id_column: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(crc, F.lit(folds)) == fold, F.lit(False))
 
 
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Classifier:
-    """Weights from ``doc_id, text, label``, at most ``rows`` of them: those of the smallest hash of their id.
+def known_labels(labels: DataFrame, label: str, wanted: Column) -> DataFrame:
+    """``doc_id, label`` of the rows that may be learnt; of several labels of a document the largest counts."""
+    known = labels.where(wanted).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    return known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
 
-    Rows without a label take no part. Every labelled document counts when there are no more than ``rows``. The sample
-    meets in one task, which holds the state of the buckets and one batch of documents.
+
+def train(docs: DataFrame, known: DataFrame, rows: int = TRAIN_ROWS) -> Classifier:
+    """Weights from the texts of ``docs`` and their labels ``known(doc_id, label)``, at most ``rows`` of these.
+
+    The sample has the labels of the smallest hashes of their ids, all when there are no more than ``rows``. It is
+    drawn from the narrow labels and broadcast, so no text is shuffled but those of the sample, which meet in one task
+    that holds the state of the buckets and one batch of documents. Labels of absent documents teach nothing.
     """
     order = F.xxhash64("doc_id")
-    chosen = labelled.where("label IS NOT NULL").select("doc_id", "label").orderBy(order, "doc_id", "label").limit(rows)
-    texts = labelled.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = texts.select(order.alias("order"), "text", F.col("label").cast("int").alias("label")).repartition(1)
+    chosen = known.orderBy(order, "doc_id").limit(rows)
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(order.alias("order"), "text", "label").repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = Leader()
@@ -163,9 +169,3 @@ def score(docs: DataFrame, classifier: Classifier, text_column: str = "text", na
 
     schema = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])
     return kept.mapInArrow(run, schema)
-
-
-def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, wanted: Column) -> DataFrame:
-    """``doc_id, text, label`` of the documents whose label may be learnt; of several labels the largest counts."""
-    known = labels.where(wanted).where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
-    return docs.select("doc_id", "text").join(known, "doc_id")

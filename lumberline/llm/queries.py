@@ -46,8 +46,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
     held_out = quality.in_fold("doc_id", 3, 1)
-    known = quality.labelled_documents(docs, table(spark, sf_dir, "labels"), "quality", ~held_out)
-    scored = quality.score(docs.select("doc_id", "text"), quality.train(known))
+    known = quality.known_labels(table(spark, sf_dir, "labels"), "quality", ~held_out)
+    scored = quality.score(docs.select("doc_id", "text"), quality.train(docs, known))
     predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 

@@ -169,14 +169,14 @@ def test_quality_of_held_out_documents(spark):
 def test_quality_of_odd_rows(spark):
     docs = documents(spark, [(i, t) for i, t in enumerate(TEXTS)])
     labels = spark.createDataFrame([(0, 1), (1, 0), (1, None), (3, 0), (3, 1), (None, 1)], "doc_id BIGINT, quality INT")
-    known = quality.labelled_documents(docs, labels, "quality", F.lit(True))
+    known = quality.known_labels(labels, "quality", F.lit(True))
     assert sorted((r["doc_id"], r["label"]) for r in known.collect()) == [(0, 1), (1, 0), (3, 1)]
-    model = quality.train(known)
+    model = quality.train(docs, known)
     scored = quality.score(docs.withColumn("score", F.lit("old")), model)
     rows = {r["doc_id"]: r for r in scored.collect()}
     assert rows[0]["score"] == rows[1]["score"] and 0 < rows[0]["score"] < 1
     assert rows[7]["lang"] == "en" and rows[7]["text"] == TEXTS[7]
-    nothing = quality.train(known.limit(0))
+    nothing = quality.train(docs, known.limit(0))
     assert {r["score"] for r in quality.score(docs, nothing).collect()} == {0.5}
     assert quality.score(docs.limit(0), model).collect() == []
 
