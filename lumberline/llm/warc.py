@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumberline.llm.store import create_file, open_file, shared_folder, written
+from lumberline.llm.store import create_file, open_file, shared_folder, small, written
 
 # Bytes of records after which a frame ends, and bytes of compressed frames after which a file ends.
 FRAME_BYTES = 256 << 10
@@ -60,7 +60,7 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     groups = keyed.where("sha IS NOT NULL").groupBy("sha").agg(F.max("page_id").alias("keep"), F.count("*").alias("n"))
     again = written(groups.where("n > 1").select("sha", "keep"), "warc-again")
     older = F.col("keep") > F.coalesce("page_id", F.lit(-(1 << 63)).cast("bigint"))
-    return keyed.join(again, "sha", "left").select("page_id", "url", "html", F.when(older, F.col("keep")).alias("refers_to"))
+    return keyed.join(small(again), "sha", "left").select("page_id", "url", "html", F.when(older, F.col("keep")).alias("refers_to"))
 
 
 def record_urn(page_id: int | None) -> str:
@@ -195,7 +195,9 @@ def read_archives(archives: Archives) -> DataFrame:
     size and digest are taken from the payload it holds and compared with its fields; a revisit has both in its fields.
     """
     frames = archives.index.groupBy("name", "frame").agg(F.sort_array(F.collect_list(F.struct("place", "record_bytes"))).alias("records"))
-    folder = archives.folder
+    spark, folder = archives.index.sparkSession, archives.folder
+    # The index is small beside what it points to, so its bytes must not decide how many tasks read.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = (None, None, None)
@@ -214,7 +216,7 @@ def read_archives(archives: Archives) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in RECORD.split(", ")])
 
-    return frames.sortWithinPartitions("name", "frame").mapInArrow(run, RECORD)
+    return frames.repartition(tasks).sortWithinPartitions("name", "frame").mapInArrow(run, RECORD)
 
 
 def _said(data: bytes) -> tuple[int | None, int, str, str, int | None]:
