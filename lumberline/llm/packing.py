@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumberline.llm.store import written
+from lumberline.llm.store import small, written
 from lumberline.llm.tokens import ID, encode_documents
 
 WINDOW = 2048
@@ -28,8 +28,9 @@ def placed(encoded: DataFrame) -> DataFrame:
     """Written ids with ``at``, the number of ids of all documents before: ``doc_id, at, n_tokens, ids``."""
     totals = encoded.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_tokens")).alias("total"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).cast("bigint").alias("base"))
-    return encoded.join(bases, "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("at"), "n_tokens", "ids")
+    bases = written(totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).cast("bigint").alias("base")), "bases")
+    # One row per task: counted, so that the ids themselves need not be shuffled to meet it.
+    return encoded.join(small(bases), "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("at"), "n_tokens", "ids")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

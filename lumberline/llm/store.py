@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Broadcasts are allowed for tables that were written and counted below this many rows of a few numbers each.
 SMALL_ROWS = 100_000
@@ -53,6 +54,11 @@ def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A written table marked for broadcast when it counts few rows; else Spark joins by shuffle and splits hot keys."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def _at(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
