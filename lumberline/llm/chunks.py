@@ -9,6 +9,7 @@ cut between chunks, and its numbers are joined again.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 SLICE_BYTES = 4 << 20
 
 # Entries of each of the two generations of a cache.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 
 
 class TwoGenerations:
@@ -26,32 +27,23 @@ class TwoGenerations:
     def __init__(self, entries: int = CACHE_ENTRIES) -> None:
         self.entries, self.young, self.old = entries, {}, {}
 
-    def get(self, keys: list[str]) -> list[bytes | None]:
-        found = list(map(self.young.get, keys))
-        if self.old:
-            for i in [i for i, value in enumerate(found) if value is None]:
-                if (value := self.old.get(keys[i])) is not None:
-                    found[i] = value
-                    self.put(keys[i], value)
-        return found
-
-    def put(self, key: str, value: bytes) -> None:
-        if len(self.young) >= self.entries:
+    def keep(self, values: dict[str, bytes]) -> None:
+        if len(self.young) + len(values) > self.entries:
             self.old, self.young = self.young, {}
-        self.young[key] = value
+        self.young.update(values if len(values) <= self.entries else islice(values.items(), self.entries))
 
 
 def cached(cache: TwoGenerations, keys: list[str], compute: Callable[[list[str]], list[bytes]]) -> list[bytes]:
     """The value of each key, computed together for the keys that the cache doesn't hold."""
-    found = cache.get(keys)
-    missing = [i for i, value in enumerate(found) if value is None]
+    found = list(map(cache.young.get, keys))
+    missing = [key for key, value in zip(keys, found) if value is None]
     if missing:
-        names = list(dict.fromkeys(keys[i] for i in missing))
-        made = dict(zip(names, compute(names)))
-        for name, value in made.items():
-            cache.put(name, value)
-        for i in missing:
-            found[i] = made[keys[i]]
+        old = cache.old.get
+        known = {key: value for key in missing if (value := old(key)) is not None}
+        names = [key for key in dict.fromkeys(missing) if key not in known]
+        known.update(zip(names, compute(names)))
+        found = [known[key] if value is None else value for key, value in zip(keys, found)]
+        cache.keep(known)
     return found
 
 
@@ -102,10 +94,15 @@ def expand(codes: np.ndarray, blobs: list[bytes], kind: np.dtype) -> tuple[np.nd
     return table[np.arange(total) + np.repeat(shift, lengths)], ends
 
 
+def strings_of(texts: pa.Array) -> list[str]:
+    """Python strings of an array without nulls, by way of numpy, which is several times faster than one by one."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 def _values(prepared: pa.Array, blobs_of: Callable[[list[str]], list[bytes]], kind: np.dtype) -> list[np.ndarray]:
     lists = pc.split_pattern(prepared, " ")
     coded = lists.values.dictionary_encode()
-    flat, ends = expand(coded.indices.to_numpy(), blobs_of(coded.dictionary.to_pylist()), kind)
+    flat, ends = expand(coded.indices.to_numpy(), blobs_of(strings_of(coded.dictionary)), kind)
     bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy()]
     return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
@@ -118,7 +115,10 @@ def row_values(
     limit: int = SLICE_BYTES,
 ) -> Iterator[np.ndarray]:
     """For each text the numbers of its chunks in order. ``prepare`` puts blanks between the chunks of a slice."""
+    pool = pa.default_memory_pool()
     for part in slices(texts, limit):
+        # Arrow keeps what the last slice freed; a worker's share of an executor is small.
+        pool.release_unused()
         prepared = prepare(part)
         if len(part) == 1 and pc.binary_length(prepared)[0].as_py() > 2 * limit:
             cuts = _cut(prepared, limit)

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumberline.llm.chunks import row_values, slices, text_array
+from lumberline.llm.chunks import row_values, slices, strings_of, text_array
 from lumberline.llm.elias_fano import Rising
 from lumberline.llm.store import create_file, local_path, open_file, shared_folder, written
 
@@ -176,7 +176,7 @@ def _word_runs(buckets: int):
             texts_seen += batch.num_rows
             for part in slices(text_array(batch.column(0))):
                 coded = pc.split_pattern(blank_separated(part), " ").values.dictionary_encode()
-                hashes = _hashes(coded.dictionary.to_pylist())
+                hashes = _hashes(strings_of(coded.dictionary))
                 number = np.bincount(coded.indices.to_numpy(), minlength=len(hashes)).astype(np.int64)
                 real = np.array(pc.binary_length(coded.dictionary)) > 0
                 firsts.append(hashes["first"][real])

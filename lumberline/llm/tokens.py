@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumberline.llm.chunks import CACHE_ENTRIES, TwoGenerations, blank_lines, cached, row_values, text_array
+from lumberline.llm.chunks import TwoGenerations, blank_lines, cached, row_values, text_array
 
 # Ids are kept in two bytes; a vocabulary beyond that is refused, not cut.
 ID = np.dtype("<u2")
@@ -44,7 +45,7 @@ class WordEncoder:
         if self.whole.get_vocab_size() > ID_LIMIT:
             raise ValueError("the vocabulary needs ids of more than two bytes")
         self.merges = self.whole.model
-        self.cache, self.stems = TwoGenerations(), TwoGenerations(CACHE_ENTRIES // 2)
+        self.cache = TwoGenerations()
         self.letters = _byte_letters()
         self.marks = {mark: self._whole([mark])[0] for mark in ".,"}
 
@@ -79,12 +80,18 @@ class WordEncoder:
                 end = b""
             stems.append(chunk.lower() if chunk.isascii() else chunk)
             ends.append(end)
-        return [a + b for a, b in zip(cached(self.stems, stems, self._compute), ends)]
+        return [a + b for a, b in zip(cached(self.cache, stems, self._compute), ends)]
 
     def blobs(self, chunks: list[str]) -> list[bytes]:
         return cached(self.cache, chunks, self._split)
 
 
+def prepare(texts: pa.Array) -> pa.Array:
+    """Line feeds as blanks, and A-Z in lower case where no mark may join a letter: a joined capital can differ."""
+    spaced = blank_lines(texts)
+    return spaced if pc.any(pc.match_substring_regex(spaced, "\\p{M}")).as_py() else pc.ascii_lower(spaced)
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -97,7 +104,7 @@ def encoder(path: str) -> WordEncoder:
 
 def encode_texts(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
     """The ids of each text."""
-    return row_values(text_array(texts), blank_lines, encoder(path).blobs, ID)
+    return row_values(text_array(texts), prepare, encoder(path).blobs, ID)
 
 
 def encode_documents(docs: DataFrame, path: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
