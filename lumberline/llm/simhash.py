@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumberline.llm.components import components
+from lumberline.llm.near_copies import near_groups
 from lumberline.llm.store import written
 
 SHINGLE = 3
@@ -143,7 +144,11 @@ def hex_digits(value: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component, with all columns; see :func:`near_duplicates`."""
-    groups = near_duplicates(docs, id_column, text_column, size)
+    """The rows of ``docs`` whose id is the least of its component, with all columns.
+
+    Not by the three bits of :func:`near_duplicates`, which miss most near copies, but by a similarity of the shingle
+    sets of 0.8 or more; see :mod:`lumberline.llm.near_copies`.
+    """
+    groups = near_groups(docs, id_column, text_column, size)
     gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
     return docs.join(gone, F.col(id_column) == F.col("_gone"), "left_anti")

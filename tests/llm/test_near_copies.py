@@ -1,0 +1,41 @@
+"""The pipeline's near copies against brute-force Jaccard similarity."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from lumberline.llm import near_copies, simhash
+from tests.llm.test_corpus import components_of, documents, low
+
+
+def shingles(text, size=5):
+    words = low(text).split()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def similar(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+@pytest.mark.parametrize("hot", [64, 3])
+def test_near_copies_are_found(spark, hot, monkeypatch):
+    monkeypatch.setattr(near_copies, "HOT_BAND", hot)
+    pick = random.Random(hot)
+    word = lambda: f"w{pick.randrange(4000)}"
+    texts = []
+    for group in range(12):
+        base = [word() for _ in range(pick.randrange(60, 200))]
+        for _ in range(30 if group == 0 else 5):
+            near = list(base)
+            for at in pick.sample(range(len(near)), pick.randrange(0, 4)):
+                near[at] = word()
+            texts.append(" ".join(near))
+    texts = [t for n, t in enumerate(dict.fromkeys(texts)) if n % 7 != 3]
+    rows = list(enumerate(pick.sample(texts, len(texts))))
+    sets = {i: shingles(t) for i, t in rows}
+    root = components_of(sorted(sets), lambda a, b: similar(sets[a], sets[b]))
+    assert len(set(root.values())) < len(rows)
+    kept = simhash.keep_one(documents(spark, rows).repartition(4))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root.values()))
