@@ -27,17 +27,18 @@ def body(text: Column) -> Column:
     return F.concat(F.coalesce(text, F.lit("")), F.lit("<|end|>\n"))
 
 
-def _message(side: str) -> Column:
-    """One side's message of a turn; of several the first by role and text."""
-    return F.min(F.when(F.col("side") == side, F.struct(F.col("role"), F.col("text")))).alias(side)
+def _messages(side: str, every: bool) -> Column:
+    """One side's messages of a turn by role and text: all, or the first alone."""
+    message = F.when(F.col("side") == side, F.struct(F.col("role"), F.col("text")))
+    if every:
+        return F.array_sort(F.collect_list(message)).alias(side)
+    return F.filter(F.array(F.min(message)), lambda m: m.isNotNull()).alias(side)
 
 
 def _rendered(side: str, inside: Column) -> Column:
     """The rendered messages of one side in the part, in order, and which characters of them are to be learnt."""
-    there = F.filter(F.col("turns"), lambda t: t[side].isNotNull() & inside(t))
-    return F.transform(
-        F.transform(there, lambda t: t[side]), lambda m: F.struct(head(m["role"]).alias("head"), body(m["text"]).alias("body"), m["role"].alias("role"))
-    )
+    there = F.flatten(F.transform(F.filter(F.col("turns"), inside), lambda t: t[side]))
+    return F.transform(there, lambda m: F.struct(head(m["role"]).alias("head"), body(m["text"]).alias("body"), m["role"].alias("role")))
 
 
 def _text(messages: Column) -> Column:
@@ -58,20 +59,22 @@ def _spans(messages: Column) -> Column:
     return F.aggregate(messages, start, step)["spans"]
 
 
-def format_preferences(turns: DataFrame) -> DataFrame:
+def format_preferences(turns: DataFrame, every_message: bool = False) -> DataFrame:
     """Pairs from ``pair_id, side, turn, role, text``, side being chosen or rejected.
 
     A row per pair and part of 64 turns: ``pair_id, part, prompt_turns, prompt, chosen, chosen_spans, rejected,
     rejected_spans``. The prompt has the turns before the first one that differs in role or text or that one side
     lacks; completions have the turns from there. Spans are the characters of a completion's part to be learnt: text
     and end mark of answers; all else, and the whole prompt, is masked. Null texts and roles count as empty in what is
-    rendered and differ from empty ones in the comparison; a null turn comes first. One side has one message per turn,
-    of several the first by role and text. Other columns are left out; no rows give no rows.
+    rendered and differ from empty ones in the comparison; a null turn comes first. With ``every_message`` all messages
+    of a turn are kept, by role and text, are compared as a whole and count each in ``prompt_turns``; a part then grows
+    with the messages of its turns. Without it one side has one message per turn, of several the first by role and
+    text. Other columns are left out; no rows give no rows.
     """
     numbered = turns.where(F.col("side").isin("chosen", "rejected")).select(
         "pair_id", "side", F.coalesce(F.col("turn").cast("bigint"), F.lit(-1).cast("bigint")).alias("turn"), "role", "text"
     )
-    aligned = written(numbered.groupBy("pair_id", "turn").agg(_message("chosen"), _message("rejected")), "aligned-turns")
+    aligned = written(numbered.groupBy("pair_id", "turn").agg(_messages("chosen", every_message), _messages("rejected", every_message)), "aligned-turns")
     differs = ~F.col("chosen").eqNullSafe(F.col("rejected"))
     splits = written(
         aligned.groupBy("pair_id").agg(
@@ -89,7 +92,7 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     prompt = _rendered("chosen", lambda t: t["common"])
     chosen = _rendered("chosen", lambda t: ~t["common"])
     rejected = _rendered("rejected", lambda t: ~t["common"])
-    common = F.size(F.filter(F.col("turns"), lambda t: t["common"]))
+    common = F.size(F.flatten(F.transform(F.filter(F.col("turns"), lambda t: t["common"]), lambda t: t["chosen"])))
     return grouped.select(
         "pair_id",
         "part",

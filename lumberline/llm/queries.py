@@ -99,7 +99,7 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation with an answer as a pair: its last answer against a repetition of the one before."""
-    return preference.format_preferences(preference.repeated_answer_pairs(table(spark, sf_dir, "conversations")))
+    return preference.format_preferences(preference.repeated_answer_pairs(table(spark, sf_dir, "conversations")), every_message=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
