@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lumberline.llm.components import components
 from lumberline.llm.near_copies import near_groups
-from lumberline.llm.store import written
+from lumberline.llm.store import small, written
 
 SHINGLE = 3
 SEED = 42
@@ -144,11 +144,15 @@ def hex_digits(value: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component, with all columns.
+    """One text of each component, with all columns: the row of the least id, a null id last, then of the least text hash.
 
     Not by the three bits of :func:`near_duplicates`, which miss most near copies, but by a similarity of the shingle
-    sets of 0.8 or more; see :mod:`lumberline.llm.near_copies`.
+    sets of 0.8 or more; see :mod:`lumberline.llm.near_copies`. Rows are told apart by id and text, so another text of a
+    repeated id is not touched; rows that repeat both stay or go together.
     """
     groups = near_groups(docs, id_column, text_column, size)
-    gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    return docs.join(gone, F.col(id_column) == F.col("_gone"), "left_anti")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("component_key"))
+    gone = written(groups.where(~stays).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct(), "near-gone")
+    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
+    same = F.col(id_column).cast("bigint").eqNullSafe(F.col("_gone")) & (F.col("_text_key") == F.col("_gone_key"))
+    return keyed.join(small(gone), same, "left_anti").drop("_text_key")

@@ -39,3 +39,13 @@ def test_near_copies_are_found(spark, hot, monkeypatch):
     assert len(set(root.values())) < len(rows)
     kept = simhash.keep_one(documents(spark, rows).repartition(4))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root.values()))
+
+
+def test_repeated_and_null_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:-1], "end"])
+    base, clean = " ".join(base), " ".join(f"v{i}" for i in range(60))
+    rows = [(3, base), (7, near), (7, clean), (None, near + " more"), (None, "x y z"), (8, "a b c d"), (8, "a  b c d")]
+    kept = simhash.keep_one(documents(spark, rows)).collect()
+    found = sorted((r["doc_id"] or -1, " ".join(r["text"].split())) for r in kept)
+    assert found == [(-1, "x y z"), (3, base), (7, clean), (8, "a b c d")]
