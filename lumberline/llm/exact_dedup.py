@@ -40,7 +40,7 @@ def refine(docs: DataFrame, text_column: str) -> DataFrame:
 
 
 def exact_rows(docs: DataFrame, id_column: str, text_column: str, hash_all: bool) -> DataFrame:
-    """A row per id and text: ``doc_id, keep_id, group_size, n, sha``; ``n`` rows of ``docs`` have both."""
+    """A row per id and text: ``doc_id, keep_id, group_size, n, sha, size, head``; ``n`` rows of ``docs`` have both."""
     survivors = refine(docs, text_column)
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(
@@ -68,7 +68,7 @@ def exact_rows(docs: DataFrame, id_column: str, text_column: str, hash_all: bool
     marked = counted.join(_small(repeated), "sha", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return marked.select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"), "n", "sha"
+        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"), "n", "sha", "size", "head"
     )
 
 
@@ -93,7 +93,17 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     gone = written(of_group.where(~stays).select(F.col("doc_id").alias("_gone"), F.col("sha").alias("_sha")), "dedup-gone")
     again = written(of_group.where(stays & (F.col("n") > 1)).select(F.col("doc_id").alias("_gone"), F.col("sha").alias("_sha")), "dedup-again")
-    hashed = docs.withColumn("_own", F.sha2(normalized(F.col(text_column)).cast("binary"), 256))
+    # Only texts whose length and beginning a group has are hashed again.
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    keys = written(of_group.select(F.col("size").alias("_size"), F.col("head").alias("_head")).distinct(), "dedup-touched")
+    own = F.sha2(normalized(F.col(text_column)).cast("binary"), 256)
+    if keys.count() <= SMALL_ROWS:
+        found = F.broadcast(keys.withColumn("_touched", F.lit(True)))
+        beginning = F.xxhash64(normalized(F.substring(text, 1, PREFIX)))
+        marked = docs.join(found, (F.octet_length(text) == F.col("_size")) & (beginning == F.col("_head")), "left")
+        hashed = marked.withColumn("_own", F.when(F.col("_touched"), own)).drop("_size", "_head", "_touched")
+    else:
+        hashed = docs.withColumn("_own", own)
     same = F.col(id_column).eqNullSafe(F.col("_gone")) & (F.col("_own") == F.col("_sha"))
     left = hashed.join(_small(gone), same, "left_anti")
     if again.isEmpty():
