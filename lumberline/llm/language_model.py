@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lumberline.llm.chunks import row_values, slices, strings_of, text_array
 from lumberline.llm.elias_fano import Rising
-from lumberline.llm.store import create_file, local_path, open_file, shared_folder, written
+from lumberline.llm.store import create_file, discard, local_path, open_file, shared_folder, written
 
 # What is taken from each count and given to words not seen after a context.
 DISCOUNT = 0.75
@@ -491,6 +491,7 @@ def build_level(model: Model, encoded: DataFrame, end: int, last: bool) -> Model
         return _shard_row(bucket, _save_level(model, depth, pairs, lower, counts, shared, last), len(pairs), int(counts.sum()))
 
     found = _shards(written(runs.groupBy("bucket").applyInArrow(merge, SHARD), "ngram-shards"))
+    discard(runs)
     sizes = np.array([r["nodes"] for r in found], np.int64)
     firsts = np.array([edges[r["bucket"]] for r in found], np.uint64)
     cut = np.array(sorted(shared), np.int64)
@@ -511,7 +512,17 @@ def _cut_parents(runs: DataFrame, edges: np.ndarray, width: int) -> dict[int, tu
         columns = list(zip(*rows)) if rows else [[]] * 3
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("parent", "tokens", "words"), columns)})
 
-    parts = runs.groupBy("bucket").applyInArrow(ends, "parent bigint, tokens bigint, words bigint")
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = pa.Table.from_batches([batch.slice(at, 1)])
+                keys, more, counts = _runs_of(row)
+                there = np.isin(keys // np.uint64(width), cut)
+                if there.any():
+                    yield _runs(np.full(int(there.sum()), row["bucket"][0].as_py(), np.int64), keys[there], more[there], counts[there])
+
+    # Only counts of cut parents are moved.
+    parts = runs.mapInArrow(own, RUN).groupBy("bucket").applyInArrow(ends, "parent bigint, tokens bigint, words bigint")
     summed = parts.groupBy("parent").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words"))
     return {r["parent"]: (r["tokens"], r["words"]) for r in summed.collect()}
 

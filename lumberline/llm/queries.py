@@ -84,7 +84,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of those that are not held out."""
-    return language_model.score_texts(table(spark, sf_dir, "documents"), quality.in_fold("doc_id", 7, 2))
+    return language_model.score_texts(table(spark, sf_dir, "documents"), quality.in_fold("doc_id", 7, 2), order=3)
 
 
 def op8_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,14 @@ def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a written table that nothing will read again, and let go of the shuffles that read it."""
+    for uri in df.inputFiles():
+        system, path = _at(uri)
+        system.delete_file(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame) -> DataFrame:
     """A written table marked for broadcast when it counts few rows; else Spark joins by shuffle and splits hot keys."""
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
