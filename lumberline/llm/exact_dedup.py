@@ -55,6 +55,8 @@ def exact_rows(docs: DataFrame, id_column: str, text_column: str, hash_all: bool
     if many or hash_all:
         # Hash where the texts are read, so that the join moves narrow rows.
         hashed = rows.withColumn("sha", sha).drop("whole").join(found if many else F.broadcast(found), ["size", "head"], "left")
+        if not hash_all:
+            hashed = hashed.withColumn("sha", F.when(F.col("again"), F.col("sha")))
     else:
         hashed = rows.join(F.broadcast(found), ["size", "head"], "left").withColumn("sha", F.when(F.col("again"), sha))
     # Rows of one id and text are counted together: this spreads the largest groups over all tasks.
