@@ -79,9 +79,47 @@ SELECT pair_id, part, count(*) FILTER (common) AS prompt_turns,
 FROM o GROUP BY pair_id, part
 """
 
+# Terms, shares and distances in whole numbers; a source's term that it lacks has a count of 0.
+SOURCE_AUDIT = """
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT doc, lang, source, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM d)
+), k AS (
+  SELECT lang, term, count(*) AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= 3
+), c AS (
+  SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL
+), g AS (
+  SELECT s.lang, s.source, coalesce(t.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) s
+  LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) t USING (lang, source)
+), l AS (
+  SELECT lang, sum(lang_n) AS n, count(*) AS v FROM k GROUP BY lang
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS own, k.lang_n, l.n AS lang_total, l.v,
+    CAST(1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.n + l.v) AS BIGINT) AS p,
+    CAST(1 + 1000000000::HUGEINT * (k.lang_n + 1) // (l.n + l.v) AS BIGINT) AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), x AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), y AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), z AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM y
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE own > 0 AND p > q
+)
+SELECT lang, source, part, item, value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM z QUALIFY part = 'pair' OR rank <= 200
+"""
+
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": EXACT_DEDUP,
     "op5_seekable_warc": SEEKABLE_WARC,
     "op9_exact_top_k": EXACT_TOP_K,
     "op10_preference_pairs": PREFERENCE_PAIRS,
+    "op13_source_audit": SOURCE_AUDIT,
 }

@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumberline.llm import exact_dedup, language_model, packing, pieces, preference, quality, simhash, token_files, topk, warc
+from lumberline.llm import (
+    exact_dedup,
+    language_model,
+    mixing,
+    packing,
+    periodic_runs,
+    pieces,
+    preference,
+    quality,
+    simhash,
+    source_terms,
+    token_files,
+    topk,
+    warc,
+)
 from lumberline.llm.store import ship_package
 
 WORD_FILE, PIECE_FILE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -31,8 +48,6 @@ def _crc_rows(df: DataFrame) -> DataFrame:
     """``ids`` as the CRC of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
         for batch in batches:
             at = batch.schema.get_field_index("ids")
             crc = pa.array([zlib.crc32(value.as_buffer()) for value in batch.column(at)], pa.int64())
@@ -102,6 +117,43 @@ def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_preferences(preference.repeated_answer_pairs(table(spark, sf_dir, "conversations")), every_message=True)
 
 
+def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed: sources weigh 5, 2, 1 over and over, and none is taken more than three times."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), partial(mixing.repeating, (5, 2, 1)), repeats=3)
+    return mixed.drop("source", "spans")
+
+
+def repeated_tail(doc: int | None, n: int) -> np.ndarray | None:
+    """Every tenth document by the CRC of its id repeats a stretch to its end: the places of the words it then has."""
+    h = zlib.crc32(str(doc).encode())
+    if doc is None or h % 10 or not n:
+        return None
+    g = h // 10
+    first = g % n
+    period = 1 + (n - first) // (3 + g % 8)
+    return np.concatenate([np.arange(first), first + np.arange(n - first) % period])
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of the words of all documents, every tenth of them with a planted one, and the texts without them."""
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), places=repeated_tail)
+    best = F.col("strongest")
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "strongest.*",
+        F.call_function("div", best["length"] * 1000, best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each source's terms differ from those of other sources and of its language."""
+    return source_terms.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_files": op2_token_files,
@@ -113,4 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_concatenate_and_cut": op8_concatenate_and_cut,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_preference_pairs": op10_preference_pairs,
+    "op11_mix_sources": op11_mix_sources,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_source_audit": op13_source_audit,
 }
