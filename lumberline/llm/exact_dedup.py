@@ -1,7 +1,8 @@
 """Exact dedup by progressive refinement: length, then a hash of the beginning, then a hash of the whole text.
 
 Only built-in functions. Each level groups narrow rows with map-side counts and goes on with the keys that occur more
-than once; the whole text is hashed for documents of surviving groups alone.
+than once: beginnings are hashed of texts whose length another has, whole texts of those whose length and beginning
+another has.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumberline.llm.store import SMALL_ROWS, written
+from lumberline.llm.store import SMALL_ROWS, each_copy, rows_with, ship_package, written
 
 # Characters of a text that its second key looks at.
 PREFIX = 256
@@ -29,24 +30,30 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
+def _size(text_column: str) -> Column:
+    return F.octet_length(F.coalesce(F.col(text_column), F.lit("")))
+
+
+def _head(text_column: str) -> Column:
+    return F.xxhash64(normalized(F.substring(F.col(text_column), 1, PREFIX)))
+
+
 def refine(docs: DataFrame, text_column: str) -> DataFrame:
     """The keys ``size, head`` that more than one row of ``docs`` has, written: what the whole texts are hashed for."""
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    keys = docs.select(F.octet_length(text).alias("size"), F.xxhash64(normalized(F.substring(text, 1, PREFIX))).alias("head"))
-    # Both levels from one read: keys with their counts, then the lengths whose counts sum to more than one.
-    counted = written(keys.groupBy("size", "head").agg(F.count("*").alias("n")), "dedup-keys")
-    lengths = counted.groupBy("size").agg(F.sum("n").alias("rows")).where("rows > 1").select("size")
-    return written(counted.where("n > 1").join(lengths, "size", "left_semi").select("size", "head"), "dedup-survivors")
+    ship_package(docs.sparkSession)
+    sized = docs.select(_size(text_column).alias("size"), F.col(text_column).alias("beginning"))
+    lengths = written(sized.groupBy("size").agg(F.count("*").alias("n")).where("n > 1").select("size"), "dedup-lengths")
+    headed = sized.join(_small(lengths), "size", "left_semi").select("size", _head("beginning").alias("head"))
+    return written(headed.groupBy("size", "head").agg(F.count("*").alias("n")).where("n > 1").select("size", "head"), "dedup-survivors")
 
 
 def exact_rows(docs: DataFrame, id_column: str, text_column: str, hash_all: bool) -> DataFrame:
     """A row per id and text: ``doc_id, keep_id, group_size, n, sha, size, head``; ``n`` rows of ``docs`` have both."""
     survivors = refine(docs, text_column)
-    text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(
         F.col(id_column).alias("doc_id"),
-        F.octet_length(text).alias("size"),
-        F.xxhash64(normalized(F.substring(text, 1, PREFIX))).alias("head"),
+        _size(text_column).alias("size"),
+        _head(text_column).alias("head"),
         normalized(F.col(text_column)).alias("whole"),
     )
     found = survivors.withColumn("again", F.lit(True))
@@ -83,32 +90,32 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     out. No rows give no rows.
     """
     counted = exact_rows(docs, id_column, text_column, hash_all)
-    each = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
+    each = each_copy(counted, "n")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return each.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; see :func:`exact_groups` for which."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; see :func:`exact_groups` for which."""
     counted = exact_rows(docs, id_column, text_column, hash_all=False)
     of_group = counted.where("group_size > 1")
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    gone = written(of_group.where(~stays).select(F.col("doc_id").alias("_gone"), F.col("sha").alias("_sha")), "dedup-gone")
-    again = written(of_group.where(stays & (F.col("n") > 1)).select(F.col("doc_id").alias("_gone"), F.col("sha").alias("_sha")), "dedup-again")
+    gone = written(of_group.where(~stays).select(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha")), "dedup-gone")
+    again = written(of_group.where(stays & (F.col("n") > 1)).select(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha")), "dedup-again")
     # Only texts whose length and beginning a group has are hashed again.
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    keys = written(of_group.select(F.col("size").alias("_size"), F.col("head").alias("_head")).distinct(), "dedup-touched")
-    own = F.sha2(normalized(F.col(text_column)).cast("binary"), 256)
+    keys = written(of_group.select(F.col("size").alias("key_size"), F.col("head").alias("key_head")).distinct(), "dedup-touched")
+    text = F.col(text_column)
+    rows = rows_with(docs, id=F.col(id_column), text=text)
+    own = F.sha2(normalized(F.col("text")).cast("binary"), 256)
     if keys.count() <= SMALL_ROWS:
-        found = F.broadcast(keys.withColumn("_touched", F.lit(True)))
-        beginning = F.xxhash64(normalized(F.substring(text, 1, PREFIX)))
-        marked = docs.join(found, (F.octet_length(text) == F.col("_size")) & (beginning == F.col("_head")), "left")
-        hashed = marked.withColumn("_own", F.when(F.col("_touched"), own)).drop("_size", "_head", "_touched")
+        found = F.broadcast(keys.withColumn("touched", F.lit(True)))
+        marked = rows.join(found, (_size("text") == F.col("key_size")) & (_head("text") == F.col("key_head")), "left")
+        hashed = marked.select("row", "id", F.when(F.col("touched"), own).alias("own"))
     else:
-        hashed = docs.withColumn("_own", own)
-    same = F.col(id_column).eqNullSafe(F.col("_gone")) & (F.col("_own") == F.col("_sha"))
+        hashed = rows.select("row", "id", own.alias("own"))
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("own") == F.col("gone_sha"))
     left = hashed.join(_small(gone), same, "left_anti")
-    if again.isEmpty():
-        return left.drop("_own")
-    once = left.join(_small(again), same, "left_semi").dropDuplicates([id_column, "_own"])
-    return left.join(_small(again), same, "left_anti").unionByName(once).drop("_own")
+    if not again.isEmpty():
+        once = left.join(_small(again), same, "left_semi").dropDuplicates(["id", "own"])
+        left = left.join(_small(again), same, "left_anti").unionByName(once)
+    return left.select("row.*")

@@ -6,7 +6,8 @@ a shard is cut into blocks of about equally many words. Blocks go to the sources
 quota. A shard takes all its blocks as often as the quota allows and a seeded choice of them once more. Where a block
 ends inside a document, the document is taken in part: spans of words say which.
 
-One row per source and per shard of ``SHARD_WORDS`` words meets on the driver, as numbers; rows of documents never do.
+One row per source, and one for each of at most ``SHARDS`` shards and one more per source, meet on the driver as
+numbers; rows of documents never do.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumberline.llm.chunks import text_array
-from lumberline.llm.store import ship_package, small, written
+from lumberline.llm.store import each_copy, ship_package, written
 
-# Words of a shard, about: what one task orders and cuts.
-SHARD_WORDS = 1 << 22
+# Words of a shard, about: what one task orders and cuts. Beyond 2^20 shards of the least size, shards grow instead.
+SHARD_WORDS = 1 << 17
+SHARDS = 1 << 20
 
 # Words of a block at most, and blocks that the smallest target is worth at least while blocks have more than a word.
 BLOCK_WORDS = 256
@@ -191,7 +193,7 @@ def mix(
     source_column: str = "source",
     text_column: str = "text",
     block_words: int | None = None,
-    shard_words: int = SHARD_WORDS,
+    shard_words: int | None = None,
 ) -> DataFrame:
     """A row per document: ``doc_id, source, size, source_size, target, taken, spans``.
 
@@ -226,6 +228,7 @@ def mix(
     if block_words is None:
         least = min((t for t in wanted if t > 0), default=0)
         block_words = int(min(BLOCK_WORDS, max(1, least // LEAST_BLOCKS)))
+    shard_words = shard_words or max(SHARD_WORDS, -(-sum(sizes) // SHARDS))
     sources = spark.createDataFrame(
         [(i, source, size, target, max(1, -(-size // shard_words))) for i, ((source, size), target) in enumerate(zip(found, wanted))],
         "number bigint, source string, source_size bigint, target double, shards bigint",
@@ -260,9 +263,7 @@ def mix(
         return _cut_shard(seed, shard_rows)
 
     some = planned.drop("shards").groupBy("number", "shard").applyInArrow(cut, out_schema)
-    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(copies - 1) div {BUNDLE}")))
-    none = named.where("size = 0").select("*", copies.alias("bundle"))
-    none = none.withColumn("one", F.explode(F.sequence(F.lit(1), F.least(F.lit(BUNDLE).cast("bigint"), F.col("copies") - F.col("bundle") * BUNDLE).cast("int"))))
+    none = each_copy(named.where("size = 0"), "copies")
     none = none.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"), F.array().cast(SPANS).alias("spans"))
     return some.unionByName(none)
 

@@ -18,8 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumberline.llm.components import components
-from lumberline.llm.near_copies import near_groups
-from lumberline.llm.store import small, written
+from lumberline.llm.store import rows_with, ship_package, small, written
 
 SHINGLE = 3
 SEED = 42
@@ -51,17 +50,25 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return int(np.packbits(over, bitorder="little").view(np.uint64)[0])
 
 
+def text_keys(text: Column) -> tuple[Column, Column]:
+    """128 bits that tell texts apart, null as empty: two hashes of the same text from different seeds."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.xxhash64(whole), F.xxhash64(F.lit(SEED), whole)
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE) -> DataFrame:
-    """``doc_id, fingerprint`` of each whole text, the fingerprint as a signed number of 64 bits; null as empty."""
+    """``doc_id, key, key2, fingerprint`` of each whole text, the fingerprint as a signed number of 64 bits; null as empty."""
+    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
+            texts = batch.column(3).cast(pa.large_binary())
             found = np.array([fingerprint(t.as_py() or b"", size) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found)], ["doc_id", "key", "key2", "fingerprint"])
 
-    chosen = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    return chosen.mapInArrow(run, "doc_id bigint, fingerprint bigint")
+    first, second = text_keys(F.col(text_column))
+    chosen = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), first.alias("key"), second.alias("key2"), F.col(text_column).alias("text"))
+    return chosen.mapInArrow(run, "doc_id bigint, key bigint, key2 bigint, fingerprint bigint")
 
 
 def _half(value: Column, which: int) -> Column:
@@ -120,6 +127,18 @@ def near_links(nodes: DataFrame) -> DataFrame:
     return cold.unionByName(_links(*by_byte, [*keys, "byte"]))
 
 
+def _grouped(prints: DataFrame) -> DataFrame:
+    """Written ``fingerprint, least``: the least ``(no id, id, key, key2)`` of all texts that links of at most three bits reach."""
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "key2")
+    nodes = written(prints.groupBy("fingerprint").agg(F.min(key).alias("least")).withColumnRenamed("fingerprint", "fp"), "nodes")
+    roots = components(near_links(nodes.select("fp")))
+    rooted = written(nodes.join(roots, nodes.fp == roots.node).select("fp", "least", "root"), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    linked = rooted.drop("least").join(least, "root").select("fp", "least")
+    alone = nodes.join(rooted.select("fp"), "fp", "left_anti").select("fp", "least")
+    return written(linked.unionByName(alone).withColumnRenamed("fp", "fingerprint"), "components")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row: the least id that links of at most three bits reach.
 
@@ -128,14 +147,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     other columns are left out; no rows give no rows.
     """
     prints = written(fingerprints(docs, id_column, text_column, size), "fingerprints")
-    nodes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumnRenamed("fingerprint", "fp"), "nodes")
-    roots = components(near_links(nodes))
-    rooted = written(nodes.join(roots, nodes.fp == roots.node).select("fp", "least", "root"), "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = rooted.join(least, "root").select("fp", "component_id")
-    alone = nodes.join(rooted.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
-    named = written(linked.unionByName(alone), "components")
-    return prints.join(named.withColumnRenamed("fp", "fingerprint"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = _grouped(prints).select("fingerprint", F.col("least.doc_id").alias("component_id"))
+    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def hex_digits(value: Column) -> Column:
@@ -143,16 +156,29 @@ def hex_digits(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5) -> DataFrame:
-    """One text of each component, with all columns: the row of the least id, a null id last, then of the least text hash.
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE) -> DataFrame:
+    """One row of each component of :func:`near_duplicates`, with all its columns, whatever their names.
 
-    Not by the three bits of :func:`near_duplicates`, which miss most near copies, but by a similarity of the shingle
-    sets of 0.8 or more; see :mod:`lumberline.llm.near_copies`. Rows are told apart by id and text, so another text of a
-    repeated id is not touched; rows that repeat both stay or go together.
+    The row of the least id stays, a null id last, then of the least text hashes; of rows alike in id and text, one.
+    Rows are told apart by id and text, so another text of a repeated id is not touched. Null and empty texts are one
+    component together with every text whose fingerprint is near zero. No rows give no rows.
     """
-    groups = near_groups(docs, id_column, text_column, size)
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("component_key"))
-    gone = written(groups.where(~stays).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct(), "near-gone")
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
-    same = F.col(id_column).cast("bigint").eqNullSafe(F.col("_gone")) & (F.col("_text_key") == F.col("_gone_key"))
-    return keyed.join(small(gone), same, "left_anti").drop("_text_key")
+    prints = written(fingerprints(docs, id_column, text_column, size), "fingerprints")
+    one = ["doc_id", "key", "key2"]
+    counted = prints.groupBy("fingerprint", *one).agg(F.count("*").alias("n")).join(_grouped(prints), "fingerprint")
+    stays = F.lit(True)
+    for name in one:
+        stays = stays & F.col(name).eqNullSafe(F.col(f"least.{name}"))
+    # Texts that stay in one row; all others are gone but for those.
+    decided = written(counted.select(*[F.col(c).alias(f"gone_{c}") for c in one], stays.alias("stays"), "n").where("NOT stays OR n > 1"), "near-gone")
+    gone, again = decided.where("NOT stays").drop("stays", "n"), decided.where("stays").drop("stays", "n")
+    first, second = text_keys(F.col(text_column))
+    rows = rows_with(docs, doc_id=F.col(id_column).cast("bigint"), key=first, key2=second)
+    same = F.lit(True)
+    for name in one:
+        same = same & F.col(name).eqNullSafe(F.col(f"gone_{name}"))
+    left = rows.join(small(gone), same, "left_anti")
+    if not again.isEmpty():
+        once = left.join(small(again), same, "left_semi").dropDuplicates(one)
+        left = left.join(small(again), same, "left_anti").unionByName(once)
+    return left.select("row.*")

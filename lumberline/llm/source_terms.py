@@ -25,7 +25,7 @@ LEAST_DOCUMENTS = 3
 TOP_TERMS = 200
 SCALE = 1_000_000_000
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 # Pairs of sources whose sums a task holds before it hands them on.
 HELD_PAIRS = 1 << 20
@@ -58,7 +58,7 @@ class Pointers:
         stops[lasts] = inside[lasts]
         self.lengths = np.flatnonzero(stops) + 1 - self.starts
         self.texts = np.searchsorted(offsets, self.starts, "right") - 1
-        lowered = buffer + np.where((buffer >= 65) & (buffer <= 90), 32, 0).astype(np.uint8)
+        lowered = buffer | (((buffer >= 65) & (buffer <= 90)).view(np.uint8) << 5)
         self.buffer = np.concatenate([lowered, np.zeros(16, np.uint8)])
         self.windows = np.lib.stride_tricks.sliding_window_view(self.buffer, 8)
 
@@ -190,6 +190,8 @@ def term_counts(docs: DataFrame, lang_column: str = "lang", source_column: str =
             source_of = sources.dictionary.take(pa.array(pairs % max(1, len(sources.dictionary))))
             at = 0
             for part in slices(text_array(batch.column(2)), SLICE_BYTES):
+                # What Arrow keeps of the last slice would count to this worker's share of an executor.
+                pa.default_memory_pool().release_unused()
                 own = group[at : at + len(part)]
                 at += len(part)
                 if len(part) == 1 and pc.binary_length(part)[0].as_py() > 2 * SLICE_BYTES:

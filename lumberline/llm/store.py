@@ -10,12 +10,15 @@ import zipfile
 from pathlib import Path
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Broadcasts are allowed for tables that were written and counted below this many rows of a few numbers each.
 SMALL_ROWS = 100_000
 
+# Equal rows that are written out from one count together.
+BUNDLE = 1 << 16
+
 
 _shipped: set[str] = set()
 
@@ -67,6 +70,20 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
+def rows_with(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Whole rows as one column ``row`` beside keys made from them: no column of ``docs`` can clash with a key's name."""
+    columns = [F.col("`{}`".format(name.replace("`", "``"))) for name in docs.columns]
+    return docs.select(F.struct(*columns).alias("row"), *[key.alias(name) for name, key in keys.items()])
+
+
+def each_copy(df: DataFrame, count: str) -> DataFrame:
+    """Every row as often as its ``count`` says, numbered from 1 in ``copy``; dealt in bundles, so that no list is long."""
+    bundles = df.withColumn("bundle", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"({count} - 1) div {BUNDLE}"))))
+    own = F.least(F.lit(BUNDLE).cast("bigint"), F.col(count) - F.col("bundle") * BUNDLE)
+    each = bundles.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), own)))
+    return each.withColumn("copy", F.col("copy") + F.col("bundle") * BUNDLE).drop("bundle")
+
+
 def _at(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
