@@ -20,18 +20,21 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier takes for good; it learns from the labels that are not held out."""
     learnt = ~quality.in_fold("doc_id", 3, 1)
     known = quality.known_labels(table(spark, sf_dir, "labels"), "quality", learnt)
-    scored = quality.score(docs, quality.train(docs, known), name="_quality")
-    return scored.where(F.col("_quality") >= 0.5).select(docs.columns)
+    name = "quality"
+    while name in docs.columns:
+        name += "_"
+    scored = quality.score(docs, quality.train(docs, known), name=name)
+    return scored.where(F.col(name) >= 0.5).drop(name)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one of the largest id."""
-    return exact_dedup.drop_copies(docs).select(docs.columns)
+    return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts with a similarity of 0.8 or more: the one of the least id."""
-    return simhash.keep_one(docs).select(docs.columns)
+    """One document of each component of fingerprints that differ in at most three bits: the one of the least id."""
+    return simhash.keep_one(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
