@@ -83,15 +83,22 @@ def _cut(text: pa.Array, limit: int) -> pa.Array:
     return pa.array(parts, pa.large_binary()).cast(pa.large_string())
 
 
-def expand(codes: np.ndarray, blobs: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of ``blobs[code]`` for each code in turn, and where those of each code end."""
-    sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // kind.itemsize
-    table = np.frombuffer(b"".join(blobs), kind)
-    lengths = sizes[codes]
+def gathered(table: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of the table that begin at ``starts``, one after the other."""
     ends = np.cumsum(lengths)
-    shift = (np.cumsum(sizes) - sizes)[codes] - (ends - lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return table[np.arange(total) + np.repeat(shift, lengths)], ends
+    return table[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
+
+
+def expand(codes: np.ndarray, table: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of each code in turn, and where those of each code end; code ``i`` has ``sizes[i]`` of the table."""
+    lengths = sizes[codes]
+    return gathered(table, (np.cumsum(sizes) - sizes)[codes], lengths), np.cumsum(lengths)
+
+
+def flat_blobs(blobs: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all blobs in one array, and how many each has."""
+    return np.frombuffer(b"".join(blobs), kind), np.fromiter(map(len, blobs), np.int64, len(blobs)) // kind.itemsize
 
 
 def strings_of(texts: pa.Array) -> list[str]:
@@ -99,22 +106,21 @@ def strings_of(texts: pa.Array) -> list[str]:
     return texts.to_numpy(zero_copy_only=False).tolist()
 
 
-def _values(prepared: pa.Array, blobs_of: Callable[[list[str]], list[bytes]], kind: np.dtype) -> list[np.ndarray]:
+def _values(prepared: pa.Array, numbers_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     lists = pc.split_pattern(prepared, " ")
     coded = lists.values.dictionary_encode()
-    flat, ends = expand(coded.indices.to_numpy(), blobs_of(strings_of(coded.dictionary)), kind)
+    flat, ends = expand(coded.indices.to_numpy(), *numbers_of(coded.dictionary))
     bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy()]
     return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
-def row_values(
-    texts: pa.Array,
-    prepare: Callable[[pa.Array], pa.Array],
-    blobs_of: Callable[[list[str]], list[bytes]],
-    kind: np.dtype,
-    limit: int = SLICE_BYTES,
+def chunk_values(
+    texts: pa.Array, prepare: Callable[[pa.Array], pa.Array], numbers_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], limit: int = SLICE_BYTES
 ) -> Iterator[np.ndarray]:
-    """For each text the numbers of its chunks in order. ``prepare`` puts blanks between the chunks of a slice."""
+    """For each text the numbers of its chunks in order. ``prepare`` puts blanks between the chunks of a slice.
+
+    ``numbers_of`` gets distinct chunks and gives the numbers of all of them in one array, and how many each has.
+    """
     pool = pa.default_memory_pool()
     for part in slices(texts, limit):
         # Arrow keeps what the last slice freed; a worker's share of an executor is small.
@@ -122,9 +128,20 @@ def row_values(
         prepared = prepare(part)
         if len(part) == 1 and pc.binary_length(prepared)[0].as_py() > 2 * limit:
             cuts = _cut(prepared, limit)
-            yield np.concatenate([_values(cuts.slice(i, 1), blobs_of, kind)[0] for i in range(len(cuts))])
+            yield np.concatenate([_values(cuts.slice(i, 1), numbers_of)[0] for i in range(len(cuts))])
         else:
-            yield from _values(prepared, blobs_of, kind)
+            yield from _values(prepared, numbers_of)
+
+
+def row_values(
+    texts: pa.Array,
+    prepare: Callable[[pa.Array], pa.Array],
+    blobs_of: Callable[[list[str]], list[bytes]],
+    kind: np.dtype,
+    limit: int = SLICE_BYTES,
+) -> Iterator[np.ndarray]:
+    """As :func:`chunk_values`, from a byte string of numbers for each chunk."""
+    return chunk_values(texts, prepare, lambda chunks: flat_blobs(blobs_of(strings_of(chunks)), kind), limit)
 
 
 def blank_lines(texts: pa.Array) -> pa.Array:

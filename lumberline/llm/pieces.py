@@ -62,96 +62,40 @@ class PairTable:
         return self.ranks[found], self.results[found]
 
 
-class PieceModel:
-    """The pieces of a model file, their ranks, and the pairs that make them."""
+class MergeRounds:
+    """Merges of pairs of symbols by rank, for many words at once."""
 
-    def __init__(self, path: str) -> None:
-        import sentencepiece
+    def __init__(self, pairs: PairTable) -> None:
+        self.pairs = pairs
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = model.get_piece_size()
-        names = [model.id_to_piece(i) for i in range(size)]
-        self.begin, self.end, self.unknown = model.bos_id(), model.eos_id(), model.unk_id()
-        normal = [
-            i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
-        ]
-        if any(model.is_unused(i) for i in range(size)):
-            raise ValueError("models with unused pieces are split again after merging; that is not supported")
-        self.bytes = np.zeros(256, np.int64)
-        found = 0
-        for i in range(size):
-            if model.is_byte(i):
-                self.bytes[int(names[i][3:-1], 16)] = i
-                found += 1
-        if found != 256:
-            raise ValueError("the model needs a piece for every byte")
-        ids = {names[i]: i for i in normal}
-        if any(BLANK in name.lstrip(BLANK) for name in ids):
-            raise ValueError("a piece goes on beyond a blank, so words can't be merged apart")
-        if any("\n" in name for name in ids if len(name) > 1):
-            raise ValueError("a piece holds a line feed beside other characters")
-        # Ranks: the better score first; pieces of one score share a rank, and of those the leftmost is merged first.
-        scores = np.array([model.get_score(i) for i in normal])
-        rank_of = dict(zip(normal, np.unique(-scores, return_inverse=True)[1].tolist()))
-        self.size = size
-        keys, results, ranks = [], [], []
-        for name, i in ids.items():
-            for cut in range(1, len(name)):
-                left, right = self._symbol(ids, name[:cut]), self._symbol(ids, name[cut:])
-                if left is not None and right is not None:
-                    keys.append((left << 32) | right)
-                    results.append(i)
-                    ranks.append(rank_of[i])
-        self.pairs = PairTable(np.array(keys, np.int64), np.array(ranks, np.int64), np.array(results, np.int64))
-        # The symbol of each character: its piece, or a number of its own beyond all ids.
-        self.first = self.size + np.arange(0x110000, dtype=np.int64)
-        for name, i in ids.items():
-            if len(name) == 1:
-                self.first[ord(name)] = i
-        # The text of each piece in bytes, to decode with.
-        texts = [
-            bytes([int(names[i][3:-1], 16)]) if model.is_byte(i)
-            else b"" if model.is_control(i)
-            else model.decode([self.unknown]).encode() if model.is_unknown(i)
-            else names[i].replace(BLANK, " ").encode()
-            for i in range(size)
-        ]
-        self.text_sizes = np.fromiter(map(len, texts), np.int64, size)
-        self.text_starts = np.cumsum(self.text_sizes) - self.text_sizes
-        self.text_bytes = np.frombuffer(b"".join(texts), np.uint8)
-        self.cache = TwoGenerations()
-
-    def _symbol(self, ids: dict[str, int], text: str) -> int | None:
-        """The number of a symbol: a piece's id, or for a lone character without a piece its code point beyond all ids."""
-        if text in ids:
-            return ids[text]
-        return self.size + ord(text) if len(text) == 1 else None
-
-    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The symbols of the words after all merges, flat, and how many each word has."""
-        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        symbol = self.first[points]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        word = np.repeat(np.arange(len(words)), sizes)
+    def merge_symbols(self, symbol: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols after all merges, flat, and how many each word has; ``sizes`` has how many it begins with."""
+        word = np.repeat(np.arange(len(sizes)), sizes)
         done_symbols, done_words = [], []
         rank = result = None
         while len(symbol):
             if rank is None:
                 rank, result = self._ranks(symbol, word)
             starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            span = np.diff(np.append(starts, len(word)))
             lowest = np.minimum.reduceat(rank, starts)
-            live = np.repeat(lowest < NONE, np.diff(np.append(starts, len(word))))
-            if not live.all():
+            open_ = lowest < NONE
+            if not open_.all():
                 # Words without a pair are ready.
+                live = np.repeat(open_, span)
                 done_symbols.append(symbol[~live])
                 done_words.append(word[~live])
                 symbol, word, rank, result = symbol[live], word[live], rank[live], result[live]
-                continue
-            span = np.diff(np.append(starts, len(word)))
+                span, lowest = span[open_], lowest[open_]
+                if not len(symbol):
+                    break
             hit = rank == np.repeat(lowest, span)
-            hit = self._leftmost(hit, word)
-            hit = self._until_better(symbol, word, rank, result, hit)
             at = np.flatnonzero(hit)
+            owner = word[at]
+            # Only where a word has several pairs of its lowest rank can they overlap or make a better one.
+            if (owner[1:] == owner[:-1]).any():
+                hit = self._until_better(symbol, word, rank, result, self._leftmost(hit, word))
+                at = np.flatnonzero(hit)
             symbol[at] = result[at]
             keep = np.ones(len(symbol), bool)
             keep[at + 1] = False
@@ -165,7 +109,7 @@ class PieceModel:
         flat = np.concatenate(done_symbols) if done_symbols else np.zeros(0, np.int64)
         owner = np.concatenate(done_words) if done_words else np.zeros(0, np.int64)
         order = np.argsort(owner, kind="stable")
-        return flat[order], np.bincount(owner, minlength=len(words))
+        return flat[order], np.bincount(owner, minlength=len(sizes))
 
     def _ranks(self, symbol: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self._ranks_at(symbol, word, np.arange(len(symbol)))
@@ -216,6 +160,77 @@ class PieceModel:
         kept[at[earlier == base]] = True
         return kept
 
+
+class PieceModel(MergeRounds):
+    """The pieces of a model file, their ranks, and the pairs that make them."""
+
+    def __init__(self, path: str) -> None:
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        size = model.get_piece_size()
+        names = [model.id_to_piece(i) for i in range(size)]
+        self.begin, self.end, self.unknown = model.bos_id(), model.eos_id(), model.unk_id()
+        normal = [
+            i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
+        ]
+        if any(model.is_unused(i) for i in range(size)):
+            raise ValueError("models with unused pieces are split again after merging; that is not supported")
+        self.bytes = np.zeros(256, np.int64)
+        found = 0
+        for i in range(size):
+            if model.is_byte(i):
+                self.bytes[int(names[i][3:-1], 16)] = i
+                found += 1
+        if found != 256:
+            raise ValueError("the model needs a piece for every byte")
+        ids = {names[i]: i for i in normal}
+        if any(BLANK in name.lstrip(BLANK) for name in ids):
+            raise ValueError("a piece goes on beyond a blank, so words can't be merged apart")
+        if any("\n" in name for name in ids if len(name) > 1):
+            raise ValueError("a piece holds a line feed beside other characters")
+        # Ranks: the better score first; pieces of one score share a rank, and of those the leftmost is merged first.
+        scores = np.array([model.get_score(i) for i in normal])
+        rank_of = dict(zip(normal, np.unique(-scores, return_inverse=True)[1].tolist()))
+        self.size = size
+        keys, results, ranks = [], [], []
+        for name, i in ids.items():
+            for cut in range(1, len(name)):
+                left, right = self._symbol(ids, name[:cut]), self._symbol(ids, name[cut:])
+                if left is not None and right is not None:
+                    keys.append((left << 32) | right)
+                    results.append(i)
+                    ranks.append(rank_of[i])
+        super().__init__(PairTable(np.array(keys, np.int64), np.array(ranks, np.int64), np.array(results, np.int64)))
+        # The symbol of each character: its piece, or a number of its own beyond all ids.
+        self.first = self.size + np.arange(0x110000, dtype=np.int64)
+        for name, i in ids.items():
+            if len(name) == 1:
+                self.first[ord(name)] = i
+        # The text of each piece in bytes, to decode with.
+        texts = [
+            bytes([int(names[i][3:-1], 16)]) if model.is_byte(i)
+            else b"" if model.is_control(i)
+            else model.decode([self.unknown]).encode() if model.is_unknown(i)
+            else names[i].replace(BLANK, " ").encode()
+            for i in range(size)
+        ]
+        self.text_sizes = np.fromiter(map(len, texts), np.int64, size)
+        self.text_starts = np.cumsum(self.text_sizes) - self.text_sizes
+        self.text_bytes = np.frombuffer(b"".join(texts), np.uint8)
+        self.cache = TwoGenerations()
+
+    def _symbol(self, ids: dict[str, int], text: str) -> int | None:
+        """The number of a symbol: a piece's id, or for a lone character without a piece its code point beyond all ids."""
+        if text in ids:
+            return ids[text]
+        return self.size + ord(text) if len(text) == 1 else None
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of the words after all merges, flat, and how many each word has."""
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        return self.merge_symbols(self.first[points], np.fromiter(map(len, words), np.int64, len(words)))
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each word: merged pieces, and the bytes of characters that have no piece."""
         symbols, counts = self.merge(words)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import unicodedata
+import json
 from array import array
 from collections.abc import Iterator
 
@@ -13,15 +13,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumberline.llm.chunks import TwoGenerations, blank_lines, cached, row_values, text_array
+from lumberline.llm.chunks import TwoGenerations, blank_lines, cached, chunk_values, flat_blobs, gathered, strings_of, text_array
+from lumberline.llm.pieces import MergeRounds, PairTable
 
 # Ids are kept in two bytes; a vocabulary beyond that is refused, not cut.
 ID = np.dtype("<u2")
 ID_LIMIT = 1 << 16
 
-# Letters whose lower-case form is one letter whatever stands beside them, and that compose with nothing.
-PLAIN_LETTERS = chr(0x250)
-CAPITAL_DOTTED_I = "İ"
+# Bytes beyond which a word goes to the library.
+LONG_WORD = 48
+
+# Latin letters up to U+024F as UTF-8: ASCII letters, and two bytes of which the first is one of these. Their lower-case
+# form is one letter whatever stands beside them, and they compose with nothing.
+LATIN_LEADS = range(0xC3, 0xCA)
+# No letters (multiplication and division sign), and the capital whose lower-case form is two characters.
+NOT_LATIN = ("×", "÷", "İ")
+STRANGE = np.array([not (chr(b).isalpha() if b < 128 else b < 0xC0 or b in LATIN_LEADS) for b in range(256)])
+
+
+def _strange(data: np.ndarray) -> np.ndarray:
+    """Marks the bytes of UTF-8 text that are not part of a Latin letter."""
+    out = STRANGE[data]
+    for sign in NOT_LATIN:
+        lead, last = sign.encode()
+        out[:-1] |= (data[:-1] == lead) & (data[1:] == last)
+    return out
 
 
 def _byte_letters() -> dict[int, int]:
@@ -31,11 +47,35 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in kept} | {b: 256 + i for i, b in enumerate(others)}
 
 
+class WordMerges(MergeRounds):
+    """The merges of a byte-level BPE file whose words end with a marked symbol."""
+
+    def __init__(self, model: dict) -> None:
+        ids, suffix = model["vocab"], model["end_of_word_suffix"]
+        made = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        keys = np.array([(ids[a] << 32) | ids[b] for a, b in made], np.int64)
+        # A pair that is listed twice has the rank of its last place.
+        last = len(made) - 1 - np.unique(keys[::-1], return_index=True)[1]
+        results = np.array([ids[a + b] for a, b in made], np.int64)
+        super().__init__(PairTable(keys[last], last, results[last]))
+        letters = {b: chr(c) for b, c in _byte_letters().items()}
+        self.inner = np.array([ids[letters[b]] for b in range(256)], np.int64)
+        self.final = np.array([ids[letters[b] + suffix] for b in range(256)], np.int64)
+
+    def merge(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of bytes, flat, and how many each has; no word is empty."""
+        symbols = self.inner[data]
+        lasts = np.cumsum(sizes) - 1
+        symbols[lasts] = self.final[data[lasts]]
+        return self.merge_symbols(symbols, sizes)
+
+
 class WordEncoder:
     """Encodes chunks between blanks. Blanks and line feeds separate tokens in such files, so chunks are independent.
 
-    A chunk of plain letters is one word for the file's splitting rule and goes straight to the library's merges; so
-    does such a chunk with a full stop or comma at its end, which is a token of its own. Others take the whole path.
+    A chunk of Latin letters is one word for the file's splitting rule and goes straight to the merges, all such words of
+    a slice together, as bytes; a full stop or comma at its end is a token of its own. Other chunks, and very long words,
+    which would keep all rounds waiting, are encoded by the library, and their ids are kept for the next slice.
     """
 
     def __init__(self, path: str) -> None:
@@ -44,46 +84,50 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         if self.whole.get_vocab_size() > ID_LIMIT:
             raise ValueError("the vocabulary needs ids of more than two bytes")
-        self.merges = self.whole.model
+        self.merges = WordMerges(json.loads(self.whole.to_str())["model"])
         self.cache = TwoGenerations()
-        self.letters = _byte_letters()
-        self.marks = {mark: self._whole([mark])[0] for mark in ".,"}
+        self.marks = {mark: int(np.frombuffer(self._whole([mark])[0], ID)[0]) for mark in ".,"}
 
     def _whole(self, chunks: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.whole.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _compute(self, stems: list[str]) -> list[bytes]:
-        out: list[bytes | None] = []
-        rest = []
-        tokenize, normalize = self.merges.tokenize, unicodedata.normalize
-        for i, stem in enumerate(stems):
-            if stem.isalpha() and (stem.isascii() or max(stem) < PLAIN_LETTERS and CAPITAL_DOTTED_I not in stem):
-                if not stem.isascii():
-                    stem = normalize("NFC", stem).lower().encode().decode("latin-1").translate(self.letters)
-                out.append(array("H", [t.id for t in tokenize(stem)]).tobytes())
-            else:
-                out.append(None)
-                rest.append(i)
-        for i, ids in zip(rest, self._whole([stems[i] for i in rest])):
-            out[i] = ids
-        return out
-
-    def _split(self, chunks: list[str]) -> list[bytes]:
-        marks = self.marks
-        stems, ends = [], []
-        for chunk in chunks:
-            end = marks.get(chunk[-1:])
-            last = chunk[-2:-1]
-            if end is not None and last.isalpha() and last < PLAIN_LETTERS and last != CAPITAL_DOTTED_I:
-                chunk = chunk[:-1]
-            else:
-                end = b""
-            stems.append(chunk.lower() if chunk.isascii() else chunk)
-            ends.append(end)
-        return [a + b for a, b in zip(cached(self.cache, stems, self._compute), ends)]
-
-    def blobs(self, chunks: list[str]) -> list[bytes]:
-        return cached(self.cache, chunks, self._split)
+    def numbers(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct chunks, flat, and how many each has."""
+        chunks = chunks.cast(pa.large_string())
+        offsets = np.frombuffer(chunks.buffers()[1], np.int64, len(chunks) + 1, 8 * chunks.offset)
+        data = chunks.buffers()[2]
+        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+        starts, sizes = offsets[:-1], np.diff(offsets)
+        before = np.concatenate([[0], np.cumsum(_strange(data))])
+        end = np.where(sizes > 1, data[np.maximum(offsets[1:] - 1, 0)], 0)
+        marked = (end == ord(".")) | (end == ord(","))
+        sizes = sizes - marked
+        plain = (sizes > 0) & (sizes <= LONG_WORD) & (before[starts + sizes] == before[starts])
+        marked &= plain
+        # Each word once, with and without its mark.
+        words, own = np.flatnonzero(plain), sizes[plain]
+        bounds = np.concatenate([[0], np.cumsum(own)])
+        stems = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(bounds.tobytes()), pa.py_buffer(gathered(data, starts[plain], own).tobytes()))
+        stems = stems.dictionary_encode()
+        lowered = pc.utf8_lower(stems.dictionary)
+        stem_ends = np.frombuffer(lowered.buffers()[1], np.int64, len(lowered) + 1)
+        letters = np.frombuffer(lowered.buffers()[2], np.uint8, int(stem_ends[-1])) if len(words) else np.zeros(0, np.uint8)
+        flat, counts = self.merges.merge(letters, np.diff(stem_ends))
+        code = stems.indices.to_numpy()
+        others = np.flatnonzero(~plain)
+        rest, rest_counts = flat_blobs(cached(self.cache, strings_of(chunks.take(pa.array(others))), self._whole), ID)
+        # Where each chunk's ids begin in the two arrays, one behind the other.
+        first, size = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        first[words], size[words] = (np.cumsum(counts) - counts)[code], counts[code]
+        first[others], size[others] = len(flat) + np.cumsum(rest_counts) - rest_counts, rest_counts
+        total = size + marked
+        ends = np.cumsum(total)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, ID)
+        place = np.ones(len(out), bool)
+        place[ends[marked] - 1] = False
+        out[place] = gathered(np.concatenate([flat.astype(ID), rest]), first, size)
+        out[~place] = np.where(end[marked] == ord("."), self.marks["."], self.marks[","])
+        return out, total
 
 
 def prepare(texts: pa.Array) -> pa.Array:
@@ -104,7 +148,7 @@ def encoder(path: str) -> WordEncoder:
 
 def encode_texts(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
     """The ids of each text."""
-    return row_values(text_array(texts), prepare, encoder(path).blobs, ID)
+    return chunk_values(text_array(texts), prepare, encoder(path).numbers)
 
 
 def encode_documents(docs: DataFrame, path: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

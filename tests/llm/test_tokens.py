@@ -113,10 +113,18 @@ def test_merge_rounds_stop_for_better_pairs():
             assert [names[s] for s in flat[end - n : end]] == symbols
 
 
+def test_letters_of_all_kinds(word_encoder):
+    pick = random.Random(4)
+    letters = [*"aäÄÖßéÉ×÷İıŁłƝȺȾDžǅµªº\u0301\u0341AZz.,'0!日ſK\u00a0\u1680øŉǰ", "the", "Straße", "CAFÉ", "Ⱥbc", "x" * 60, *" " * 8]
+    texts = ["".join(pick.choices(letters, k=pick.choice([1, 5, 30, 200]))) for _ in range(3000)]
+    want = [word_encoder(text) for text in texts]
+    assert [ids.tolist() for ids in tokens.encode_texts(pa.array(texts), WORDS)] == want
+
+
 def test_long_texts_are_cut_between_chunks(word_encoder):
     text = " ".join(f"word{i} it's, é{i}." for i in range(400))
-    values = chunks.row_values(
-        chunks.text_array(pa.array([text, "b", None])), chunks.blank_lines, tokens.encoder(WORDS).blobs, tokens.ID, limit=500
+    values = chunks.chunk_values(
+        chunks.text_array(pa.array([text, "b", None])), chunks.blank_lines, tokens.encoder(WORDS).numbers, limit=500
     )
     assert [v.tolist() for v in values] == [word_encoder(text), word_encoder("b"), []]
 
