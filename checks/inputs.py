@@ -183,6 +183,21 @@ def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").selectExpr("c_nationkey AS module_key", f"{PATTERN} AS pattern")
 
 
+# Patterns with classes and borders of words that read letters beyond ASCII, each with the same in explicit classes.
+_WORD, _OTHER = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+LETTER_PATTERNS = {
+    r"\bfür\b": f"(?:^|{_OTHER})für(?:$|{_OTHER})",
+    r"\w+ción\b": f"{_WORD}+ción(?:$|{_OTHER})",
+    r"ß\s\w": f"ß[\\s\\p{{Z}}]{_WORD}",
+    r"\Bü\b": f"{_WORD}ü(?:$|{_OTHER})",
+    r"^\w+é\W": f"^{_WORD}+é{_OTHER}",
+}
+
+
+def letter_patterns(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(pattern,) for pattern in LETTER_PATTERNS], "pattern STRING")
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = [f"{MODULE_NAME} AS module_name", f"{MODULE_FILE} AS regex_file_path"]
     return table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS pos", *named)

@@ -420,6 +420,14 @@ ORACLES: dict[str, str] = {
         _mapped("all_lines", 2),
         select="SELECT * FROM mapped",
     ),
+    "pattern_mapping_letters": _with(
+        D_LINES,
+        "usable(shown, pattern) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in inputs.LETTER_PATTERNS.items()) + ")",
+        select="""SELECT l.file, l.line_no, l.line AS log, coalesce(m.shown, '') AS regex FROM doc_lines l LEFT JOIN (
+    SELECT file, line_no, shown, row_number() OVER (PARTITION BY file, line_no ORDER BY shown) AS nth
+    FROM doc_lines JOIN usable ON regexp_matches(line, '(?i)' || pattern)) m
+  ON m.file = l.file AND m.line_no = l.line_no AND nth <= 2""",
+    ),
     "pattern_stats": _with(
         *PATTERN_BASE,
         _mapped("filtered", 2),

@@ -205,6 +205,12 @@ def pattern_mapping_long_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_ops.map_patterns(lines, pattern_ops.valid_patterns(combined), 2)
 
 
+def pattern_mapping_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = inputs.document_lines(spark, sf_dir).withColumnRenamed("line", "log")
+    combined = pattern_ops.combine_patterns(inputs.letter_patterns(spark))
+    return pattern_ops.map_patterns(lines, pattern_ops.valid_patterns(combined), 2)
+
+
 def pattern_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     filtered, combined = _filtered(spark, sf_dir)
     mapping = pattern_ops.map_patterns(filtered, pattern_ops.valid_patterns(combined), 2)
@@ -353,6 +359,7 @@ QUERIES: dict[str, Query] = {
     "pattern_mapping_top2": _mapped(2),
     "pattern_mapping_all_lines": pattern_mapping_all_lines,
     "pattern_mapping_long_list": pattern_mapping_long_list,
+    "pattern_mapping_letters": pattern_mapping_letters,
     "pattern_stats": pattern_stats,
     "parse_clean_line": parse_clean_line,
     "rendered_tails": rendered_tails,

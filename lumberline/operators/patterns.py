@@ -1,8 +1,9 @@
 """Pattern lists: combine them, filter lines by them, and tell which pattern matched a line.
 
-Each pattern has one engine, chosen by its own text alone: the JVM's for what Java reads as Python does, in blocks of
-literal regex expressions, and Python workers for the rest. So a line's matches do not depend on what else is in the
-list or how long it is. Workers get their patterns in slices, one after the other; lines are never joined with patterns.
+Patterns mean what they mean to Python's ``re``, on every line and in any list: they are matched there, in one pass over
+the lines. From each pattern the driver takes literal text that every match must hold; a worker finds all literals of
+the list in a line with one automaton and tries only the patterns whose literals the line has, so a long list costs
+little more than a short one. Lists beyond a bound are worked on in slices, one pass after the other in the same tasks.
 """
 
 from __future__ import annotations
@@ -11,22 +12,126 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumberline.functions.text import render_line, strip_blanks
-from lumberline.runtime import materialize
 
-BLOCK_PATTERNS = 200
+# Patterns that a worker holds at once.
 SLICE_PATTERNS = 20_000
-STEPS_PER_CUT = 10
-# The d flag: only LF ends a line for Java's dot and anchors, as in Python.
-CASE_FREE, CASE_BOUND = "(?idU)", "(?dU)"
 
-# What Java may read otherwise than Python: set operations and brackets inside brackets, Java's own meaning of some
-# escapes, verbose mode, and a class that begins with its closing bracket.
-READ_APART = re.compile(r"&&|\\[Zvh0]|\(\?[a-zA-Z]*x|\[\^?\]|\[[^\]]*\[")
+# A literal shorter than this is in too many lines to tell them apart.
+LEAST_LITERAL = 2
+
+# Characters beyond ASCII that equal an ASCII letter when case is ignored.
+ASCII_ALIKE = {0x17F: "s", 0x212A: "k", 0x130: "i", 0x131: "i"}
+
+
+class _Scan:
+    """Reads a pattern from left to right and notes the literal text of its alternatives, as far as it is sure of it."""
+
+    def __init__(self, pattern: str) -> None:
+        self.pattern, self.at = pattern, 0
+        self.best, self.run = "", ""
+        self.done: list[str] = []
+
+    def end_run(self) -> None:
+        if len(self.run) > len(self.best):
+            self.best = self.run
+        self.run = ""
+
+    def end_alternative(self) -> None:
+        self.end_run()
+        self.done.append(self.best)
+        self.best = ""
+
+    def skip_class(self) -> None:
+        """Go behind a class of characters; a closing bracket at its beginning is one of them."""
+        self.at += 1
+        if self.pattern[self.at : self.at + 1] == "^":
+            self.at += 1
+        first = self.at
+        while self.at < len(self.pattern) and (self.pattern[self.at] != "]" or self.at == first):
+            self.at += 2 if self.pattern[self.at] == "\\" else 1
+        self.at += 1
+
+    def skip_group(self) -> None:
+        """Go behind a group, with the groups inside it."""
+        depth = 0
+        while self.at < len(self.pattern):
+            sign = self.pattern[self.at]
+            if sign == "[":
+                self.skip_class()
+                continue
+            if sign == "\\":
+                self.at += 2
+                continue
+            depth += (sign == "(") - (sign == ")")
+            self.at += 1
+            if not depth:
+                return
+
+    def literal(self, sign: str) -> None:
+        """A sign that stands for itself, unless what follows it may leave it out."""
+        self.at += 1
+        after = self.pattern[self.at : self.at + 1]
+        if after and after in "*?{":
+            self.end_run()
+        elif after == "+":
+            self.run += sign
+            self.end_run()
+        elif sign.isascii():
+            self.run += sign
+        else:
+            self.end_run()
+
+    def read(self) -> list[str]:
+        while self.at < len(self.pattern):
+            sign = self.pattern[self.at]
+            if sign == "|":
+                self.end_alternative()
+                self.at += 1
+            elif sign == "(":
+                self.end_run()
+                self.skip_group()
+            elif sign == "[":
+                self.end_run()
+                self.skip_class()
+            elif sign == "\\":
+                escaped = self.pattern[self.at + 1 : self.at + 2]
+                self.at += 1
+                if escaped.isascii() and not escaped.isalnum():
+                    self.literal(escaped)
+                else:
+                    # A class, a place, a number: what follows the letter may belong to it, so no run goes on here.
+                    self.end_run()
+                    self.at += 1
+                    while self.at < len(self.pattern) and (self.pattern[self.at].isalnum() or self.pattern[self.at] == "{"):
+                        if self.pattern[self.at] == "{":
+                            self.at = max(self.pattern.find("}", self.at), self.at)
+                        self.at += 1
+                    if self.at < len(self.pattern) and self.pattern[self.at] in "*?{":
+                        self.at += 1
+            elif sign in ".^$*+?{}":
+                self.end_run()
+                if sign == "{":
+                    # A repetition, or a brace that stands for itself: neither is used.
+                    close = self.pattern.find("}", self.at)
+                    self.at = close if close > 0 else self.at
+                self.at += 1
+            else:
+                self.literal(sign)
+        self.end_alternative()
+        return self.done
+
+
+def required_literals(pattern: str) -> list[str] | None:
+    """Lower-case ASCII texts of which every match holds one, or None when the pattern promises no such text."""
+    if re.search(r"\(\?[a-zA-Z]*x", pattern):
+        return None  # blanks and comments of a verbose pattern are no text
+    found = {text.lower() for text in _Scan(pattern).read()}
+    return sorted(found) if min(map(len, found)) >= LEAST_LITERAL else None
 
 
 def _accepted():
@@ -76,105 +181,90 @@ def _slices(patterns: DataFrame, size: int) -> Iterator[list[str]]:
         after = found[-1]
 
 
-def _refused(spark: SparkSession, patterns: list[str]) -> list[str]:
-    """The patterns that the JVM's regex engine does not take; halves of a refused list are tried apart."""
-    if not patterns:
-        return []
-    try:
-        spark.range(1).select(F.array(*[F.lit("").rlike(CASE_FREE + p) for p in patterns])).collect()
-    except PySparkException as refused:
-        if "INVALID_PARAMETER_VALUE.PATTERN" not in str(refused):
-            raise
-        if len(patterns) == 1:
-            return patterns
-        middle = len(patterns) // 2
-        return _refused(spark, patterns[:middle]) + _refused(spark, patterns[middle:])
-    return []
-
-
-def _by_engine(spark: SparkSession, patterns: list[str]) -> tuple[list[str], list[str]]:
-    """The patterns for the JVM and those for Python."""
-    alike = [p for p in patterns if not READ_APART.search(p)]
-    refused = set()
-    for first in range(0, len(alike), BLOCK_PATTERNS):
-        refused.update(_refused(spark, alike[first : first + BLOCK_PATTERNS]))
-    jvm = [p for p in alike if p not in refused]
-    known = set(jvm)
-    return jvm, [p for p in patterns if p not in known]
-
-
 def _matcher(patterns: list[str], limit: int, any_case: bool):
-    def match(batches: Iterator) -> Iterator:
+    """Appends the patterns found in ``_text`` to ``_found``, up to ``limit`` in order."""
+    literals = [required_literals(p) for p in patterns]
+    alike = ASCII_ALIKE
+
+    # Everything the workers need is in here, so that they need no copy of this package.
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
         import warnings
 
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            compiled = [(p, re.compile(p, re.IGNORECASE if any_case else 0).search) for p in patterns]
-
-        def extended(text: str, found) -> list[str]:
+        always = [i for i, found in enumerate(literals) if found is None]
+        holders: dict[str, list[int]] = {}
+        for i, found in enumerate(literals):
+            for text in found or ():
+                holders.setdefault(text, []).append(i)
+        try:
+            import ahocorasick
+        except ImportError:
+
+            def held(text: str) -> Iterator[list[int]]:
+                return (own for literal, own in holders.items() if literal in text)
+        else:
+            automaton = ahocorasick.Automaton()
+            for literal, own in holders.items():
+                automaton.add_word(literal, own)
+            automaton.make_automaton()
+
+            def held(text: str) -> Iterator[list[int]]:
+                return (own for _, own in automaton.iter(text)) if holders else iter(())
+
+        searches: dict[int, object] = {}
+
+        def search(i: int):
+            if i not in searches:
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore")
+                    searches[i] = re.compile(patterns[i], re.IGNORECASE if any_case else 0).search
+            return searches[i]
+
+        def extended(text: str | None, found: list[str]) -> list[str]:
+            if text is None or len(found) >= limit:
+                return found
+            plain = text.lower() if text.isascii() else text.translate(alike).lower()
+            candidates = set(always)
+            for own in held(plain):
+                candidates.update(own)
             hits = list(found)
-            for pattern, search in compiled:
-                if len(hits) >= limit:
-                    break
-                if search(text):
-                    hits.append(pattern)
+            for i in sorted(candidates):
+                if search(i)(text):
+                    hits.append(patterns[i])
+                    if len(hits) >= limit:
+                        break
             return hits
 
         for batch in batches:
-            batch["_python"] = [extended(t, f) for t, f in zip(batch["_text"], batch["_python"])]
-            yield batch
+            texts, found = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("_text", "_found"))
+            at = batch.schema.get_field_index("_found")
+            column = pa.array([extended(t, f) for t, f in zip(texts, found)], batch.schema.field(at).type)
+            yield batch.set_column(at, batch.schema.field(at), column)
 
     return match
 
 
-def _block_matches(text: Column, found: Column, patterns: list[str], limit: int, flags: str) -> Column:
-    """``found`` with the patterns of one block that match ``text``; a row that has its ``limit`` is left as it is."""
-
-    def hits(value: Column) -> Column:
-        each = [F.when(value.rlike(flags + p), F.lit(p)) for p in patterns]
-        if limit == 1:
-            return F.filter(F.array(F.coalesce(*each)), lambda p: p.isNotNull())
-        return F.slice(F.filter(F.array(*each), lambda p: p.isNotNull()), 1, limit)
-
-    more = F.slice(F.concat(found, F.transform(F.array(text), hits)[0]), 1, limit)
-    return F.when(F.size(found) >= limit, found).otherwise(more)
-
-
-def _with_matches(lines: DataFrame, patterns: DataFrame, text: Column, limit: int, flags: str) -> DataFrame:
-    """Add ``_found``: the first ``limit`` patterns, in order, found in ``text``.
-
-    Both engines keep their first ``limit``; the first of both together are the first of all. After some steps the
-    state is cut off, which ends plans from growing with the list.
-    """
-    none = F.array().cast("array<string>")
-    matched = lines.withColumn("_text", text).withColumn("_jvm", none).withColumn("_python", none)
-    steps = 0
+def _with_matches(lines: DataFrame, patterns: DataFrame, text: Column, limit: int, any_case: bool) -> DataFrame:
+    """Add ``_found``: the first ``limit`` patterns, in order, found in ``text``."""
+    matched = lines.withColumn("_text", text).withColumn("_found", F.array().cast("array<string>"))
     for found in _slices(patterns, SLICE_PATTERNS):
-        jvm, python = _by_engine(lines.sparkSession, found)
-        for first in range(0, len(jvm), BLOCK_PATTERNS):
-            block = jvm[first : first + BLOCK_PATTERNS]
-            matched = matched.withColumn("_jvm", _block_matches(F.col("_text"), F.col("_jvm"), block, limit, flags))
-            steps += 1
-            if steps % STEPS_PER_CUT == 0:
-                matched = materialize(matched)
-        if python:
-            matched = matched.mapInPandas(_matcher(python, limit, flags == CASE_FREE), matched.schema)
-            steps += 1
-    both = F.slice(F.array_sort(F.concat("_jvm", "_python")), 1, limit)
-    return matched.withColumn("_found", both).drop("_text", "_jvm", "_python")
+        matched = matched.mapInArrow(_matcher(found, limit, any_case), matched.schema)
+    return matched.drop("_text")
 
 
 def filter_lines(cleaned: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Cleaned lines whose rendered form any valid pattern matches, case-sensitively: ``(file, line_no, log)``."""
+    """Cleaned lines whose rendered form any valid pattern matches, case-sensitively: ``(file, line_no, log)``.
+
+    Like all patterns of a list they mean what they mean to Python.
+    """
     rendered = render_line(F.col("line_no"), F.col("raw_log"))
-    kept = _with_matches(cleaned, patterns, rendered, 1, CASE_BOUND).where(F.size("_found") > 0)
+    kept = _with_matches(cleaned, patterns, rendered, 1, any_case=False).where(F.size("_found") > 0)
     return kept.select("file", "line_no", F.col("raw_log").alias("log"))
 
 
 def map_patterns(filtered: DataFrame, patterns: DataFrame, max_patterns_per_line: int = 1) -> DataFrame:
     """Each line with the first patterns found in it, in any case; a line without match keeps an empty regex."""
-    found = _with_matches(filtered, patterns, F.col("log"), max_patterns_per_line, CASE_FREE)
+    found = _with_matches(filtered, patterns, F.col("log"), max_patterns_per_line, any_case=True)
     return found.select("file", "line_no", "log", F.explode_outer("_found").alias("regex")).withColumn(
         "regex", F.coalesce("regex", F.lit(""))
     )

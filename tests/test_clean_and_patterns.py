@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import warnings
 
 import pytest
@@ -60,14 +61,12 @@ def expected_mapping(usable, texts, most):
     return sorted(rows)
 
 
-@pytest.fixture(params=["literals", "workers", "small blocks"])
+@pytest.fixture(params=["one slice", "small slices", "no literals"])
 def path(request, monkeypatch):
-    if request.param == "workers":
-        monkeypatch.setattr(patterns, "READ_APART", re.compile(""))
-    if request.param == "small blocks":
-        monkeypatch.setattr(patterns, "SLICE_PATTERNS", 3)
-        monkeypatch.setattr(patterns, "BLOCK_PATTERNS", 2)
-        monkeypatch.setattr(patterns, "STEPS_PER_CUT", 2)
+    if request.param == "small slices":
+        monkeypatch.setattr(patterns, "SLICE_PATTERNS", 2)
+    if request.param == "no literals":
+        monkeypatch.setattr(patterns, "LEAST_LITERAL", 1000)
 
 
 def test_patterns_by_every_path(spark, log, path):
@@ -118,11 +117,67 @@ def test_a_pattern_reads_the_same_in_any_list(spark, log, others):
         assert got == expected_mapping(sorted(probes), texts, 2)
 
 
-def test_patterns_java_reads_alike_need_no_python(spark, log):
-    frame = spark.createDataFrame([(f"word{i}",) for i in range(450)], "pattern STRING")
-    mapping = patterns.map_patterns(log(["a word7"]).withColumnRenamed("line", "log"), frame)
-    assert "MapInPandas" not in mapping._jdf.queryExecution().executedPlan().toString()
-    assert mapping.first()["regex"] == "word7"
+LETTER_CASES = [
+    (r"a\w", "a\u0301"), (r"x\s", "x\x1c"), (r"x\S", "x\x1c"), (r"\101", "A"), (r"n\w", "n²"), (r"\ba\b", "a\u0301b"), ("ß", "ẞ"),
+    (r"\.\w+$", ".\u0902"), ("kelvin", "\u212aelvin"), ("stop", "\u017ftop"), ("in", "\u0130n"), ("in", "\u0131n"), ("É", "é"), (r"\d+x", "٣x"),
+    (r"a\sb", "a\u2003b"), (r"\bé", "né"), (r"[^\W\d_]+!", "日本!"), ("(?a:\\w+)é", "aé"), (r"\x41b", "AB"), ("K", "k"),
+]
+
+
+@pytest.mark.parametrize("others", [0, 200, 5000])
+def test_letters_beyond_ascii_read_as_in_python(spark, log, others):
+    wanted = sorted({p for p, _ in LETTER_CASES})
+    texts = [t for _, t in LETTER_CASES]
+    frame = spark.createDataFrame([(p,) for p in [*wanted, *(f"nomatch{i}" for i in range(others))]], "pattern STRING")
+    lines = log(texts).select("file", "line_no", F.col("line").alias("raw_log"))
+    for any_case in (True, False):
+        flags = re.IGNORECASE if any_case else 0
+        found = patterns._with_matches(lines, frame, F.col("raw_log"), 99, any_case).collect()
+        assert {r["line_no"]: r["_found"] for r in found} == {
+            n: [p for p in wanted if re.search(p, text, flags)] for n, text in enumerate(texts, start=1)
+        }
+
+
+SIGNS = ["a", "b", "K", "s", "ab", "(a|b)", "[ab]", "[^]a]", r"\w", r"\d", r"\.", ".", "a*", "b+", "a?", "{2}", "a{1,2}", "|", "x", r"\x41", "(?:ab)?", "ſ", "é", "^", "$", "(?=a)", "-", "k+", "S??", "(?#c)", r"\[", "[[]", "(?x) "]
+
+
+def test_literals_are_in_every_match():
+    pick = random.Random(6)
+    texts = ["".join(pick.choice("abABkKsSſKxX.é -2{}[") for _ in range(pick.randint(0, 14))) for _ in range(300)]
+    matches = 0
+    for _ in range(6000):
+        pattern = "".join(pick.choice(SIGNS) for _ in range(pick.randint(1, 7)))
+        literals = patterns.required_literals(pattern)
+        for flags in (0, re.IGNORECASE):
+            try:
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore")
+                    compiled = re.compile(pattern, flags)
+            except re.error:
+                continue
+            for text in pick.sample(texts, 20) if literals else ():
+                if compiled.search(text):
+                    matches += 1
+                    assert any(one in text.translate(patterns.ASCII_ALIKE).lower() for one in literals), (pattern, text)
+    assert matches > 100
+    assert patterns.required_literals("abc|def") == ["abc", "def"]
+    assert patterns.required_literals(r"Audio\.(x|y)*underrun+") == ["underrun"]
+    assert patterns.required_literals("ab|c") is None
+
+
+def test_a_long_list_costs_little_more_than_a_short_one(spark, log):
+    texts = [f"line {i} of service{i % 977} says value={i * 7919 % 10007}" for i in range(40_000)]
+    lines = log(texts).withColumnRenamed("line", "log").repartition(8).cache()
+    lines.count()
+    spent = {}
+    for size in (50, 5000, 50, 5000):
+        frame = spark.createDataFrame([(rf"service{i}\b.*value=\d+",) for i in range(size)], "pattern STRING")
+        mapping = patterns.map_patterns(lines, frame)
+        began = time.perf_counter()
+        mapping.write.format("noop").mode("overwrite").save()
+        spent[size] = time.perf_counter() - began
+    assert spent[5000] < 3 * spent[50] + 0.5
+    lines.unpersist()
 
 
 def test_a_long_pattern_list(spark, log):
