@@ -68,6 +68,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def delete_written(df: DataFrame) -> None:
+    """Delete the folder of a table that :func:`written` made and that nothing will read again."""
+    spark = df.sparkSession
+    ours = f"{spark.sparkContext.getCheckpointDir()}/table-"
+    folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
+    for folder in folders:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if place.toUri().getPath().startswith(spark._jvm.org.apache.hadoop.fs.Path(ours).toUri().getPath()):
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @dataclass(frozen=True)
 class Cut:
     """Materialized rows with what was measured while they were written.

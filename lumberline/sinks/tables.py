@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumberline.sinks.buckets import write_mapping
+
 
 def append_records(records: DataFrame, path: str) -> int:
     """Append records to the history and return how many.
@@ -25,15 +27,8 @@ def write_records_csv(records: DataFrame, path: str, mode: str = "errorifexists"
 
 
 def write_mapping_csv(mapping: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """``line_no,log,regex`` in line order; a missing number is an empty field."""
-    (
-        mapping.repartitionByRange("file", "line_no")
-        .sortWithinPartitions("file", "line_no")
-        .select("file", "line_no", "log", "regex")
-        .write.partitionBy("file")
-        .mode(mode)
-        .csv(path, header=True, escape='"', emptyValue="", nullValue="")
-    )
+    """``key,line_no,log,regex`` in line order, in a fixed number of folders; see :mod:`lumberline.sinks.buckets`."""
+    write_mapping(mapping, path, mode)
 
 
 def write_crashes_json(crashes: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumberline.functions.text import render_line
+from lumberline.sinks.buckets import write_text
 
 
 def rendered(lines: DataFrame, text_col: str = "raw_log") -> DataFrame:
@@ -14,16 +15,8 @@ def rendered(lines: DataFrame, text_col: str = "raw_log") -> DataFrame:
 
 
 def write_rendered(lines: DataFrame, path: str, text_col: str = "raw_log", mode: str = "errorifexists") -> None:
-    """Write ``Line n: text`` in line order, one folder per log; a huge log is spread over several ordered parts."""
-    (
-        rendered(lines, text_col)
-        .repartitionByRange("file", "line_no")
-        .sortWithinPartitions("file", "line_no")
-        .select("file", "value")
-        .write.partitionBy("file")
-        .mode(mode)
-        .text(path)
-    )
+    """Write ``Line n: text`` in line order, in a fixed number of folders; see :mod:`lumberline.sinks.buckets`."""
+    write_text(rendered(lines, text_col), path, mode)
 
 
 def write_pattern_lists(combined: DataFrame, path: str, mode: str = "errorifexists") -> None:

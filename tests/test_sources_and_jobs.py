@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lumberline import runtime
 from lumberline.operators.patterns import combine_patterns, map_patterns, valid_patterns
 from lumberline.plans import jobs
-from lumberline.sinks import tables, text
+from lumberline.sinks import buckets, tables, text
 from lumberline.sources import archives, history, lines, listing, modules
 from lumberline.streaming.history import history_writer
 
@@ -208,6 +208,44 @@ def test_archives(spark, tmp_path):
     assert read(nested=True, batch_lines=1) == {**expected, "x.zip!in.zip!deep.log": ["deep"]}
 
 
+def text_of(spark, path):
+    """Rendered lines of bucketed output, log by log."""
+    rows = sorted(buckets.read_text(spark, path).collect(), key=lambda r: (r["file"], r["line_no"]))
+    return "".join(f"Line {r['line_no']}: {r['log']}\n" for r in rows)
+
+
+def test_logs_of_any_depth_and_number_share_folders(spark, tmp_path):
+    deep = "/" + "/".join(f"folder number {i} of a long path=with % signs" for i in range(16)) + "/a.log"
+    names = [deep, "/a b/ü?.log", "x"] + [f"/logs/{i}.log" for i in range(300)]
+    rows = [(name, n, f"line: {n}\tof {i}") for i, name in enumerate(names) for n in range(1, 4)]
+    frame = spark.createDataFrame(rows, "file STRING, line_no BIGINT, raw_log STRING")
+    text.write_rendered(frame, f"{tmp_path}/clean")
+    assert len(os.listdir(f"{tmp_path}/clean/lines")) <= buckets.BUCKETS + 2
+    assert sorted(map(tuple, buckets.read_text(spark, f"{tmp_path}/clean").collect())) == sorted(rows)
+    one = buckets.read_text(spark, f"{tmp_path}/clean", deep)
+    assert [tuple(r) for r in one.orderBy("line_no").collect()] == rows[:3]
+    assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(FileNotFoundError):
+        buckets.read_text(spark, f"{tmp_path}/clean", "/no.log")
+    logs = buckets.read_logs(spark, f"{tmp_path}/clean").collect()
+    assert {r["file"]: r["records"] for r in logs} == {name: 3 for name in names}
+    # A log's lines stand in order in the files of its bucket.
+    for part in glob.glob(f"{tmp_path}/clean/lines/bucket=*/part-*"):
+        seen = {}
+        for line in open(part):
+            key, value = line.rstrip("\n").split("\t", 1)
+            seen.setdefault(key, []).append(value)
+        assert all(values == sorted(values) for values in seen.values())
+
+    mapping = spark.createDataFrame([(deep, 2, 'say "x", y', ""), (deep, None, "z\\", "r"), ("x", 1, "", "")], "file STRING, line_no BIGINT, log STRING, regex STRING")
+    tables.write_mapping_csv(mapping, f"{tmp_path}/mapping")
+    assert sorted(map(repr, buckets.read_mapping(spark, f"{tmp_path}/mapping").collect())) == sorted(map(repr, mapping.collect()))
+    assert buckets.read_mapping(spark, f"{tmp_path}/mapping", "x").collect() == [("x", 1, "", "")]
+    text.write_rendered(frame.limit(0), f"{tmp_path}/none")
+    assert buckets.read_logs(spark, f"{tmp_path}/none").count() == 0
+    assert not glob.glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/table-*/part-*")
+
+
 def written(path, pattern="*"):
     return "".join(open(f).read() for f in sorted(glob.glob(f"{path}/**/part-{pattern}", recursive=True)))
 
@@ -215,7 +253,7 @@ def written(path, pattern="*"):
 def test_sinks(spark, log, tmp_path):
     cleaned = log(["b", "a"]).select("file", "line_no", F.col("line").alias("raw_log"))
     text.write_rendered(cleaned, f"{tmp_path}/clean")
-    assert written(f"{tmp_path}/clean") == "Line 1: b\nLine 2: a\n"
+    assert text_of(spark, f"{tmp_path}/clean") == "Line 1: b\nLine 2: a\n"
 
     combined = combine_patterns(spark.createDataFrame([("b",), ("a",), ("(",)], "pattern STRING"))
     text.write_pattern_lists(combined, f"{tmp_path}/patterns")
@@ -223,9 +261,9 @@ def test_sinks(spark, log, tmp_path):
 
     rows = spark.createDataFrame([("a", 2, 'say "x", y', ""), ("a", None, "z", "r")], "file STRING, line_no BIGINT, log STRING, regex STRING")
     tables.write_mapping_csv(rows, f"{tmp_path}/mapping")
-    parsed = [r for f in glob.glob(f"{tmp_path}/mapping/*/*.csv") for r in csv.reader(open(f))]
-    assert sorted(map(tuple, parsed))[:2] == [("", "z", "r"), ("2", 'say "x", y', "")]
-    assert ("line_no", "log", "regex") in map(tuple, parsed)
+    parsed = [r for f in glob.glob(f"{tmp_path}/mapping/lines/*/*.csv") for r in csv.reader(open(f))]
+    assert sorted(tuple(r[1:]) for r in parsed)[:2] == [("", "z", "r"), ("2", 'say "x", y', "")]
+    assert ["key", "line_no", "log", "regex"] in parsed
 
     records = spark.createDataFrame([("i", "k", "raw, x", NOON)], history.RECORD_SCHEMA)
     tables.write_records_csv(records, f"{tmp_path}/records")
@@ -263,12 +301,12 @@ def test_store_twice_adds_nothing_and_subtract_sees_the_rest(spark, tmp_path):
         ("fatal exception", "fatal exception"),
     }
     assert {r["created_at"] for r in kept} == {NOON}
-    assert written(f"{tmp_path}/clean").splitlines()[:2] == ["Line 2: Audio underrun 2", "Line 4: Video ok"]
+    assert text_of(spark, f"{tmp_path}/clean").splitlines()[:2] == ["Line 2: Audio underrun 2", "Line 4: Video ok"]
 
     (tmp_path / "next").mkdir()
     (tmp_path / "next/b.log").write_text("Video ok 9\nNew thing\n")
     jobs.subtract(spark, f"{tmp_path}/next", stored, f"{tmp_path}/unknown")
-    assert written(f"{tmp_path}/unknown") == "Line 2: New thing\n"
+    assert text_of(spark, f"{tmp_path}/unknown") == "Line 2: New thing\n"
 
     jobs.crashes_to_json(spark, logs, f"{tmp_path}/crashes")
     found = [json.loads(line) for line in written(f"{tmp_path}/crashes", "*.json").splitlines()]
@@ -305,12 +343,12 @@ def test_filter_modules(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.log").write_text("\n".join(LOG) + "\n")
     jobs.filter_modules_to_files(spark, f"{tmp_path}/in", "AUDIO HAL", catalog, f"{tmp_path}/out")
-    assert written(f"{tmp_path}/out/filtered") == "Line 2: Audio underrun 2\n"
+    assert text_of(spark, f"{tmp_path}/out/filtered") == "Line 2: Audio underrun 2\n"
     assert written(f"{tmp_path}/out/patterns/invalid") == "(\n"
     assert written(f"{tmp_path}/out/patterns/valid") == "audio\nunderrun\n"
-    assert written(f"{tmp_path}/out/mapping", "*.csv").splitlines() == ["line_no,log,regex", "2,Audio underrun 2,audio"]
+    assert [tuple(r)[1:] for r in buckets.read_mapping(spark, f"{tmp_path}/out/mapping").collect()] == [(2, "Audio underrun 2", "audio")]
     jobs.error_lines_to_text(spark, f"{tmp_path}/in", f"{tmp_path}/errors")
-    assert written(f"{tmp_path}/errors").splitlines() == ["Line 1: Audio underrun 1", "Line 2: Audio underrun 2", "Line 6: fatal exception"]
+    assert text_of(spark, f"{tmp_path}/errors").splitlines() == ["Line 1: Audio underrun 1", "Line 2: Audio underrun 2", "Line 6: fatal exception"]
     with pytest.raises(jobs.UnknownModules):
         jobs.filter_modules(spark, frame, " , ", catalog)
 
