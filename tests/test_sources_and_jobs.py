@@ -208,6 +208,71 @@ def test_archives(spark, tmp_path):
     assert read(nested=True, batch_lines=1) == {**expected, "x.zip!in.zip!deep.log": ["deep"]}
 
 
+def patched(archive: bytes, name: str, flags: int | None = None, method: int | None = None) -> bytes:
+    """An entry's flags or compression method changed in both of its heads."""
+    out = bytearray(archive)
+    for sign, at, size in ((b"PK\x03\x04", 6, 30), (b"PK\x01\x02", 8, 46)):
+        place = out.find(sign)
+        while place >= 0:
+            if out[place + size : place + size + len(name)] == name.encode():
+                if flags is not None:
+                    out[place + at : place + at + 2] = flags.to_bytes(2, "little")
+                if method is not None:
+                    out[place + at + 2 : place + at + 4] = method.to_bytes(2, "little")
+            place = out.find(sign, place + 1)
+    return bytes(out)
+
+
+def test_what_archives_cannot_give_is_reported(spark, tmp_path):
+    body = {"good.log": b"fine\n", "locked.log": b"secret", "odd.log": b"odd", "wide.txt": "żółw\nzwei\n".encode("utf-16"), "wide le.log": "a\nb".encode("utf-16-le")}
+    mixed = patched(patched(zipped(body), "locked.log", flags=1), "odd.log", method=99)
+    (tmp_path / "mixed.zip").write_bytes(mixed)
+    noise = random.Random(2).randbytes(60_000).hex().encode()
+    deflated = io.BytesIO()
+    with zipfile.ZipFile(deflated, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("bad.log", b"first\n" + noise)
+        archive.writestr("after.log", b"still here")
+    broken = bytearray(deflated.getvalue())
+    broken[40_000:40_050] = b"\xff" * 50
+    (tmp_path / "broken.zip").write_bytes(bytes(broken))
+    (tmp_path / "no.zip").write_bytes(b"PK no zip")
+    tar = tarred({"one.log": b"1\n", "two.log": b"2\n" * 5000, "three.log": b"3"}, "w")
+    (tmp_path / "short.tar").write_bytes(tar[:6000])
+    (tmp_path / "header.tar").write_bytes(tar[:1024] + b"x" * 512 + tar[1536:])
+    (tmp_path / "cut.tar.gz").write_bytes(tarred({"z.log": noise}, "w:gz")[:20_000])
+    (tmp_path / "old.tar.z").write_bytes(b"\x1f\x9d..")
+    (tmp_path / "outer.zip").write_bytes(zipped({"in.zip": mixed, "in.tar": b"no tar"}))
+
+    found = archives.unpack(spark, str(tmp_path), nested=True)
+    short = lambda name: name.split(f"{tmp_path}/")[1]
+    status = {(short(r["archive"]), r["entry"]): (r["status"], r["encoding"]) for r in found.entries.collect()}
+    of_mixed = {"good.log": ("ok", "utf-8"), "locked.log": ("encrypted", None), "odd.log": ("unsupported", None), "wide.txt": ("ok", "utf-16"), "wide le.log": ("ok", "utf-16-le")}
+    assert status == {
+        **{("mixed.zip", n): s for n, s in of_mixed.items()},
+        **{("outer.zip!in.zip", n): s for n, s in of_mixed.items()},
+        ("outer.zip!in.tar", None): ("damaged", None),
+        ("broken.zip", "bad.log"): ("damaged", "utf-8"),
+        ("broken.zip", "after.log"): ("ok", "utf-8"),
+        ("no.zip", None): ("damaged", None),
+        ("short.tar", "one.log"): ("ok", "utf-8"),
+        ("short.tar", "two.log"): ("damaged", "utf-8"),
+        ("short.tar", None): ("damaged", None),
+        ("header.tar", "one.log"): ("ok", "utf-8"),
+        ("header.tar", None): ("damaged", None),
+        ("cut.tar.gz", "z.log"): ("damaged", "utf-8"),
+        ("cut.tar.gz", None): ("damaged", None),
+        ("old.tar.z", None): ("unsupported", None),
+    }
+    lines = {}
+    for row in found.lines.orderBy("file", "line_no").collect():
+        lines.setdefault(short(row["file"]), []).append(row["line"])
+    assert lines["mixed.zip!wide.txt"] == ["żółw", "zwei"] and lines["mixed.zip!wide le.log"] == ["a", "b"]
+    assert lines["outer.zip!in.zip!good.log"] == ["fine"] and lines["broken.zip!after.log"] == ["still here"]
+    assert lines["broken.zip!bad.log"][0] == "first" and len(lines["short.tar!two.log"]) > 1000
+    counted = {(short(r["archive"]), r["entry"]): r["lines"] for r in found.entries.collect() if r["entry"]}
+    assert all(n == len(lines.get(f"{a}!{e}", [])) for (a, e), n in counted.items())
+
+
 def text_of(spark, path):
     """Rendered lines of bucketed output, log by log."""
     rows = sorted(buckets.read_text(spark, path).collect(), key=lambda r: (r["file"], r["line_no"]))
