@@ -41,7 +41,7 @@ def mismatch(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
     return None
 
 
-TYPE_NAMES = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN"}
+TYPE_NAMES = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
 
 
 def type_differences(got: dict[str, str], relation: duckdb.DuckDBPyConnection) -> list[str]:

@@ -142,12 +142,14 @@ THINK_ANSWER = """CASE (conv_id + turn) % 4
   WHEN 1 THEN '<think>' || text
   WHEN 2 THEN text
   ELSE '</think><think>' || text || '</think> after </think>' END"""
-JSON_ANSWER = """CASE (conv_id + turn) % 6
+JSON_ANSWER = """CASE (conv_id + turn) % 8
   WHEN 0 THEN 'see ```json' || chr(10) || '{"conv": ' || conv_id || ', "role": "' || role || '"}' || chr(10) || '``` end'
   WHEN 1 THEN '```json {''conv'': ' || conv_id || ', ''role'': ''' || role || '''}```'
   WHEN 2 THEN '```json {conv: ' || conv_id || ', /* who */ role: "' || role || '"}```'
   WHEN 3 THEN '```json {"conv": ' || conv_id || ',}```'
   WHEN 4 THEN '```json {broken```'
+  WHEN 5 THEN '```json {conv: +' || conv_id || ', share: .5, note: "+.5 0x1F"}```'
+  WHEN 6 THEN '```json {"conv": 0x' || hex(conv_id) || ', "share": -' || (turn + 1) || '.}```'
   ELSE text END"""
 
 

@@ -485,8 +485,10 @@ ORACLES: dict[str, str] = {
         select=f"""SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN {_stripped('text')} WHEN 3 THEN ''
   ELSE {_stripped('answer')} END AS answer FROM told""",
     ),
-    "fence_json": """SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 6 < 4 THEN conv_id END AS conv,
-  CASE WHEN (conv_id + turn) % 6 < 3 THEN role END AS role FROM conversations""",
+    "fence_json": """SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 8 IN (0, 1, 2, 3, 5, 6) THEN conv_id END AS conv,
+  CASE WHEN (conv_id + turn) % 8 < 3 THEN role END AS role,
+  CASE (conv_id + turn) % 8 WHEN 5 THEN 0.5::DOUBLE WHEN 6 THEN -(turn + 1)::DOUBLE END AS share,
+  CASE WHEN (conv_id + turn) % 8 = 5 THEN '+.5 0x1F' END AS note FROM conversations""",
     "class_links": f"SELECT p_partkey, CASE {CLASS_TYPE} {LINKS} ELSE '' END AS link FROM part",
     "archive_test_results": _with(ENTRIES, select="SELECT * FROM results"),
     "archive_bugreports": _with(ENTRIES, select="SELECT * FROM reports"),

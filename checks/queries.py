@@ -282,6 +282,8 @@ def fence_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         "turn",
         F.try_variant_get("v", "$.conv", "bigint").alias("conv"),
         F.try_variant_get("v", "$.role", "string").alias("role"),
+        F.try_variant_get("v", "$.share", "double").alias("share"),
+        F.try_variant_get("v", "$.note", "string").alias("note"),
     )
 
 

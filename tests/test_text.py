@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 from functools import reduce
@@ -129,6 +130,22 @@ def test_fenced_json_is_lenient(apply):
     assert apply(kept, lambda c: answers.fenced_json(c).cast("string")) == ['{"a":",}","b":[1,2],"c":"it\'s d"}', '[",]","/* , } */"]']
 
 
+def test_json_takes_numbers_in_any_form(apply):
+    probes = {
+        "[.5, +1, 5., 0x1F, -0X1f, -.5, +.25, -7., 1.e2, +0xA]": "[0.5,1,5.0,31,-31,-0.5,0.25,-7.0,100.0,10]",
+        '{a:+1,"b+.5":".5 0x1F +1",c:[5.],\'d\':\'+1 5.\'}': '{"a":1,"b+.5":".5 0x1F +1","c":[5.0],"d":"+1 5."}',
+        "[1, -2, 3.5, 1e5, -1.5E-3]": "[1,-2,3.5,100000.0,-0.0015]",
+        "[5. /* .5 +1 */, // 0x1F\n .5]": "[5.0,0.5]",
+        "{x0x1F: 0xff, $a: 1.5}": '{"$a":1.5,"x0x1F":255}',
+        "[0xFFFFFFFFFFFFFFFF, 1.2.3]": None,
+        "[.]": None,
+        "[+]": None,
+    }
+    read = apply([f"```json {p}```" for p in probes], lambda c: answers.fenced_json(c).cast("string"))
+    plain = lambda t: t and json.loads(t)
+    assert list(map(plain, read)) == list(map(plain, probes.values()))
+
+
 def test_module_names(apply):
     assert apply(["Audio-Hal", " audio_hal.", "ÄU 1", "", None], names.module_key) == ["audiohal", "audiohal", "äu1", "", ""]
     assert apply(["Audio-Hal, amp,,amp", " , ", ""], names.requested_modules) == [["Audio-Hal", "amp"], [], []]
