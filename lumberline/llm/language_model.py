@@ -101,11 +101,20 @@ def load(folder: str, name: str) -> dict[str, np.ndarray]:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+    """Compressed by the place of bytes: the high bytes of small numbers and differences are long runs of zeros."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpack(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in four bytes where they fit."""
+    return counts.astype("<u4") if not len(counts) or int(counts.max()) < 1 << 32 else counts
 
 
 def _runs(bucket: np.ndarray, keys: np.ndarray, more: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -364,7 +373,7 @@ def build_vocabulary(texts: DataFrame, folder: str, buckets: int) -> Model:
 
     def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         first, second, counts = _merged(*_runs_of(table), True)
-        name = save(folder, "words", {"first": first, "second": second, "counts": counts})
+        name = save(folder, "words", {"first": first, "second": second, "counts": _narrow(counts)})
         return _shard_row(key[0].as_py(), name, len(first), int(counts.sum()))
 
     found = _shards(written(runs.groupBy("bucket").applyInArrow(merge, SHARD), "word-shards"))
@@ -375,6 +384,14 @@ def build_vocabulary(texts: DataFrame, folder: str, buckets: int) -> Model:
     return Model(folder, sum(r["tokens"] for r in found), int(sizes.sum()), [level])
 
 
+def _token_ends(arrays: dict[str, np.ndarray]) -> np.ndarray:
+    """Running sums of the tokens of a file's nodes: from the counts of the vocabulary, else kept as they rise."""
+    if "counts" in arrays:
+        return np.cumsum(arrays["counts"], dtype=np.int64)
+    ends = _rising(arrays, "ends")
+    return ends.get(np.arange(ends.size))
+
+
 def _edges(model: Model, spark, depth: int) -> np.ndarray:
     """Keys that cut the next level into files of about ``FILE_TOKENS`` tokens, from the counts of the parents.
 
@@ -390,7 +407,7 @@ def _edges(model: Model, spark, depth: int) -> np.ndarray:
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = [int(load(folder, name)["counts"].sum()) for name in batch.column(1).to_pylist()]
+            sums = [int(_token_ends(load(folder, name))[-1]) for name in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64())], ["shard", "tokens"])
 
     tokens = dict(shards.mapInArrow(totals, "shard bigint, tokens bigint").collect())
@@ -403,7 +420,7 @@ def _edges(model: Model, spark, depth: int) -> np.ndarray:
         for batch in batches:
             out = []
             for shard, name, base in zip(*(c.to_pylist() for c in batch.columns)):
-                ends = before[shard] + np.cumsum(load(folder, name)["counts"])
+                ends = before[shard] + _token_ends(load(folder, name))
                 points = np.arange(-(-before[shard] // step) * step, int(ends[-1]), step)
                 node = np.searchsorted(ends, points, "right")
                 start = np.where(node > 0, ends[node - 1], before[shard])
@@ -549,10 +566,12 @@ def _save_level(model: Model, depth: int, pairs: np.ndarray, lower: np.ndarray,
     tops = word[np.append(first[1:], len(word)) - 1] + 1
     base = np.repeat(np.cumsum(tops) - tops, sizes)
     arrays = {"span": np.array([parent[0], parent[-1]], np.int64), "unseen": weights, "probability": quantised(np.log10(probability))}
-    for name, values in (("pointers", np.cumsum(pointers)), ("children", base + word + 1)):
-        arrays |= {f"{name}{i}": array for i, array in enumerate(Rising.of(values).arrays())}
+    rising = {"pointers": np.cumsum(pointers), "children": base + word + 1}
     if not last:
-        arrays["counts"] = counts
+        # What cuts the next level into files.
+        rising["ends"] = np.cumsum(counts)
+    for name, values in rising.items():
+        arrays |= {f"{name}{i}": array for i, array in enumerate(Rising.of(values).arrays())}
     return save(model.folder, f"level{depth}", arrays)
 
 

@@ -20,6 +20,9 @@ from lumberline.llm.pieces import MergeRounds, PairTable
 ID = np.dtype("<u2")
 ID_LIMIT = 1 << 16
 
+# Bytes of text that are encoded together.
+ENCODE_BYTES = 2 << 20
+
 # Bytes beyond which a word goes to the library.
 LONG_WORD = 48
 
@@ -148,7 +151,7 @@ def encoder(path: str) -> WordEncoder:
 
 def encode_texts(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
     """The ids of each text."""
-    return chunk_values(text_array(texts), prepare, encoder(path).numbers)
+    return chunk_values(text_array(texts), prepare, encoder(path).numbers, ENCODE_BYTES)
 
 
 def encode_documents(docs: DataFrame, path: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
