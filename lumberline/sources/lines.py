@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumberline.runtime import measured, written
+from lumberline.sources.paths import literal_path, shown_path
+from lumberline.sources.wide_lines import MARKS, wide_lines
 
 BOM_HEAD_BYTES = 16384  # enough for 4096 characters of UTF-8
 BOM_HEAD_CHARS = 4096
@@ -35,16 +35,6 @@ def _repaired(raw: Column, errors: str) -> Column:
     raise ValueError(f"errors must be 'replace' or 'ignore', not {errors!r}")
 
 
-def shown_path(uri: Column) -> Column:
-    """A file's path as it is named in its folder; Spark gives it encoded as a URI."""
-    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
-
-
-def _literal_path(path: str) -> str:
-    """The path with the signs of file patterns taken literally."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
-
-
 def _text_scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Raw lines with the file split they come from and an id that grows by one per line inside a split."""
     return (
@@ -60,12 +50,13 @@ def _text_scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _split_table(scan: DataFrame) -> DataFrame:
-    """Per file split: first id, lines in the earlier splits of the file, and whether its first line has a UTF-16 mark."""
-    marked = F.substring(F.col("raw").cast("binary"), 1, 2).isin(bytearray(b"\xff\xfe"), bytearray(b"\xfe\xff"))
+    """Per file split: first id, lines in the earlier splits of the file, and the UTF-16 mark its first line has."""
+    head = F.substring(F.col("raw").cast("binary"), 1, 2)
+    mark = F.when(head == bytearray(MARKS["utf-16-le"]), "utf-16-le").when(head == bytearray(MARKS["utf-16-be"]), "utf-16-be")
     splits = scan.groupBy("file", "split").agg(
         F.min("scan_id").alias("first_id"),
         F.count(F.lit(1)).alias("lines"),
-        F.min_by(marked, "scan_id").alias("marked"),
+        F.min_by(mark, "scan_id").alias("mark"),
         F.min(F.when(F.col("raw").contains("\x00"), F.col("scan_id"))).alias("nul_id"),
     )
     earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,13 +64,14 @@ def _split_table(scan: DataFrame) -> DataFrame:
 
 
 def _utf16_files(scan: DataFrame, splits: DataFrame) -> DataFrame:
-    """Files with a mark, or with a NUL among their first characters: of their first split only the head is read."""
+    """``(file, encoding)`` of files with a mark, or with a NUL among their first characters, whose heads alone are read."""
     first = splits.where("split = 0")
-    early = first.where(~F.col("marked") & (F.col("nul_id") - F.col("first_id") < BOM_HEAD_CHARS)).select("file", "nul_id")
+    early = first.where(F.col("mark").isNull() & (F.col("nul_id") - F.col("first_id") < BOM_HEAD_CHARS)).select("file", "nul_id")
     head = scan.where("split = 0").join(early, "file").where("scan_id <= nul_id")
     length = F.when(F.col("scan_id") < F.col("nul_id"), F.char_length("raw") + 1).otherwise(F.instr("raw", "\x00"))
     near = head.groupBy("file").agg(F.sum(length).alias("chars")).where(F.col("chars") <= BOM_HEAD_CHARS)
-    return first.where("marked").select("file").unionByName(near.select("file"))
+    marked = first.where(F.col("mark").isNotNull()).select("file", F.col("mark").alias("encoding"))
+    return marked.unionByName(near.select("file", F.lit("utf-16-le").alias("encoding")))
 
 
 def read_lines(spark: SparkSession, path: str | list[str], errors: str = "replace") -> DataFrame:
@@ -87,8 +79,8 @@ def read_lines(spark: SparkSession, path: str | list[str], errors: str = "replac
 
     The files are read once: raw lines are written with their split, and both the counts that number them and the
     lines themselves come from that table. So the numbers do not depend on how Spark cuts files later, nor on files
-    that grow meanwhile. The text is never shuffled; the small table of split offsets is joined to it. UTF-16 files,
-    which must stay below 2 GB each, are decoded whole.
+    that grow meanwhile. The text is never shuffled; the small table of split offsets is joined to it. UTF-16 files
+    are read again in splits of their own; see :mod:`lumberline.sources.wide_lines`.
     """
     scan = written(_text_scan(spark, path))
     splits = measured(_split_table(scan))
@@ -99,10 +91,15 @@ def read_lines(spark: SparkSession, path: str | list[str], errors: str = "replac
         (F.col("scan_id") - F.col("first_id") + F.col("offset") + 1).alias("line_no"),
         _repaired(F.col("raw"), errors).alias("line"),
     )
-    suspects = [_literal_path(row["file"]) for row in wide.rows.toLocalIterator()]
-    if not suspects:
+    paths: dict[str, list[str]] = {}
+    for row in wide.rows.toLocalIterator():
+        paths.setdefault(row["encoding"], []).append(literal_path(row["file"]))
+    if not paths:
         return numbered
-    return numbered.join(wide.small(), "file", "left_anti").unionByName(decode_files(spark, suspects, errors))
+    found = numbered.join(wide.small(), "file", "left_anti")
+    for encoding, files in paths.items():
+        found = found.unionByName(wide_lines(spark, files, encoding))
+    return found
 
 
 def is_utf16(content: Column) -> Column:

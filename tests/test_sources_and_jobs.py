@@ -118,6 +118,47 @@ def test_encodings(spark, tmp_path):
         lines.read_lines(spark, str(tmp_path), errors="strict")
 
 
+def wide_file(rng, size):
+    """Text with all line ends and with characters whose bytes look like a line feed across their border."""
+    some = ["a", "é", "三", "ਅ一", "一ਅ", "਀\u000d", "\n", "\r\n", "\r", "ਊ\u0000", "\U0001f600", "x" * 40, "਀Ā", "ċ਀"]
+    return "".join(rng.choice(some) for _ in range(size))
+
+
+@pytest.mark.parametrize("split_bytes", ["128m", "5001"])
+def test_utf16_files_are_read_in_splits(spark, tmp_path, split_bytes):
+    rng = random.Random(5)
+    texts = {f"{n}.log": wide_file(rng, size) for n, size in enumerate([0, 1, 2, 3, 5, 50, 3000])}
+    texts |= {"plain.log": "".join(f"{n}: Größe {n * n}\n" for n in range(3000)), "dos.log": "a\r\n\r\n\r\nb", "blank.log": "\n", "open.log": "x\r\r"}
+    for name, body in texts.items():
+        (tmp_path / f"le {name}").write_bytes(b"\xff\xfe" + body.encode("utf-16-le"))
+        (tmp_path / f"be {name}").write_bytes(b"\xfe\xff" + body.encode("utf-16-be"))
+    (tmp_path / "bare.log").write_bytes(texts["plain.log"].encode("utf-16-le"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    try:
+        read = by_file(lines.read_lines(spark, str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name, body in texts.items():
+        unified = body.replace("\r\n", "\n").replace("\r", "\n")
+        want = numbered(*(unified[:-1] if unified.endswith("\n") else unified).split("\n")) if body else None
+        assert read.get(f"le {name}") == want, name
+        assert read.get(f"be {name}") == want, name
+    assert read["bare.log"] == numbered(*texts["plain.log"].splitlines())
+
+
+def test_a_lost_byte_damages_one_utf16_line(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("lumberline.sources.wide_lines.LINE_RECORDS", 50)
+    halves = [[f"{n}: text" for n in range(k, k + 400)] for k in (0, 400)]
+    raw = [("\n".join(half) + "\n").encode("utf-16-le") for half in halves]
+    broken = raw[0][:21] + raw[0][22:], raw[1][:4007] + raw[1][4008:]
+    (tmp_path / "a.log").write_bytes(b"\xff\xfe" + broken[0] + broken[1] + b"\x41")
+    read = by_file(lines.read_lines(spark, str(tmp_path)))["a.log"]
+    want = numbered(*halves[0], *halves[1])
+    assert [n for n, _ in read] == list(range(1, 802))
+    wrong = [n for (n, got), (_, text) in zip(read, want) if got != text]
+    assert len(wrong) == 2 and read[800] == (801, "�")
+
+
 def test_lines_of_a_text_column(spark):
     frame = spark.createDataFrame([(1, "a\n\rb\r\nc\x0bd\n"), (2, ""), (3, "\n\n"), (4, "x"), (5, None)], "id INT, t STRING")
     rows = lines.lines_from_table(frame, "id", "t").orderBy("file", "line_no").collect()
