@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumberline.functions.text import BLANK
-from lumberline.runtime import materialize
+from lumberline.operators.blocks import running_total
+from lumberline.runtime import CELL_LINES, cell_of, materialize, measured
 
 # What the lines of each class look like.
 KERNEL_TIME = rf"\[{BLANK}*\d+\.\d+(?:@\d+)?\]"
 LOGCAT_HEAD = rf"^{BLANK}*+\d{{2}}-\d{{2}}{BLANK}+\d{{2}}:\d{{2}}:\d{{2}}\.\d+{BLANK}+(\d+{BLANK}+\d+{BLANK}+)?[VDIWEF]"
 BOOT_BANNER = "Hello world, Now in BL33Z"
 
+# Lines that one number marks, a bit each.
+MARK_LINES = 64
+
 
 def detect_file_types(lines: DataFrame, threshold: int = 20) -> DataFrame:
     """``(file, file_type)``: the class whose ``threshold``-th line comes first, a boot banner meaning kernel.
 
-    Each task keeps the first few lines of each kind before the shuffle, so a huge file sends no more than a small one.
+    Lines of a kind are marked as bits, 64 lines to a number, and combined before the shuffle. Running counts of the bits
+    tell which number holds the ``threshold``-th line of a kind; no line is sorted.
     """
     line = F.col("line")
     kind = (
@@ -26,19 +31,30 @@ def detect_file_types(lines: DataFrame, threshold: int = 20) -> DataFrame:
         .when(line.contains(BOOT_BANNER), "banner")
         .otherwise("other")
     )
-    in_kind = Window.partitionBy("file", "kind").orderBy("line_no")
-    firsts = (
-        lines.select("file", "line_no", kind.alias("kind"))
-        .withColumn("nth", F.row_number().over(in_kind))
-        .where(F.col("nth") <= threshold)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("line_no", F.lit(MARK_LINES)).cast("int"))
+    start = cell_of(F.col("line_no"), MARK_LINES) * MARK_LINES
+    # Lines of no kind tell only that there is such a file.
+    marks = measured(
+        lines.select("file", kind.alias("kind"), "line_no", bit.alias("bit"))
+        .select("file", "kind", F.when(F.col("kind") != "other", start).alias("line_no"), "bit")
+        .groupBy("file", "kind", "line_no")
+        .agg(F.bit_or("bit").alias("mask"))
     )
+    of_kind = marks.rows.where(F.col("kind") != "other")
+    here, wanted = F.bit_count("mask").cast("bigint"), F.when(F.col("kind") == "banner", 1).otherwise(threshold)
+    one_cell = marks.last_line < CELL_LINES
+    counted = running_total(of_kind, here, "before", ("file", "kind"), inclusive=False, one_cell=one_cell)
+    nth = (wanted - F.col("before")).cast("int")
+    bits = F.filter(F.sequence(F.lit(0), F.lit(MARK_LINES - 1)), lambda n: F.getbit("mask", n) == 1)
+    reached = counted.where((nth >= 1) & (nth <= here)).select("file", "kind", (F.col("line_no") + F.element_at(bits, nth)).alias("at"))
 
-    def line_of(name: str, nth: int):
-        return F.min(F.when((F.col("kind") == name) & (F.col("nth") == nth), F.col("line_no")))
+    def line_of(name: str):
+        return F.min(F.when(F.col("kind") == name, F.col("at")))
 
-    decided = firsts.groupBy("file").agg(
-        F.least(line_of("kernel", threshold), line_of("banner", 1)).alias("kernel_at"),
-        line_of("logcat", threshold).alias("logcat_at"),
+    files = marks.rows.select("file", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("bigint").alias("at"))
+    decided = reached.unionByName(files).groupBy("file").agg(
+        F.least(line_of("kernel"), line_of("banner")).alias("kernel_at"),
+        line_of("logcat").alias("logcat_at"),
     )
     is_kernel = F.col("kernel_at").isNotNull() & (
         F.col("logcat_at").isNull() | (F.col("kernel_at") < F.col("logcat_at"))
