@@ -370,6 +370,14 @@ ORACLES: dict[str, str] = {
         select=f"""SELECT sha256(cleaned_log) AS record_id, cleaned_log,
   {_stripped("arg_min(raw_log, file * 1000000 + line_no)")} AS raw_log
   FROM batch WHERE cleaned_log NOT IN (SELECT cleaned_log FROM earlier) GROUP BY cleaned_log""",
+    ),
+    "store_committed": _with(
+        *BATCH_AND_HISTORY,
+        """both_logs AS (SELECT 1 AS nth, * FROM earlier UNION ALL SELECT 2 AS nth, * FROM batch
+  WHERE cleaned_log NOT IN (SELECT cleaned_log FROM earlier))""",
+        select=f"""SELECT sha256(cleaned_log) AS record_id, cleaned_log,
+  {_stripped("arg_min(raw_log, file::HUGEINT * 1000000 + line_no)")} AS raw_log
+  FROM both_logs GROUP BY nth, cleaned_log""",
     ),
     "stored_keys": _with(D_LINES, _cleaned("doc_lines"), select="SELECT DISTINCT cleaned_log FROM cleaned"),
     "subtract_known": _with(

@@ -12,10 +12,11 @@ from lumberline.functions import answers, heads, names, text
 from lumberline.operators import archives, budget, crashes, files, history, kernel, modules, search
 from lumberline.operators import patterns as pattern_ops
 from lumberline.operators.clean import clean
-from lumberline.runtime import materialize
+from lumberline.runtime import materialize, shared_folder
+from lumberline.sinks.history import append_new
 from lumberline.sinks.text import markdown_rows, rendered
 from lumberline.sources import listing
-from lumberline.sources.history import stored_keys
+from lumberline.sources.history import read_history, stored_keys
 from lumberline.sources.lines import line_range, line_range_errors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +131,14 @@ def store_new_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.new_records(*_batch_and_history(spark, sf_dir)).drop("created_at")
 
 
+def store_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history after two appends: the conversations, then those of the documents' keys that it lacks."""
+    path = shared_folder(spark, "history")
+    for lines in (inputs.conversation_lines(spark, sf_dir), inputs.document_lines(spark, sf_dir)):
+        append_new(history.batch_records(clean(lines)), path)
+    return read_history(spark, path).drop("created_at")
+
+
 def stored_key_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_keys(clean_dedup(spark, sf_dir))
 
@@ -350,6 +359,7 @@ QUERIES: dict[str, Query] = {
     "stored_keys": stored_key_set,
     "subtract_known": subtract_known,
     "store_counts": store_counts,
+    "store_committed": store_committed,
     "known_duplicates_excluded": known_duplicates_excluded,
     "module_lookup": module_lookup,
     "module_unknown": module_unknown,

@@ -8,24 +8,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumberline.functions.text import strip_blanks
+from lumberline.sources.history import record_id
 
 
-def new_records(cleaned: DataFrame, history: DataFrame, created_at: dt.datetime | None = None) -> DataFrame:
-    """Records for keys the history lacks, the first line of the batch standing for a key.
-
-    The batch is reduced to one row per key before it meets the history; both sides are partitioned by the key once.
-    """
+def batch_records(cleaned: DataFrame, created_at: dt.datetime | None = None) -> DataFrame:
+    """One record per key of a batch, its first line standing for it."""
     first = F.min(F.struct("file", "line_no", strip_blanks(F.col("raw_log")).alias("raw_log"))).alias("first")
-    batch = cleaned.groupBy("cleaned_log").agg(first)
     stamp = F.current_timestamp() if created_at is None else F.lit(created_at).cast("timestamp")
-    return batch.join(history.select("cleaned_log"), "cleaned_log", "left_anti").select(
-        F.sha2("cleaned_log", 256).alias("record_id"),
+    return cleaned.groupBy("cleaned_log").agg(first).select(
+        record_id(F.col("cleaned_log")).alias("record_id"),
         "cleaned_log",
         F.col("first.raw_log").alias("raw_log"),
         stamp.alias("created_at"),
     )
 
 
+def new_records(cleaned: DataFrame, history: DataFrame, created_at: dt.datetime | None = None) -> DataFrame:
+    """Records for keys the history lacks, the first line of the batch standing for a key.
+
+    The batch is reduced to one row per key before it meets the history; both sides are partitioned by the key once.
+    """
+    records = batch_records(cleaned, created_at)
+    return records.join(history.select("cleaned_log"), "cleaned_log", "left_anti").select(records.columns)
+
+
 def subtract_known(cleaned: DataFrame, history: DataFrame) -> DataFrame:
     """Cleaned lines whose key is not stored yet."""
     unknown = cleaned.join(history.select("cleaned_log"), "cleaned_log", "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumberline.operators.clean import clean
 from lumberline.operators.crashes import DEFAULT_DETECTORS, extract_crashes
-from lumberline.operators.history import new_records, subtract_known
+from lumberline.operators.history import batch_records, subtract_known
 from lumberline.operators.modules import known_module_names, requested, resolve_modules, unknown_modules
 from lumberline.operators.patterns import (
     combine_patterns,
@@ -22,7 +22,8 @@ from lumberline.operators.patterns import (
 )
 from lumberline.operators.search import error_lines
 from lumberline.runtime import materialize, written
-from lumberline.sinks.tables import append_records, write_crashes_json, write_mapping_csv, write_records_csv
+from lumberline.sinks.history import append_new, committed_records
+from lumberline.sinks.tables import write_crashes_json, write_mapping_csv, write_records_csv
 from lumberline.sinks.text import write_pattern_lists, write_rendered
 from lumberline.sources.history import read_history
 from lumberline.sources.lines import read_lines
@@ -40,17 +41,22 @@ def clean_and_store(
     clean_path: str | None = None,
     csv_path: str | None = None,
     created_at: dt.datetime | None = None,
+    token: str | None = None,
 ) -> int:
-    """Clean the logs under ``log_path``, append keys never seen before to the history, return how many."""
+    """Clean the logs under ``log_path``, append keys never seen before to the history, return how many.
+
+    The CSV is written from the records that were committed. A job with a ``token`` may be run again after any failure:
+    it adds nothing that its first run committed, and writes the same CSV over what there is of it.
+    """
     cleaned = clean(read_lines(spark, log_path))
     if clean_path is not None:
         cleaned = written(cleaned)
-        write_rendered(cleaned, clean_path)
+        write_rendered(cleaned, clean_path, mode="errorifexists" if token is None else "overwrite")
     stamp = created_at or dt.datetime.now().replace(microsecond=0)
-    records = materialize(new_records(cleaned, read_history(spark, history_path), stamp))
+    commit = append_new(batch_records(cleaned, stamp), history_path, token)
     if csv_path is not None:
-        write_records_csv(records, csv_path)
-    return append_records(records, history_path)
+        write_records_csv(committed_records(spark, history_path, commit), csv_path, "errorifexists" if token is None else "overwrite")
+    return commit.records
 
 
 def subtract(spark: SparkSession, log_path: str, history_path: str, output_path: str) -> None:

@@ -59,11 +59,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path beside the checkpoints, where all executors can write."""
+    _checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet beside the checkpoints and read it from there: for large cuts that are read in columns."""
     spark = df.sparkSession
-    _checkpoint_folder(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "table")
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 

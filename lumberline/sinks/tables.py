@@ -1,4 +1,4 @@
-"""Structured output: the history table, record and mapping CSV, crash JSON."""
+"""Structured output: record and mapping CSV, crash JSON."""
 
 from __future__ import annotations
 
@@ -8,15 +8,6 @@ from pyspark.sql import functions as F
 from lumberline.sinks.buckets import write_mapping
 
 
-def append_records(records: DataFrame, path: str) -> int:
-    """Append records to the history and return how many.
-
-    They must be materialized: they were compared with the table that changes here.
-    """
-    records.write.mode("append").parquet(path)
-    return records.count()
-
-
 def write_records_csv(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
     named = records.select(
         F.col("cleaned_log").alias("Cleaned Log"),

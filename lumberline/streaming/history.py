@@ -6,20 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from lumberline.operators.clean import clean
-from lumberline.operators.history import new_records
-from lumberline.runtime import materialize
-from lumberline.sinks.tables import append_records
-from lumberline.sources.history import read_history
+from lumberline.operators.history import batch_records
+from lumberline.sinks.history import append_new
 
 
 def history_writer(lines: DataFrame, history_path: str) -> DataStreamWriter:
     """A stream writer that appends the unseen keys of each micro-batch of ``(file, line_no, line)``.
 
-    A batch that is run again after a failure finds its keys stored and adds nothing.
+    A micro-batch reads the buckets of its keys only, and is in the history as a whole or not at all. One that is run
+    again after a failure finds its keys stored and adds nothing, and so do streams that write to one history.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        records = new_records(clean(batch), read_history(batch.sparkSession, history_path))
-        append_records(materialize(records), history_path)
+        append_new(batch_records(clean(batch)), history_path)
 
     return lines.writeStream.foreachBatch(store)

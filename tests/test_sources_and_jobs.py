@@ -11,14 +11,17 @@ import os
 import random
 import tarfile
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from lumberline import runtime
+from lumberline.operators.history import batch_records
 from lumberline.operators.patterns import combine_patterns, map_patterns, valid_patterns
 from lumberline.plans import jobs
 from lumberline.sinks import buckets, tables, text
+from lumberline.sinks import history as store
 from lumberline.sources import archives, history, lines, listing, modules
 from lumberline.streaming.history import history_writer
 
@@ -423,6 +426,100 @@ def test_store_twice_adds_nothing_and_subtract_sees_the_rest(spark, tmp_path):
     assert [(c["start_line"], c["full_stack_trace"]) for c in found] == [(6, "fatal exception\n")]
 
 
+def keys_of(spark, path):
+    return sorted(r["cleaned_log"] for r in history.read_history(spark, path).collect())
+
+
+def records_of(spark, keys):
+    rows = spark.createDataFrame([("f", n, key, f"raw {key}") for n, key in enumerate(keys)], "file STRING, line_no BIGINT, cleaned_log STRING, raw_log STRING")
+    return batch_records(rows, NOON)
+
+
+def test_appends_at_once_leave_no_key_twice(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/h"
+    publish, others = store._publish, [["b", "c"], ["d", "e"]]
+
+    def overtaken(session, where, commit):
+        if others:
+            store.append_new(records_of(spark, others.pop()), path)
+        return publish(session, where, commit)
+
+    monkeypatch.setattr(store, "_publish", overtaken)
+    added = store.append_new(records_of(spark, ["a", "b", "d"]), path)
+    assert keys_of(spark, path) == ["a", "b", "c", "d", "e"]
+    assert [c.version for c in history.read_commits(spark, path)] == [1, 2, 3] and added.records == 1
+    assert sorted(r["cleaned_log"] for r in store.committed_records(spark, path, added).collect()) == ["a"]
+    assert store.append_new(records_of(spark, ["a", "c"]), path).records == 0
+    assert len(history.read_commits(spark, path)) == 3
+
+
+def test_threads_append_to_one_history(spark, tmp_path):
+    path = f"{tmp_path}/h"
+    batches = [[f"k{n}" for n in range(k, k + 12)] for k in (0, 4, 8, 12)]
+    with ThreadPoolExecutor(4) as pool:
+        counts = list(pool.map(lambda keys: store.append_new(records_of(spark, keys), path).records, batches))
+    assert keys_of(spark, path) == sorted({key for keys in batches for key in keys}) and sum(counts) == 24
+
+
+def test_a_job_that_died_is_run_again(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.log").write_text("\n".join(LOG) + "\n")
+
+    def run():
+        return jobs.clean_and_store(spark, f"{tmp_path}/in", f"{tmp_path}/h", f"{tmp_path}/clean", f"{tmp_path}/csv", NOON, token="job 1")
+
+    def dies(*args):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(store, "_publish", dies)
+        with pytest.raises(RuntimeError, match="killed"):
+            run()
+    assert keys_of(spark, f"{tmp_path}/h") == []
+    with monkeypatch.context() as broken:
+        broken.setattr(jobs, "write_records_csv", dies)
+        with pytest.raises(RuntimeError, match="killed"):
+            run()
+    assert run() == 4 and run() == 4
+    assert len(keys_of(spark, f"{tmp_path}/h")) == 4
+    assert len(spark.read.csv(f"{tmp_path}/csv", header=True).collect()) == 4
+    assert jobs.clean_and_store(spark, f"{tmp_path}/in", f"{tmp_path}/h", created_at=NOON, token="job 2") == 0
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2])
+def test_an_append_reads_its_buckets_only(spark, tmp_path, monkeypatch, digits):
+    monkeypatch.setattr(history, "FOLDER_RECORDS", 300 // 16**digits + 1)
+    path = f"{tmp_path}/h"
+    store.append_new(records_of(spark, [f"key {n}" for n in range(300)]), path)
+    live = history.live_commits(history.read_commits(spark, path))
+    bucket = records_of(spark, ["key 7"]).select(history.bucket_of(F.col("record_id"))).first()[0]
+    folders = {f.split("bucket=")[1].split("/")[0] for f in history.read_batches(spark, path, live).inputFiles()}
+    assert len(folders) == 1 if digits == 0 else {len(folder) for folder in folders} == {digits}
+    part = history.read_batches(spark, path, live, [bucket])
+    assert {r["record_id"][:digits] for r in part.collect()} == {bucket[:digits]}
+    pruned = part._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert "bucket" in pruned
+    assert store.append_new(records_of(spark, ["key 7", "key 300"]), path).records == 1
+
+
+def test_compaction_keeps_every_record(spark, tmp_path):
+    path = f"{tmp_path}/h"
+    spark.createDataFrame([("old", "raw")], "cleaned_log STRING, raw_log STRING").write.parquet(path)
+    assert store.append_new(records_of(spark, ["old", "a"]), path).records == 1
+    store.append_new(records_of(spark, ["b"]), path)
+    assert keys_of(spark, path) == ["a", "b", "old"]
+    store.compact(spark, path)
+    live = history.live_commits(history.read_commits(spark, path))
+    assert len(live) == 1 and keys_of(spark, path) == ["a", "b", "old"]
+    assert store.append_new(records_of(spark, ["old", "b", "c"]), path).records == 1
+    store.compact(spark, path)
+    assert keys_of(spark, path) == ["a", "b", "c", "old"]
+    spark.createDataFrame([("old", "raw")], "cleaned_log STRING, raw_log STRING").write.parquet(f"{tmp_path}/plain")
+    store.compact(spark, f"{tmp_path}/plain")
+    assert store.append_new(records_of(spark, ["old", "new"]), f"{tmp_path}/plain").records == 1
+    assert keys_of(spark, f"{tmp_path}/plain") == ["new", "old"]
+
+
 def test_filter_modules(spark, tmp_path):
     (tmp_path / "audio.txt").write_text("underrun\n\n  audio \n(\n")
     (tmp_path / "video.txt").write_text("Video\n")
