@@ -4,18 +4,17 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumberline.functions.text import strip_blanks
+from lumberline.operators.clean import with_key
 from lumberline.sources.history import record_id
 
 
-def batch_records(cleaned: DataFrame, created_at: dt.datetime | None = None) -> DataFrame:
-    """One record per key of a batch, its first line standing for it."""
-    first = F.min(F.struct("file", "line_no", strip_blanks(F.col("raw_log")).alias("raw_log"))).alias("first")
+def _records(keyed: DataFrame, first: Column, created_at: dt.datetime | None) -> DataFrame:
     stamp = F.current_timestamp() if created_at is None else F.lit(created_at).cast("timestamp")
-    return cleaned.groupBy("cleaned_log").agg(first).select(
+    return keyed.groupBy("cleaned_log").agg(F.min(first).alias("first")).select(
         record_id(F.col("cleaned_log")).alias("record_id"),
         "cleaned_log",
         F.col("first.raw_log").alias("raw_log"),
@@ -23,6 +22,17 @@ def batch_records(cleaned: DataFrame, created_at: dt.datetime | None = None) ->
     )
 
 
+def batch_records(cleaned: DataFrame, created_at: dt.datetime | None = None) -> DataFrame:
+    """One record per key of cleaned lines, the first of them standing for it."""
+    return _records(cleaned, F.struct("file", "line_no", strip_blanks(F.col("raw_log")).alias("raw_log")), created_at)
+
+
+def line_records(lines: DataFrame, created_at: dt.datetime | None = None) -> DataFrame:
+    """The records of ``batch_records(clean(lines))`` by one aggregate: the last line of a key in its first file."""
+    first = F.struct("file", -F.col("line_no"), strip_blanks(F.col("line")).alias("raw_log"))
+    return _records(with_key(lines), first, created_at)
+
+
 def new_records(cleaned: DataFrame, history: DataFrame, created_at: dt.datetime | None = None) -> DataFrame:
     """Records for keys the history lacks, the first line of the batch standing for a key.
 

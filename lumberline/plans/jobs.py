@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumberline.operators.clean import clean
 from lumberline.operators.crashes import DEFAULT_DETECTORS, extract_crashes
-from lumberline.operators.history import batch_records, subtract_known
+from lumberline.operators.history import batch_records, line_records, subtract_known
 from lumberline.operators.modules import known_module_names, requested, resolve_modules, unknown_modules
 from lumberline.operators.patterns import (
     combine_patterns,
@@ -48,12 +48,13 @@ def clean_and_store(
     The CSV is written from the records that were committed. A job with a ``token`` may be run again after any failure:
     it adds nothing that its first run committed, and writes the same CSV over what there is of it.
     """
-    cleaned = clean(read_lines(spark, log_path))
+    lines = read_lines(spark, log_path)
     if clean_path is not None:
-        cleaned = written(cleaned)
+        cleaned = written(clean(lines))
         write_rendered(cleaned, clean_path, mode="errorifexists" if token is None else "overwrite")
     stamp = created_at or dt.datetime.now().replace(microsecond=0)
-    commit = append_new(batch_records(cleaned, stamp), history_path, token)
+    records = line_records(lines, stamp) if clean_path is None else batch_records(cleaned, stamp)
+    commit = append_new(records, history_path, token)
     if csv_path is not None:
         write_records_csv(committed_records(spark, history_path, commit), csv_path, "errorifexists" if token is None else "overwrite")
     return commit.records

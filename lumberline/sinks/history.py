@@ -11,12 +11,13 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from dataclasses import replace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumberline.runtime import delete_written, written
+from lumberline.runtime import delete_written, measured, written
 from lumberline.sources.history import (
     RECORD_SCHEMA,
     Commit,
@@ -62,19 +63,21 @@ def _publish(spark: SparkSession, path: str, commit: Commit) -> bool:
     return True
 
 
-def _write_batch(records: DataFrame, path: str, digits: int) -> tuple[str, int]:
-    """Write records as a batch of the history, not committed yet, sorted inside their folders."""
+def _write_batch(records: DataFrame, path: str, digits: int) -> Commit:
+    """Write records as a batch of the history, sorted in its folders; the result is not committed yet."""
     batch = uuid.uuid4().hex
-    folder = f"{path}/_batches/batch={batch}"
     bucketed = records.select(*RECORD_SCHEMA.names, bucket_of(F.col("record_id"), digits).alias("bucket"))
-    ordered = bucketed.repartitionByRange("bucket", "record_id").sortWithinPartitions("bucket", "record_id")
-    ordered.write.partitionBy("bucket").parquet(folder)
-    spark = records.sparkSession
-    return batch, read_batches(spark, path, [Commit(0, batch, None, 0, 0)]).count()
+    dealt = bucketed.repartition("bucket") if digits else bucketed
+    ordered = dealt.sortWithinPartitions("bucket", "record_id")
+    ordered.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/_batches/batch={batch}")
+    draft = Commit(0, batch, None, 0, 0)
+    return replace(draft, records=read_batches(records.sparkSession, path, [draft]).count())
 
 
-def _unknown(records: DataFrame, known: DataFrame) -> DataFrame:
-    return records.join(known.select(record_id(F.col("cleaned_log")).alias("record_id")), "record_id", "left_anti")
+def _unknown(records: DataFrame, known_ids: DataFrame) -> DataFrame:
+    """Records whose ids are not among the known ones: ids meet alone, and those found are broadcast when they are few."""
+    found = measured(records.select("record_id").join(known_ids, "record_id", "left_semi"))
+    return records.join(found.small(), "record_id", "left_anti")
 
 
 def append_new(candidates: DataFrame, path: str, token: str | None = None) -> Commit:
@@ -89,28 +92,25 @@ def append_new(candidates: DataFrame, path: str, token: str | None = None) -> Co
     if done is not None:
         return done
     cut = written(candidates.select(RECORD_SCHEMA.names))
-    touched = [row["bucket"] for row in cut.select(bucket_of(F.col("record_id")).alias("bucket")).distinct().collect()]
+    buckets = [row["bucket"] for row in cut.select(bucket_of(F.col("record_id")).alias("bucket")).distinct().collect()]
+    digits = digits_for(cut.count())
     live = live_commits(commits)
-    known = read_batches(spark, path, live, touched)
+    known = read_batches(spark, path, live, buckets).select("record_id")
     if not any(c.replaces for c in live):
-        known = known.unionByName(read_plain(spark, path))
-    digits = digits_for(cut.count())
-    batch, count = _write_batch(_unknown(cut, known), path, digits)
-    while count or token is not None:
-        version = commits[-1].version + 1 if commits else 1
-        commit = Commit(version, batch, token, 0, count)
+        known = known.unionByName(read_plain(spark, path).select(record_id(F.col("cleaned_log")).alias("record_id")))
+    draft = _write_batch(_unknown(cut, known), path, digits)
+    delete_written(cut)
+    while draft.records or token is not None:
+        commit = replace(draft, version=commits[-1].version + 1 if commits else 1, token=token)
         if _publish(spark, path, commit):
-            delete_written(cut)
             return commit
         seen, commits = {c.batch for c in commits}, read_commits(spark, path)
         done = _with_token(commits, token)
         if done is not None:
-            delete_written(cut)
             return done
         meanwhile = [c for c in commits if c.batch not in seen and not c.replaces]
-        mine = read_batches(spark, path, [Commit(0, batch, None, 0, 0)])
-        batch, count = _write_batch(_unknown(mine, read_batches(spark, path, meanwhile, touched)), path, digits)
-    delete_written(cut)
+        known = read_batches(spark, path, meanwhile, buckets).select("record_id")
+        draft = _write_batch(_unknown(read_batches(spark, path, [draft]), known), path, digits)
     return Commit(commits[-1].version if commits else 0, "", token, 0, 0)
 
 
@@ -128,11 +128,11 @@ def compact(spark: SparkSession, path: str) -> Commit:
     commits = read_commits(spark, path)
     last = commits[-1].version if commits else 0
     records = read_history(spark, path).withColumn("record_id", record_id(F.col("cleaned_log")))
-    batch, count = _write_batch(records, path, digits_for(records.count()))
+    draft = _write_batch(records, path, digits_for(records.count()))
     # A plain table that no commit came after is replaced too, so that the first version counts as replaced.
-    version = last + 1
-    while not _publish(spark, path, Commit(version, batch, None, max(last, 1), count)):
+    commit = replace(draft, version=last + 1, replaces=max(last, 1))
+    while not _publish(spark, path, commit):
         if last == 0:
             raise RuntimeError("the history got its first version while it was compacted; compact it again")
-        version += 1
-    return Commit(version, batch, None, max(last, 1), count)
+        commit = replace(commit, version=commit.version + 1)
+    return commit

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
-from lumberline.operators.clean import clean
-from lumberline.operators.history import batch_records
+from lumberline.operators.history import line_records
 from lumberline.sinks.history import append_new
 
 
@@ -18,6 +17,6 @@ def history_writer(lines: DataFrame, history_path: str) -> DataStreamWriter:
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        append_new(batch_records(clean(batch)), history_path)
+        append_new(line_records(batch), history_path)
 
     return lines.writeStream.foreachBatch(store)
