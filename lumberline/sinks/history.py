@@ -91,7 +91,7 @@ def append_new(candidates: DataFrame, path: str, token: str | None = None) -> Co
     done = _with_token(commits, token)
     if done is not None:
         return done
-    cut = written(candidates.select(RECORD_SCHEMA.names))
+    cut = written(candidates.select(RECORD_SCHEMA.names), compression="zstd")
     buckets = [row["bucket"] for row in cut.select(bucket_of(F.col("record_id")).alias("bucket")).distinct().collect()]
     digits = digits_for(cut.count())
     live = live_commits(commits)

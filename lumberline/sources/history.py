@@ -27,7 +27,7 @@ COMMIT_SCHEMA = "version BIGINT, batch STRING, token STRING, replaces BIGINT, re
 
 # A batch lies in folders by the first digits of the record ids, as many digits as leave a folder about so many records,
 # and at most so many digits: 4 096 folders, whatever a batch holds. A small batch has one folder.
-FOLDER_RECORDS = 1 << 16
+FOLDER_RECORDS = 1 << 20
 MAX_DIGITS = 3
 WHOLE = "all"
 

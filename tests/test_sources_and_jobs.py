@@ -17,7 +17,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumberline import runtime
-from lumberline.operators.history import batch_records
+from lumberline.operators.clean import clean
+from lumberline.operators.history import batch_records, line_records
 from lumberline.operators.patterns import combine_patterns, map_patterns, valid_patterns
 from lumberline.plans import jobs
 from lumberline.sinks import buckets, tables, text
@@ -435,6 +436,12 @@ def records_of(spark, keys):
     return batch_records(rows, NOON)
 
 
+def test_records_of_lines_are_those_of_cleaned_lines(spark, log):
+    frame = log({"b": ["Video ok 1", "Audio 2", "http://x", " Video ok 3 ", ""], "a": ["Audio 4", "Audio 5", "", ""]})
+    assert sorted(line_records(frame, NOON).collect()) == sorted(batch_records(clean(frame), NOON).collect())
+    assert {r["raw_log"] for r in line_records(frame, NOON).collect()} == {"Video ok 3", "Audio 5", ""}
+
+
 def test_appends_at_once_leave_no_key_twice(spark, tmp_path, monkeypatch):
     path = f"{tmp_path}/h"
     publish, others = store._publish, [["b", "c"], ["d", "e"]]
