@@ -341,6 +341,16 @@ ORACLES: dict[str, str] = {
     "line_range_errors": _with(
         D_LINES,
         select="""SELECT file, count(*) AS total_lines, 'file has ' || count(*) || ' lines, requested 2-8' AS message
+  FROM doc_lines GROUP BY file HAVING count(*) < 8""",
+    ),
+    "kept_line_range": _with(
+        D_LINES,
+        select="""SELECT * FROM doc_lines WHERE line_no BETWEEN 2 AND 6
+  AND file IN (SELECT file FROM doc_lines GROUP BY file HAVING count(*) >= 8)""",
+    ),
+    "kept_line_range_errors": _with(
+        D_LINES,
+        select="""SELECT file, count(*) AS total_lines, 'file has ' || count(*) || ' lines, requested 2-8' AS message
   FROM doc_lines GROUP BY file HAVING count(*) < 8""",
     ),
     "crash_debug": _crashes("debug"),

@@ -17,6 +17,7 @@ from lumberline.sinks.history import append_new
 from lumberline.sinks.text import markdown_rows, rendered
 from lumberline.sources import listing
 from lumberline.sources.history import read_history, stored_keys
+from lumberline.sources.kept_lines import keep_lines, kept_range, kept_range_errors
 from lumberline.sources.lines import line_range, line_range_errors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +102,20 @@ def ranged_line_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_range_errors(inputs.document_lines(spark, sf_dir), 2, 8)
 
 
+def _kept_lines(spark: SparkSession, sf_dir: str) -> str:
+    path = shared_folder(spark, "kept")
+    keep_lines(inputs.document_lines(spark, sf_dir), path)
+    return path
+
+
+def kept_ranged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_range(spark, _kept_lines(spark, sf_dir), 2, 8, max_lines=5)
+
+
+def kept_ranged_line_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_range_errors(spark, _kept_lines(spark, sf_dir), 2, 8)
+
+
 def _crashes(*detectors: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return crashes.extract_crashes(inputs.log_lines(spark, sf_dir), detectors or crashes.DEFAULT_DETECTORS)
@@ -345,6 +360,8 @@ QUERIES: dict[str, Query] = {
     "grep_groups": grep_groups,
     "line_range": ranged_lines,
     "line_range_errors": ranged_line_errors,
+    "kept_line_range": kept_ranged_lines,
+    "kept_line_range_errors": kept_ranged_line_errors,
     "crash_debug": _crashes(crashes.DEBUG),
     "crash_runtime": _crashes(crashes.RUNTIME),
     "crash_native": _crashes(crashes.NATIVE),

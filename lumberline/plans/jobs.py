@@ -21,11 +21,12 @@ from lumberline.operators.patterns import (
     valid_patterns,
 )
 from lumberline.operators.search import error_lines
-from lumberline.runtime import materialize, written
+from lumberline.runtime import job_tables, materialize, written
 from lumberline.sinks.history import append_new, committed_records
 from lumberline.sinks.tables import write_crashes_json, write_mapping_csv, write_records_csv
 from lumberline.sinks.text import write_pattern_lists, write_rendered
 from lumberline.sources.history import read_history
+from lumberline.sources.kept_lines import keep_lines
 from lumberline.sources.lines import read_lines
 from lumberline.sources.modules import load_patterns
 
@@ -48,33 +49,43 @@ def clean_and_store(
     The CSV is written from the records that were committed. A job with a ``token`` may be run again after any failure:
     it adds nothing that its first run committed, and writes the same CSV over what there is of it.
     """
-    lines = read_lines(spark, log_path)
-    if clean_path is not None:
-        cleaned = written(clean(lines))
-        write_rendered(cleaned, clean_path, mode="errorifexists" if token is None else "overwrite")
-    stamp = created_at or dt.datetime.now().replace(microsecond=0)
-    records = line_records(lines, stamp) if clean_path is None else batch_records(cleaned, stamp)
-    commit = append_new(records, history_path, token)
-    if csv_path is not None:
-        write_records_csv(committed_records(spark, history_path, commit), csv_path, "errorifexists" if token is None else "overwrite")
-    return commit.records
+    with job_tables(spark):
+        lines = read_lines(spark, log_path)
+        if clean_path is not None:
+            cleaned = written(clean(lines))
+            write_rendered(cleaned, clean_path, mode="errorifexists" if token is None else "overwrite")
+        stamp = created_at or dt.datetime.now().replace(microsecond=0)
+        records = line_records(lines, stamp) if clean_path is None else batch_records(cleaned, stamp)
+        commit = append_new(records, history_path, token)
+        if csv_path is not None:
+            write_records_csv(committed_records(spark, history_path, commit), csv_path, "errorifexists" if token is None else "overwrite")
+        return commit.records
 
 
 def subtract(spark: SparkSession, log_path: str, history_path: str, output_path: str) -> None:
     """Write the cleaned lines of the logs that the history does not know."""
-    unknown = subtract_known(clean(read_lines(spark, log_path)), read_history(spark, history_path))
-    write_rendered(unknown, output_path)
+    with job_tables(spark):
+        unknown = subtract_known(clean(read_lines(spark, log_path)), read_history(spark, history_path))
+        write_rendered(unknown, output_path)
+
+
+def keep_log_lines(spark: SparkSession, log_path: str, kept_path: str, mode: str = "errorifexists") -> None:
+    """Number the lines of the logs once and keep them with an index, from which ranges are read without the rest."""
+    with job_tables(spark):
+        keep_lines(read_lines(spark, log_path), kept_path, mode)
 
 
 def crashes_to_json(
     spark: SparkSession, log_path: str, output_path: str, detectors: tuple[str, ...] = DEFAULT_DETECTORS
 ) -> None:
-    write_crashes_json(extract_crashes(read_lines(spark, log_path, errors="ignore"), detectors), output_path)
+    with job_tables(spark):
+        write_crashes_json(extract_crashes(read_lines(spark, log_path, errors="ignore"), detectors), output_path)
 
 
 def error_lines_to_text(spark: SparkSession, log_path: str, output_path: str, stems: list[str] | None = None) -> None:
     """Write the numbered lines of the logs that hold an error stem."""
-    write_rendered(error_lines(read_lines(spark, log_path), stems), output_path, text_col="line")
+    with job_tables(spark):
+        write_rendered(error_lines(read_lines(spark, log_path), stems), output_path, text_col="line")
 
 
 class UnknownModules(ValueError):
@@ -121,8 +132,9 @@ def filter_modules_to_files(
     spark: SparkSession, log_path: str, module_names: str, catalog: DataFrame, output_path: str, max_patterns_per_line: int = 1
 ) -> ModuleFilter:
     """Filter the logs under ``log_path`` and write the lines, the mapping as CSV, and the valid and invalid patterns."""
-    result = filter_modules(spark, read_lines(spark, log_path), module_names, catalog, max_patterns_per_line)
-    write_rendered(result.filtered, f"{output_path}/filtered", text_col="log")
-    write_mapping_csv(result.mapping, f"{output_path}/mapping")
-    write_pattern_lists(result.patterns, f"{output_path}/patterns")
+    with job_tables(spark):
+        result = filter_modules(spark, read_lines(spark, log_path), module_names, catalog, max_patterns_per_line)
+        write_rendered(result.filtered, f"{output_path}/filtered", text_col="log")
+        write_mapping_csv(result.mapping, f"{output_path}/mapping")
+        write_pattern_lists(result.patterns, f"{output_path}/patterns")
     return result

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -21,6 +24,9 @@ RANGE_CELL = 256
 # A side is broadcast only when it was counted and measured below this size.
 BROADCAST_BYTES = 64 << 20
 
+# Folders of the tables that the running job wrote, or None outside of jobs that delete theirs.
+_job_tables: ContextVar[list[str] | None] = ContextVar("job_tables", default=None)
+
 
 def build_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings the library assumes; on a cluster use the cluster's own session."""
@@ -69,21 +75,42 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet beside the checkpoints and read it from there: for large cuts that are read in columns."""
     spark = df.sparkSession
     folder = shared_folder(spark, "table")
+    of_job = _job_tables.get()
+    if of_job is not None:
+        of_job.append(folder)
     df.write.option("compression", compression).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def delete_written(df: DataFrame) -> None:
-    """Delete the folder of a table that :func:`written` made and that nothing will read again."""
-    spark = df.sparkSession
+def _delete_tables(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Delete those of the folders that are tables beside the checkpoints."""
     ours = f"{spark.sparkContext.getCheckpointDir()}/table-"
-    folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
     for folder in folders:
         place = spark._jvm.org.apache.hadoop.fs.Path(folder)
         if place.toUri().getPath().startswith(spark._jvm.org.apache.hadoop.fs.Path(ours).toUri().getPath()):
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def delete_written(df: DataFrame) -> None:
+    """Delete the folder of a table that :func:`written` made and that nothing will read again."""
+    _delete_tables(df.sparkSession, {name.rsplit("/", 1)[0] for name in df.inputFiles()})
+
+
+@contextmanager
+def job_tables(spark: SparkSession) -> Iterator[None]:
+    """A job whose tables by :func:`written`, the raw copies of its logs among them, are deleted when it ends or fails.
+
+    What the job returns must not read them any more.
+    """
+    folders: list[str] = []
+    outer = _job_tables.set(folders)
+    try:
+        yield
+    finally:
+        _job_tables.reset(outer)
+        _delete_tables(spark, folders)
+
+
 @dataclass(frozen=True)
 class Cut:
     """Materialized rows with what was measured while they were written.

@@ -135,16 +135,25 @@ def decode_files(spark: SparkSession, path: str | list[str], errors: str = "repl
 
 def line_range(lines: DataFrame, start: int, end: int, max_lines: int = 20) -> DataFrame:
     """Lines ``start..end`` (at most ``max_lines``) of every file that has them all."""
+    first, last = range_bounds(start, end, max_lines)
+    long_enough = lines.where(F.col("line_no") == end).select("file")
+    return lines.where(F.col("line_no").between(first, last)).join(long_enough, "file", "left_semi")
+
+
+def range_bounds(start: int, end: int, max_lines: int) -> tuple[int, int]:
+    """First and last line to show; a start of 0 means the first line."""
     first = 1 if start == 0 else start
     if first < 1 or first > end:
         raise ValueError(f"invalid line range {start}-{end}")
-    long_enough = lines.where(F.col("line_no") == end).select("file")
-    wanted = F.col("line_no").between(first, min(end, first + max_lines - 1))
-    return lines.where(wanted).join(long_enough, "file", "left_semi")
+    return first, min(end, first + max_lines - 1)
 
 
 def line_range_errors(lines: DataFrame, start: int, end: int) -> DataFrame:
     """Files too short for the range, with their length."""
-    totals = lines.groupBy("file").agg(F.max("line_no").alias("total_lines"))
+    return short_files(lines.groupBy("file").agg(F.max("line_no").alias("total_lines")), start, end)
+
+
+def short_files(totals: DataFrame, start: int, end: int) -> DataFrame:
+    """Those of ``(file, total_lines)`` that end before the range does."""
     message = F.format_string(f"file has %d lines, requested {start}-{end}", F.col("total_lines"))
     return totals.where(F.col("total_lines") < end).withColumn("message", message)

@@ -12,6 +12,7 @@ import random
 import tarfile
 import zipfile
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from lumberline.plans import jobs
 from lumberline.sinks import buckets, tables, text
 from lumberline.sinks import history as store
 from lumberline.sources import archives, history, lines, listing, modules
+from lumberline.sources.kept_lines import keep_lines, kept_range, kept_range_errors
 from lumberline.streaming.history import history_writer
 
 NOON = dt.datetime(2024, 1, 2, 12, 0, 0)
@@ -180,6 +182,49 @@ def test_line_range(log):
             lines.line_range(frame, *bad)
 
 
+def test_kept_lines_open_only_the_parts_of_a_range(spark, log, tmp_path):
+    frame = log({"a": [str(n) for n in range(1, 41)], "b": ["1", "2"], "c": ["x", None, ""]}).coalesce(1)
+    path = str(tmp_path / "kept")
+    keep_lines(frame, path, part_lines=5)
+    for bounds in ((0, 40), (2, 3), (12, 14), (39, 60)):
+        ours, plain = kept_range(spark, path, *bounds), lines.line_range(frame, *bounds)
+        assert sorted(map(tuple, ours.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+        ours, plain = kept_range_errors(spark, path, *bounds), lines.line_range_errors(frame, *bounds)
+        assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, plain.collect()))
+    named = kept_range(spark, path, 12, 14, files=["a"])
+    assert sorted(r["line"] for r in named.collect()) == ["12", "13", "14"]
+    assert len([f for f in named.inputFiles() if "/lines/" in f]) == 1
+    assert len(spark.read.parquet(f"{path}/lines").inputFiles()) == 9
+    assert kept_range(spark, path, 1, 2, files=["none"]).count() == 0
+    for bad in ((-1, 3), (5, 4)):
+        with pytest.raises(ValueError):
+            kept_range(spark, path, *bad)
+
+
+def test_kept_lines_without_lines_or_logs(spark, log, tmp_path):
+    schema = "file STRING, line_no BIGINT, line STRING"
+    keep_lines(spark.createDataFrame([], schema), str(tmp_path / "none"))
+    assert kept_range(spark, str(tmp_path / "none"), 1, 1).count() == 0
+    assert kept_range_errors(spark, str(tmp_path / "none"), 1, 1).count() == 0
+    keep_lines(spark.createDataFrame([(None, 1, "x")], schema), str(tmp_path / "null"))
+    assert kept_range(spark, str(tmp_path / "null"), 1, 1).count() == 0
+
+
+def test_jobs_leave_no_raw_copies(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("one error here\nsecond line\n")
+    (tmp_path / "in" / "w.log").write_bytes("wide error\n".encode("utf-16"))
+    beside = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(beside.glob("table-*"))
+    jobs.keep_log_lines(spark, str(tmp_path / "in"), str(tmp_path / "kept"))
+    assert sorted(r["line"] for r in kept_range(spark, str(tmp_path / "kept"), 1, 1).collect()) == ["one error here", "wide error"]
+    jobs.error_lines_to_text(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    jobs.clean_and_store(spark, str(tmp_path / "in"), str(tmp_path / "history"), clean_path=str(tmp_path / "clean"))
+    with pytest.raises(Exception):
+        jobs.keep_log_lines(spark, str(tmp_path / "in"), str(tmp_path / "kept"))
+    assert set(beside.glob("table-*")) == before
+
+
 def test_listings(spark, tmp_path):
     for name in ("a.LOG", "d/b.txt", "d/e/c.bin", "d/e/keep_1.txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
