@@ -21,22 +21,51 @@ def _select_table() -> np.ndarray:
 SELECT = _select_table()
 
 
+# Lanes of 8 and 16 bits of a number of 64: a one in each, the highest bit of each, and single bits, pairs and nibbles.
+ONES8, TOP8 = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+ONES16, TOP16, LOW16 = np.uint64(0x0001000100010001), np.uint64(0x8000800080008000), np.uint64(0x00FF00FF00FF00FF)
+BITS, PAIRS, NIBBLES = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+U1, U2, U3, U4, U8, U16, BYTE = (np.uint64(n) for n in (1, 2, 3, 4, 8, 16, 255))
+
+
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, ones: bool) -> np.ndarray:
-    """The place of the k-th one or zero, counted from 0. ``before`` counts those before each block."""
+    """The place of the k-th one or zero, counted from 0. ``before`` counts those before each block.
+
+    Running counts of the eight words of a block, and of the eight bytes of a word, lie in the lanes of one number; a
+    subtraction in all lanes and the bits it leaves tell how many of them come before the k-th.
+    """
     block = np.searchsorted(before, k, "right") - 1
-    rest = k - before[block]
+    rest = (k - before[block]).astype(np.uint64)
     parts = words.reshape(-1, BLOCK // 64)[block]
     if not ones:
         parts = ~parts
-    row = np.arange(len(k))
-    upto = np.cumsum(np.bitwise_count(parts), axis=1, dtype=np.int64)
-    word = (upto <= rest[:, None]).sum(1)
-    rest = rest - np.where(word > 0, upto[row, word - 1], 0)
-    octets = parts[row, word].view(np.uint8).reshape(-1, 8)
-    upto = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int64)
-    octet = (upto <= rest[:, None]).sum(1)
-    rest = rest - np.where(octet > 0, upto[row, octet - 1], 0)
-    return block * BLOCK + word * 64 + octet * 8 + SELECT[octets[row, octet], rest]
+    counts = np.bitwise_count(parts).view(np.uint64).ravel()
+    even = counts & LOW16
+    upto = (even + (counts >> U8 & LOW16)) * ONES16
+    pair = np.bitwise_count(((rest * ONES16 | TOP16) - upto) & TOP16).astype(np.uint64)
+    shift = pair << U4
+    rest = rest - (((upto << U16) >> shift) & np.uint64(0xFFFF))
+    first = (even >> shift) & BYTE
+    second = rest >= first
+    rest = rest - first * second
+    word = (pair << U1 | second).astype(np.int64)
+    bits = parts[np.arange(len(k)), word]
+    octets = bits - (bits >> U1 & BITS)
+    octets = (octets & PAIRS) + (octets >> U2 & PAIRS)
+    upto = ((octets + (octets >> U4)) & NIBBLES) * ONES8
+    octet = np.bitwise_count(((rest * ONES8 | TOP8) - upto) & TOP8).astype(np.uint64)
+    shift = octet << U3
+    rest = rest - (((upto << U8) >> shift) & BYTE)
+    return block * BLOCK + word * 64 + shift.astype(np.int64) + SELECT[(bits >> shift) & BYTE, rest]
+
+
+def _ones_from(words: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """How many ones stand in a row from each place on: 64 stands for 64 or more."""
+    word, shift = place >> 6, (place & 63).astype(np.uint64)
+    window = words[np.minimum(word, len(words) - 1)] >> shift
+    further = words[np.minimum(word + 1, len(words) - 1)] << ((np.uint64(64) - shift) & np.uint64(63))
+    window = window | np.where((shift > 0) & (word + 1 < len(words)), further, np.uint64(0))
+    return np.where(word < len(words), np.bitwise_count(window & ~(window + U1)), 0).astype(np.int64)
 
 
 class Rising:
@@ -95,18 +124,25 @@ class Rising:
         high = _select(self.high, self.before, i, True) - i
         return (high << self.low_bits) | self._low(i)
 
-    def _below(self, high: np.ndarray) -> np.ndarray:
-        """How many numbers have smaller high bits."""
+    def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many numbers have smaller high bits, and how many have smaller or the same."""
         asked = np.minimum(high, self.buckets) - 1
-        found = _select(self.high, self.zeros_before, np.maximum(asked, 0), False) - np.maximum(asked, 0)
-        return np.where(high > 0, found, 0)
+        place = _select(self.high, self.zeros_before, np.maximum(asked, 0), False)
+        first = np.where(high > 0, place - np.maximum(asked, 0), 0)
+        same = _ones_from(self.high, np.where(high > 0, place + 1, 0))
+        # The ones of a bucket end with its zero; long rows of ones are followed to there.
+        long = np.flatnonzero(same == 64)
+        if len(long):
+            after = np.minimum(high[long], self.buckets - 1)
+            same[long] = _select(self.high, self.zeros_before, after, False) - after - first[long]
+        return first, first + same
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of the first number of at least x, and whether it is x; the size where there is none."""
         if not self.size or not len(x):
             return np.full(len(x), self.size), np.zeros(len(x), bool)
         high = x >> self.low_bits
-        first, last = self._below(high), self._below(high + 1)
+        first, last = self._bucket(high)
         wanted = x & ((1 << self.low_bits) - 1)
         low, up = first.copy(), last.copy()
         # All searches halve their stretch together: only numbers of the same high bits are compared.

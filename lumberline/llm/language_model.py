@@ -112,17 +112,27 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(kind)
 
 
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Differences, rising and falling ones as small numbers: nodes of the lower order rise along the keys of a word."""
+    step = np.diff(values, prepend=values.dtype.type(0)).view(np.int64)
+    return (step << 1) ^ (step >> 63)
+
+
+def _from_steps(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum((steps >> np.uint64(1)) ^ (np.uint64(0) - (steps & np.uint64(1))), dtype=np.uint64)
+
+
 def _narrow(counts: np.ndarray) -> np.ndarray:
     """Counts in four bytes where they fit."""
     return counts.astype("<u4") if not len(counts) or int(counts.max()) < 1 << 32 else counts
 
 
 def _runs(bucket: np.ndarray, keys: np.ndarray, more: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """A row for each bucket with its keys, in order and as differences, what goes with them, and their counts."""
+    """A row for each bucket with its keys, in order, and what goes with them, both as differences, and their counts."""
     starts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, np.int64)
     ends = np.append(starts[1:], len(bucket))
     rows = [
-        (int(bucket[a]), _pack(np.diff(keys[a:b], prepend=keys.dtype.type(0))), _pack(more[a:b]), _pack(counts[a:b]))
+        (int(bucket[a]), _pack(np.diff(keys[a:b], prepend=keys.dtype.type(0))), _pack(_steps(more[a:b])), _pack(counts[a:b]))
         for a, b in zip(starts.tolist(), ends.tolist())
     ]
     kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -134,7 +144,7 @@ def _runs_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, what goes with them and counts of all runs of a bucket, one after the other."""
     rows = table.to_pylist()
     keys = [np.cumsum(_unpack(r["keys"], "<u8"), dtype=np.uint64) for r in rows]
-    return np.concatenate(keys), np.concatenate([_unpack(r["more"], "<u8") for r in rows]), np.concatenate(
+    return np.concatenate(keys), np.concatenate([_from_steps(_unpack(r["more"], "<u8")) for r in rows]), np.concatenate(
         [_unpack(r["counts"], "<i8") for r in rows]
     )
 
