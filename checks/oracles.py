@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from checks import inputs
 from checks.queries import CLASS_LINKS, GREP, LINE_LIMIT
-from lumberline.functions import text
 from lumberline.functions.heads import BRIEF_NAME, THREADTIME_NAME
 
 E_LINES = f"""log_lines AS (
@@ -28,7 +27,25 @@ THREADTIME = r"^\s*\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d{3}\s+(?:\d+\s+){1,2}(\d+)
 BRIEF = r"^\s*\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d{3}\s+[A-Z]/[^:]+\(\s*(\d+)\):"
 LOG_HEAD = r"[0-9-]+\s+[0-9:.]+\s+[0-9]+\s+[0-9]+\s+\w(?:\s|$)"
 NUMBERS = r"=0x[a-fA-F0-9]+|0x[a-fA-F0-9]+|=[a-fA-F0-9]+|\b[a-fA-F0-9]+\b"
-STOP_LIST = "[" + ", ".join(f"'{word}'" for word in text.STOP_WORDS) + "]"
+# The stop words, written out here once more, so that a word the code lacks shows as a difference.
+STOP_WORDS = """
+a about above after again against ain all am an and any are aren as at
+be because been before being below between both but by
+can couldn d did didn do does doesn doing don down during each few for from further
+had hadn has hasn have haven having he her here hers herself him himself his how
+i if in into is isn it its itself just ll
+m ma me mightn more most mustn my myself needn no nor not now
+o of off on once only or other our ours ourselves out over own re
+s same shan she should shouldn so some such
+t than that the their theirs them themselves then there these they this those through to too
+under until up ve very was wasn we were weren what when where which while who whom why will with won wouldn
+y you your yours yourself yourselves
+""".split()
+# The stems of lines that tell of errors, written out here once more too.
+ERROR_STEMS = (
+    "error|fail|exception|panic|fatal|denied|crash|oops|segfault|abort|corrupt|not|dropped|err|disconnected|timeout|permission"
+)
+STOP_LIST = "[" + ", ".join(f"'{word}'" for word in STOP_WORDS) + "]"
 
 
 def _replace(expr: str, pattern: str, new: str) -> str:
@@ -300,7 +317,7 @@ ORACLES: dict[str, str] = {
     "stop_words_removed": _with(
         D_LINES,
         select=f"""SELECT file, line_no, array_to_string(list_filter(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}_]+'),
-  lambda w: NOT list_contains({STOP_LIST} || ['a', 'd', 'i', 'm', 'o', 's', 't', 'y'], lower(w))), ' ') AS words
+  lambda w: NOT list_contains({STOP_LIST}, lower(w))), ' ') AS words
   FROM doc_lines""",
     ),
     "log_info": _with(
@@ -310,16 +327,16 @@ ORACLES: dict[str, str] = {
     ),
     "error_lines": _with(
         D_LINES,
-        select=f"SELECT * FROM doc_lines WHERE regexp_matches(line, '{'|'.join(text.ERROR_STEMS)}', 'i')",
+        select=f"SELECT * FROM doc_lines WHERE regexp_matches(line, '{ERROR_STEMS}', 'i')",
     ),
     "error_lines_logcat": _with(
         E_LINES,
-        select=f"SELECT * FROM log_lines WHERE regexp_matches(line, '{'|'.join(text.ERROR_STEMS)}', 'i')",
+        select=f"SELECT * FROM log_lines WHERE regexp_matches(line, '{ERROR_STEMS}', 'i')",
     ),
     "error_counts_by_source": _with(
         D_LINES,
         select=f"""SELECT source, CAST(count(*) AS BIGINT) AS error_lines FROM doc_lines JOIN documents ON doc_id = file
-  WHERE regexp_matches(line, '{'|'.join(text.ERROR_STEMS)}', 'i') GROUP BY source""",
+  WHERE regexp_matches(line, '{ERROR_STEMS}', 'i') GROUP BY source""",
     ),
     "long_lines": _with(
         D_LINES,

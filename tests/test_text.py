@@ -9,6 +9,7 @@ from functools import reduce
 
 import pytest
 
+from checks.oracles import ERROR_STEMS, STOP_WORDS
 from lumberline.functions import answers, names, text
 
 # Character classes that tell regex engines apart: combining marks, superscripts, odd blanks, other scripts.
@@ -27,6 +28,7 @@ def wild():
 
 
 def expected_key(line: str) -> str:
+    # The four steps of the key.
     steps = [
         (r"[0-9-]+\s+[0-9:.]+\s+[0-9]+\s+[0-9]+\s+\w\s", ""),
         (r"=0x[a-fA-F0-9]+|0x[a-fA-F0-9]+|=[a-fA-F0-9]+|\b[a-fA-F0-9]+\b", ""),
@@ -34,7 +36,12 @@ def expected_key(line: str) -> str:
         (r"\b[a-zA-Z]\b", " "),
     ]
     left = reduce(lambda value, step: re.sub(step[0], step[1], value), steps, line + "\n")
-    return " ".join(word for word in left.split() if word.lower() not in text.STOP_WORDS)
+    return " ".join(word for word in left.split() if word.lower() not in STOP_WORDS)
+
+
+def test_word_lists_of_code_and_checks_agree():
+    assert {*text.STOP_WORDS, *text.STOP_LETTERS} == set(STOP_WORDS)
+    assert text.ERROR_STEMS == ERROR_STEMS.split("|")
 
 
 def test_cleaned_key_is_what_python_gives(apply, wild):
