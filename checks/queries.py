@@ -150,7 +150,7 @@ def store_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history after two appends: the conversations, then those of the documents' keys that it lacks."""
     path = shared_folder(spark, "history")
     for lines in (inputs.conversation_lines(spark, sf_dir), inputs.document_lines(spark, sf_dir)):
-        append_new(history.line_records(lines), path)
+        append_new(history.line_records(lines), path, dealt=True)
     return read_history(spark, path).drop("created_at")
 
 

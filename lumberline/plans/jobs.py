@@ -56,7 +56,7 @@ def clean_and_store(
             write_rendered(cleaned, clean_path, mode="errorifexists" if token is None else "overwrite")
         stamp = created_at or dt.datetime.now().replace(microsecond=0)
         records = line_records(lines, stamp) if clean_path is None else batch_records(cleaned, stamp)
-        commit = append_new(records, history_path, token)
+        commit = append_new(records, history_path, token, dealt=clean_path is None)
         if csv_path is not None:
             write_records_csv(committed_records(spark, history_path, commit), csv_path, "errorifexists" if token is None else "overwrite")
         return commit.records

@@ -135,7 +135,7 @@ def measured(df: DataFrame) -> Cut:
     """Materialize ``df`` and measure it in the same job: bytes held, and the highest ``line_no`` if there is one."""
     size = F.lit(0)
     for field in df.schema.fields:
-        if isinstance(field.dataType, T.StringType):
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             size = size + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0)) + 40
         else:
             size = size + 16

@@ -22,6 +22,7 @@ from lumberline.sources.history import (
     RECORD_SCHEMA,
     Commit,
     bucket_of,
+    by_stretch,
     digits_for,
     live_commits,
     read_batches,
@@ -63,42 +64,52 @@ def _publish(spark: SparkSession, path: str, commit: Commit) -> bool:
     return True
 
 
-def _write_batch(records: DataFrame, path: str, digits: int) -> Commit:
-    """Write records as a batch of the history, sorted in its folders; the result is not committed yet."""
+def _moved(records: DataFrame) -> DataFrame:
+    """Records as they travel, with the bytes of their ids."""
+    return records.select(F.unhex("record_id").alias("id"), *RECORD_SCHEMA.names[1:])
+
+
+def _write_batch(moved: DataFrame, path: str, digits: int, dealt: bool) -> Commit:
+    """Write records as a batch of the history, sorted in its folders; the result is not committed yet.
+
+    Records that are ``dealt``, those of a folder in one or a few partitions, are written where they are.
+    """
     batch = uuid.uuid4().hex
-    bucketed = records.select(*RECORD_SCHEMA.names, bucket_of(F.col("record_id"), digits).alias("bucket"))
-    dealt = bucketed.repartition("bucket") if digits else bucketed
-    ordered = dealt.sortWithinPartitions("bucket", "record_id")
+    named = moved.withColumn("record_id", F.lower(F.hex("id"))).withColumn("bucket", bucket_of(F.col("record_id"), digits))
+    placed = named if dealt or not digits else named.repartition("bucket")
+    ordered = placed.sortWithinPartitions("bucket", "id").select(*RECORD_SCHEMA.names, "bucket")
     ordered.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/_batches/batch={batch}")
     draft = Commit(0, batch, None, 0, 0)
-    return replace(draft, records=read_batches(records.sparkSession, path, [draft]).count())
+    return replace(draft, records=read_batches(moved.sparkSession, path, [draft]).count())
 
 
-def _unknown(records: DataFrame, known_ids: DataFrame) -> DataFrame:
-    """Records whose ids are not among the known ones: ids meet alone, and those found are broadcast when they are few."""
-    found = measured(records.select("record_id").join(known_ids, "record_id", "left_semi"))
-    return records.join(found.small(), "record_id", "left_anti")
+def _write_unknown(dealt: DataFrame, known: DataFrame, path: str, digits: int) -> Commit:
+    """Write those whose ids are not among the known ones: ids meet alone, and those found are broadcast when they are few."""
+    found = measured(dealt.select("id").join(known.select(F.unhex("record_id").alias("id")), "id", "left_semi"))
+    return _write_batch(dealt.join(found.small(), "id", "left_anti"), path, digits, found.is_small)
 
 
-def append_new(candidates: DataFrame, path: str, token: str | None = None) -> Commit:
+def append_new(candidates: DataFrame, path: str, token: str | None = None, dealt: bool = False) -> Commit:
     """Commit those of ``candidates``, one record per key, whose keys the history lacks; only their buckets are read.
 
     ``token`` names the append: where a commit has it already, that commit is returned and nothing is added. Without
-    new records there is no commit; the result then has an empty batch name.
+    new records there is no commit; the result then has an empty batch name. ``dealt`` tells that the candidates lie by
+    stretches of their ids, as those of ``line_records`` do.
     """
     spark = candidates.sparkSession
     commits = read_commits(spark, path)
     done = _with_token(commits, token)
     if done is not None:
         return done
-    cut = written(candidates.select(RECORD_SCHEMA.names), compression="zstd")
-    buckets = [row["bucket"] for row in cut.select(bucket_of(F.col("record_id")).alias("bucket")).distinct().collect()]
+    moved = _moved(candidates)
+    cut = written(moved if dealt else by_stretch(moved).drop("stretch"), compression="zstd")
+    buckets = [row["bucket"] for row in cut.select(bucket_of(F.lower(F.hex("id"))).alias("bucket")).distinct().collect()]
     digits = digits_for(cut.count())
     live = live_commits(commits)
     known = read_batches(spark, path, live, buckets).select("record_id")
     if not any(c.replaces for c in live):
         known = known.unionByName(read_plain(spark, path).select(record_id(F.col("cleaned_log")).alias("record_id")))
-    draft = _write_batch(_unknown(cut, known), path, digits)
+    draft = _write_unknown(cut, known, path, digits)
     delete_written(cut)
     while draft.records or token is not None:
         commit = replace(draft, version=commits[-1].version + 1 if commits else 1, token=token)
@@ -110,7 +121,7 @@ def append_new(candidates: DataFrame, path: str, token: str | None = None) -> Co
             return done
         meanwhile = [c for c in commits if c.batch not in seen and not c.replaces]
         known = read_batches(spark, path, meanwhile, buckets).select("record_id")
-        draft = _write_batch(_unknown(read_batches(spark, path, [draft]), known), path, digits)
+        draft = _write_unknown(_moved(read_batches(spark, path, [draft])), known, path, digits)
     return Commit(commits[-1].version if commits else 0, "", token, 0, 0)
 
 
@@ -128,7 +139,7 @@ def compact(spark: SparkSession, path: str) -> Commit:
     commits = read_commits(spark, path)
     last = commits[-1].version if commits else 0
     records = read_history(spark, path).withColumn("record_id", record_id(F.col("cleaned_log")))
-    draft = _write_batch(records, path, digits_for(records.count()))
+    draft = _write_batch(_moved(records), path, digits_for(records.count()), dealt=False)
     # A plain table that no commit came after is replaced too, so that the first version counts as replaced.
     commit = replace(draft, version=last + 1, replaces=max(last, 1))
     while not _publish(spark, path, commit):

@@ -56,6 +56,14 @@ def bucket_of(record: Column, digits: int = MAX_DIGITS) -> Column:
     return F.substring(record, 1, digits) if digits else F.lit(WHOLE)
 
 
+def by_stretch(records: DataFrame) -> DataFrame:
+    """Deal records by stretches of their ids, named in ``stretch``; a folder of a batch lies in one or a few of them."""
+    stretches = min(16**MAX_DIGITS, 4 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    first = F.conv(F.substring(F.hex("id"), 1, MAX_DIGITS), 16, 10).cast("int")
+    stretch = F.coalesce(F.call_function("div", first * stretches, F.lit(16**MAX_DIGITS)), F.lit(0))
+    return records.withColumn("stretch", stretch).repartition("stretch")
+
+
 def read_commits(spark: SparkSession, path: str) -> list[Commit]:
     """All versions in order; there is one row per append, and none of its size grows with the records."""
     try:

@@ -17,6 +17,6 @@ def history_writer(lines: DataFrame, history_path: str) -> DataStreamWriter:
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        append_new(line_records(batch), history_path)
+        append_new(line_records(batch), history_path, dealt=True)
 
     return lines.writeStream.foreachBatch(store)

@@ -14,10 +14,12 @@ import zipfile
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lumberline import runtime
+from lumberline.operators import history as line_operators
 from lumberline.operators.clean import clean
 from lumberline.operators.history import batch_records, line_records
 from lumberline.operators.patterns import combine_patterns, map_patterns, valid_patterns
@@ -487,6 +489,39 @@ def test_records_of_lines_are_those_of_cleaned_lines(spark, log):
     assert {r["raw_log"] for r in line_records(frame, NOON).collect()} == {"Video ok 3", "Audio 5", ""}
 
 
+def test_a_frequent_key_is_combined_before_lines_are_moved(spark):
+    """The last line of the first file stands for a key, whatever the type of file and the order of the rows."""
+    rows = [("b" if n % 3 else "a", n // 3, f" Audio {n % 7} ") for n in range(600)] + [("c", 1, "Video")]
+    frame = spark.createDataFrame(rows[::-1], "file STRING, line_no BIGINT, line STRING").coalesce(1)
+    found = {r["cleaned_log"]: r["raw_log"] for r in line_records(frame, NOON).collect()}
+    assert found == {"Audio": f"Audio {597 % 7}", "Video": "Video"}
+    assert sorted(line_records(frame, NOON).collect()) == sorted(batch_records(clean(frame), NOON).collect())
+    batch = pa.record_batch({"id": [b"x", b"y", b"x", b"x"], "file": [2, 1, 1, 1], "place": [-9, -1, -2, -3], "cleaned_log": ["k", "l", "k", "k"], "raw_log": list("abcd")})
+    assert [b.column("raw_log").to_pylist() for b in line_operators._firsts()(iter([batch]))] == [["b", "d"]]
+
+
+def test_an_append_of_lines_moves_them_once(spark, log, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "FOLDER_RECORDS", 2)
+    write, seen = store._write_batch, []
+
+    def watched(moved, *args):
+        seen.append((str(moved._jdf.queryExecution().executedPlan().toString()), args[1:]))
+        return write(moved, *args)
+
+    monkeypatch.setattr(store, "_write_batch", watched)
+    words = [f"{a}{b}zq word" for a in "klmnopqrst" for b in "uvwxyz"]
+    for lines in (words[:40], words):
+        store.append_new(line_records(log({"f": lines}), NOON), f"{tmp_path}/h", dealt=True)
+    assert [args for _, args in seen] == [(2, True), (2, True)]
+    assert not any("hashpartitioning" in plan for plan, _ in seen)
+    assert keys_of(spark, f"{tmp_path}/h") == sorted(words)
+    live = history.live_commits(history.read_commits(spark, f"{tmp_path}/h"))
+    assert [c.records for c in live] == [40, 20]
+    stored = history.read_batches(spark, f"{tmp_path}/h", live)
+    placed = stored.select("record_id", F.regexp_extract(F.input_file_name(), "bucket=([^/]+)/", 1).alias("folder")).collect()
+    assert all(r["record_id"].startswith(r["folder"]) and len(r["folder"]) == 2 for r in placed)
+
+
 def test_appends_at_once_leave_no_key_twice(spark, tmp_path, monkeypatch):
     path = f"{tmp_path}/h"
     publish, others = store._publish, [["b", "c"], ["d", "e"]]
