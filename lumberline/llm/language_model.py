@@ -113,7 +113,7 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
 
 
 def _steps(values: np.ndarray) -> np.ndarray:
-    """Differences, rising and falling ones as small numbers: nodes of the lower order rise along the keys of a word."""
+    """Differences, rising and falling ones as small numbers."""
     step = np.diff(values, prepend=values.dtype.type(0)).view(np.int64)
     return (step << 1) ^ (step >> 63)
 
@@ -128,11 +128,14 @@ def _narrow(counts: np.ndarray) -> np.ndarray:
 
 
 def _runs(bucket: np.ndarray, keys: np.ndarray, more: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """A row for each bucket with its keys, in order, and what goes with them, both as differences, and their counts."""
+    """A row for each bucket with its keys, in order, what goes with them, and their counts.
+
+    Keys travel as differences, and so do numbers of eight bytes that go with them; bytes as they are.
+    """
     starts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, np.int64)
     ends = np.append(starts[1:], len(bucket))
     rows = [
-        (int(bucket[a]), _pack(np.diff(keys[a:b], prepend=keys.dtype.type(0))), _pack(_steps(more[a:b])), _pack(counts[a:b]))
+        (int(bucket[a]), _pack(np.diff(keys[a:b], prepend=keys.dtype.type(0))), _pack(_steps(more[a:b]) if more.itemsize == 8 else more[a:b]), _pack(counts[a:b]))
         for a, b in zip(starts.tolist(), ends.tolist())
     ]
     kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -140,11 +143,12 @@ def _runs(bucket: np.ndarray, keys: np.ndarray, more: np.ndarray, counts: np.nda
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "keys", "more", "counts"])
 
 
-def _runs_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, what goes with them and counts of all runs of a bucket, one after the other."""
+def _runs_of(table: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, what goes with them (numbers of the kind) and counts of all runs of a bucket, one after the other."""
     rows = table.to_pylist()
     keys = [np.cumsum(_unpack(r["keys"], "<u8"), dtype=np.uint64) for r in rows]
-    return np.concatenate(keys), np.concatenate([_from_steps(_unpack(r["more"], "<u8")) for r in rows]), np.concatenate(
+    more = [_unpack(r["more"], kind) for r in rows]
+    return np.concatenate(keys), np.concatenate(list(map(_from_steps, more)) if kind == "<u8" else more), np.concatenate(
         [_unpack(r["counts"], "<i8") for r in rows]
     )
 
@@ -329,18 +333,6 @@ class Model:
             logs[cut] = unquantised(level.cut_unseen[at[cut]])
         return nodes[back], logs[back]
 
-    def node_probability(self, depth: int, nodes: np.ndarray) -> np.ndarray:
-        """log10 of the probability that the nodes of a level keep."""
-        if depth == 1:
-            return self.unigram_log10(self.counts(nodes))
-        level = self.levels[depth - 1]
-        shard = np.searchsorted(level.before, nodes, "right") - 1
-        out = np.zeros(len(nodes))
-        for s in np.unique(shard):
-            part = shard == s
-            out[part] = unquantised(load(self.folder, level.names[s])["probability"][nodes[part] - level.before[s]])
-        return out
-
 
 def _rising(arrays: dict[str, np.ndarray], name: str) -> Rising:
     if f"{name}#" not in arrays:
@@ -382,7 +374,7 @@ def build_vocabulary(texts: DataFrame, folder: str, buckets: int) -> Model:
     runs = texts.mapInArrow(_word_runs(buckets), RUN)
 
     def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        first, second, counts = _merged(*_runs_of(table), True)
+        first, second, counts = _merged(*_runs_of(table, "<u8"), True)
         name = save(folder, "words", {"first": first, "second": second, "counts": _narrow(counts)})
         return _shard_row(key[0].as_py(), name, len(first), int(counts.sum()))
 
@@ -443,25 +435,27 @@ def _edges(model: Model, spark, depth: int) -> np.ndarray:
 
 
 def _contexts(model: Model, depth: int, ids: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each token its node at level ``depth`` - 1 and the node of the ``depth`` - 1 tokens before it, or -1.
+    """For each token the quantised probability of its node at level ``depth`` - 1, and the node of the ``depth`` - 1 tokens before it, or -1.
 
-    A text's first token has the end of a text before it, and nothing before that.
+    A text's first token has the end of a text before it, and nothing before that. Level 1 has its probabilities in the
+    counts of words, which the words themselves lead to: they are left 0 here.
     """
-    nodes = ids
+    nodes, probability = ids, np.zeros(len(ids), np.uint8)
     for d in range(1, depth):
         if d > 1:
-            nodes = _nodes(model, d, parents, ids)
+            nodes, logs = _nodes(model, d, parents, ids)
+            probability = quantised(logs)
         parents = np.concatenate([[-1], nodes[:-1]])
         parents[starts] = end if d == 1 else -1
         parents = np.where(parents == model.unknown, -1, parents) if d == 1 else parents
-    return nodes, parents
+    return probability, parents
 
 
-def _nodes(model: Model, depth: int, parents: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    out = np.full(len(ids), -1, np.int64)
+def _nodes(model: Model, depth: int, parents: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    nodes, logs = np.full(len(ids), -1, np.int64), np.zeros(len(ids))
     asked = np.flatnonzero((parents >= 0) & (ids != model.unknown))
-    out[asked] = model.find(depth, parents[asked], ids[asked])[0]
-    return out
+    nodes[asked], logs[asked] = model.find(depth, parents[asked], ids[asked])
+    return nodes, logs
 
 
 def _id_batches(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -499,8 +493,8 @@ def build_level(model: Model, encoded: DataFrame, end: int, last: bool) -> Model
             known = np.flatnonzero(parents >= 0)
             key, first, number = np.unique(model.keys(parents[known], ids[known]), return_index=True, return_counts=True)
             keys.append(key)
-            # At level 2 the lower order is the word itself, which the key has.
-            more.append(lower[known][first].astype(np.uint64) if depth > 2 else np.zeros(len(key), np.uint64))
+            # All that the lower order adds to a node is its probability, a byte; its node need not travel.
+            more.append(lower[known][first])
             counts.append(number.astype(np.int64))
             held += len(key)
             if held > TASK_TOKENS:
@@ -513,7 +507,7 @@ def build_level(model: Model, encoded: DataFrame, end: int, last: bool) -> Model
     shared = _cut_parents(runs, edges, width)
 
     def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        pairs, lower, counts = _merged(*_runs_of(table), False)
+        pairs, lower, counts = _merged(*_runs_of(table, "u1"), False)
         bucket = key[0].as_py()
         return _shard_row(bucket, _save_level(model, depth, pairs, lower, counts, shared, last), len(pairs), int(counts.sum()))
 
@@ -531,7 +525,7 @@ def _cut_parents(runs: DataFrame, edges: np.ndarray, width: int) -> dict[int, tu
     cut = np.unique(edges // np.uint64(width))
 
     def ends(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys, _, counts = _runs_of(table)
+        keys, _, counts = _runs_of(table, "u1")
         parent = keys // np.uint64(width)
         own = np.isin(parent, cut)
         keys, parent, counts = keys[own], parent[own], counts[own]
@@ -543,7 +537,7 @@ def _cut_parents(runs: DataFrame, edges: np.ndarray, width: int) -> dict[int, tu
         for batch in batches:
             for at in range(batch.num_rows):
                 row = pa.Table.from_batches([batch.slice(at, 1)])
-                keys, more, counts = _runs_of(row)
+                keys, more, counts = _runs_of(row, "u1")
                 there = np.isin(keys // np.uint64(width), cut)
                 if there.any():
                     yield _runs(np.full(int(there.sum()), row["bucket"][0].as_py(), np.int64), keys[there], more[there], counts[there])
@@ -563,7 +557,7 @@ def _save_level(model: Model, depth: int, pairs: np.ndarray, lower: np.ndarray,
     for i in {0, len(first) - 1}:
         tokens[i], words[i] = shared.get(int(parent[first[i]]), (tokens[i], words[i]))
     unseen = DISCOUNT * words / tokens
-    lower_log = model.node_probability(depth - 1, word if depth == 2 else lower.astype(np.int64))
+    lower_log = model.unigram_log10(model.counts(word)) if depth == 2 else unquantised(lower)
     each = np.repeat(np.arange(len(first)), sizes)
     probability = np.maximum(counts - DISCOUNT, 0) / tokens[each] + unseen[each] * 10.0**lower_log
     span = int(parent[-1]) - int(parent[0]) + 1

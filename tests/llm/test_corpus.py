@@ -355,6 +355,24 @@ def test_scores_without_training_texts(spark):
     assert language_model.score_texts(docs.limit(0), F.lit(False)).collect() == []
 
 
+def test_a_pair_travels_with_one_byte_of_its_lower_order(spark, monkeypatch):
+    found, write = [], language_model.written
+
+    def watched(df, name, *args):
+        table = write(df, name, *args)
+        if name == "ngram-runs":
+            found.extend(table.collect())
+        return table
+
+    monkeypatch.setattr(language_model, "written", watched)
+    docs = spark.createDataFrame([(n, " ".join(f"w{(n * k) % 17}" for k in range(40))) for n in range(30)], "doc_id bigint, text string")
+    assert len(language_model.score_texts(docs, F.lit(False), order=3).collect()) == 30
+    assert len(found) >= 2
+    for row in found:
+        keys = language_model._unpack(row["keys"], "<u8")
+        assert len(language_model._unpack(row["more"], "u1")) == len(keys)
+
+
 def test_op7_whole_table(spark):
     got = q.op7_language_model(spark, SF_DIR).collect()
     texts = {r["doc_id"]: r["text"] for r in q.table(spark, SF_DIR, "documents").collect()}
