@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumberline.llm.chunks import TwoGenerations, cached, row_values, text_array
+from lumberline.llm.chunks import TwoGenerations, cached, gathered, row_values, text_array
 
 # The sign that stands for a blank in pieces.
 BLANK = "▁"
@@ -71,7 +71,7 @@ class MergeRounds:
     def merge_symbols(self, symbol: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbols after all merges, flat, and how many each word has; ``sizes`` has how many it begins with."""
         word = np.repeat(np.arange(len(sizes)), sizes)
-        done_symbols, done_words = [], []
+        done_symbols, done_words, done_sizes = [], [], []
         rank = result = None
         while len(symbol):
             if rank is None:
@@ -84,7 +84,8 @@ class MergeRounds:
                 # Words without a pair are ready.
                 live = np.repeat(open_, span)
                 done_symbols.append(symbol[~live])
-                done_words.append(word[~live])
+                done_words.append(word[starts[~open_]])
+                done_sizes.append(span[~open_])
                 symbol, word, rank, result = symbol[live], word[live], rank[live], result[live]
                 span, lowest = span[open_], lowest[open_]
                 if not len(symbol):
@@ -106,10 +107,13 @@ class MergeRounds:
             touched[new_at] = touched[np.maximum(new_at - 1, 0)] = True
             changed = np.flatnonzero(touched)
             rank[changed], result[changed] = self._ranks_at(symbol, word, changed)
-        flat = np.concatenate(done_symbols) if done_symbols else np.zeros(0, np.int64)
-        owner = np.concatenate(done_words) if done_words else np.zeros(0, np.int64)
-        order = np.argsort(owner, kind="stable")
-        return flat[order], np.bincount(owner, minlength=len(sizes))
+        if not done_symbols:
+            return np.zeros(0, np.int64), np.zeros(len(sizes), np.int64)
+        # The symbols of a word stand together, in the order in which the words became ready.
+        words, own = np.concatenate(done_words), np.concatenate(done_sizes)
+        first, size = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        first[words], size[words] = np.cumsum(own) - own, own
+        return gathered(np.concatenate(done_symbols), first, size), size
 
     def _ranks(self, symbol: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self._ranks_at(symbol, word, np.arange(len(symbol)))

@@ -252,3 +252,14 @@ def test_no_rows(spark):
     assert packing.piece_rows(packing.pack(docs, WORDS, 1)).collect() == []
     assert token_files.read_token_files(token_files.token_files(docs, WORDS, 2)).collect() == []
     assert pieces.encode_and_decode(docs, PIECES).collect() == []
+
+
+def test_merged_words_are_placed_without_sorting_their_symbols(monkeypatch):
+    """Words become ready in different rounds and come out in their own order, those without symbols too."""
+    table = pieces.PairTable(np.array([(1 << 32) | 2, (5 << 32) | 3]), np.array([0, 1]), np.array([5, 6]))
+    symbols, sizes = np.array([1, 2, 3, 4, 1, 2, 9, 8, 1, 2, 3, 7]), np.array([3, 0, 1, 2, 2, 4])
+    monkeypatch.setattr(np, "argsort", None)
+    flat, counts = pieces.MergeRounds(table).merge_symbols(symbols, sizes)
+    assert flat.tolist() == [6, 4, 5, 9, 8, 6, 7] and counts.tolist() == [1, 0, 1, 1, 2, 2]
+    flat, counts = pieces.MergeRounds(table).merge_symbols(np.zeros(0, np.int64), np.zeros(2, np.int64))
+    assert flat.tolist() == [] and counts.tolist() == [0, 0]
