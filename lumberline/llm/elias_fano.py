@@ -18,14 +18,15 @@ def _select_table() -> np.ndarray:
     return table
 
 
-SELECT = _select_table()
+SELECT = _select_table().ravel()
 
 
-# Lanes of 8 and 16 bits of a number of 64: a one in each, the highest bit of each, and single bits, pairs and nibbles.
-ONES8, TOP8 = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+# Lanes of 8 and 16 bits of a number of 64: a one in each, the highest bit of each, 64 in each, and single bits, pairs
+# and nibbles.
+ONES8, TOP8, FULL8 = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080), np.uint64(0x4040404040404040)
 ONES16, TOP16, LOW16 = np.uint64(0x0001000100010001), np.uint64(0x8000800080008000), np.uint64(0x00FF00FF00FF00FF)
 BITS, PAIRS, NIBBLES = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
-U1, U2, U3, U4, U8, U16, BYTE = (np.uint64(n) for n in (1, 2, 3, 4, 8, 16, 255))
+U1, U2, U3, U4, U8, U16, U63, BYTE = (np.uint64(n) for n in (1, 2, 3, 4, 8, 16, 63, 255))
 
 
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, ones: bool) -> np.ndarray:
@@ -36,10 +37,10 @@ def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, ones: bool) ->
     """
     block = np.searchsorted(before, k, "right") - 1
     rest = (k - before[block]).astype(np.uint64)
-    parts = words.reshape(-1, BLOCK // 64)[block]
-    if not ones:
-        parts = ~parts
+    parts = words.reshape(-1, BLOCK // 64).take(block, axis=0)
     counts = np.bitwise_count(parts).view(np.uint64).ravel()
+    if not ones:
+        counts = FULL8 - counts
     even = counts & LOW16
     upto = (even + (counts >> U8 & LOW16)) * ONES16
     pair = np.bitwise_count(((rest * ONES16 | TOP16) - upto) & TOP16).astype(np.uint64)
@@ -48,23 +49,25 @@ def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, ones: bool) ->
     first = (even >> shift) & BYTE
     second = rest >= first
     rest = rest - first * second
-    word = (pair << U1 | second).astype(np.int64)
-    bits = parts[np.arange(len(k)), word]
+    word = (pair << U1 | second).view(np.int64)
+    bits = parts.ravel().take(np.arange(0, parts.size, BLOCK // 64) + word)
+    if not ones:
+        bits = ~bits
     octets = bits - (bits >> U1 & BITS)
     octets = (octets & PAIRS) + (octets >> U2 & PAIRS)
     upto = ((octets + (octets >> U4)) & NIBBLES) * ONES8
     octet = np.bitwise_count(((rest * ONES8 | TOP8) - upto) & TOP8).astype(np.uint64)
     shift = octet << U3
     rest = rest - (((upto << U8) >> shift) & BYTE)
-    return block * BLOCK + word * 64 + shift.astype(np.int64) + SELECT[(bits >> shift) & BYTE, rest]
+    return block * BLOCK + word * 64 + shift.view(np.int64) + SELECT.take(((bits >> shift & BYTE) << U3 | rest).view(np.int64))
 
 
 def _ones_from(words: np.ndarray, place: np.ndarray) -> np.ndarray:
     """How many ones stand in a row from each place on: 64 stands for 64 or more."""
     word, shift = place >> 6, (place & 63).astype(np.uint64)
     window = words[np.minimum(word, len(words) - 1)] >> shift
-    further = words[np.minimum(word + 1, len(words) - 1)] << ((np.uint64(64) - shift) & np.uint64(63))
-    window = window | np.where((shift > 0) & (word + 1 < len(words)), further, np.uint64(0))
+    # A row of ones ends with a zero in the last word at the latest, so what is taken from there twice counts for nothing.
+    window |= (words[np.minimum(word + 1, len(words) - 1)] << U1) << (U63 - shift)
     return np.where(word < len(words), np.bitwise_count(window & ~(window + U1)), 0).astype(np.int64)
 
 
@@ -112,10 +115,10 @@ class Rising:
         if not self.low_bits:
             return np.zeros(len(i), np.int64)
         at = i * self.low_bits
-        word, shift = at >> 6, (at & 63).astype(np.uint64)
-        value = self.low[word] >> shift
-        value = value | np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
-        return (value & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
+        word, shift = at >> 6, (at & 63).view(np.uint64)
+        value = self.low.take(word) >> shift
+        value |= (self.low.take(word + 1) << U1) << (U63 - shift)
+        return (value & np.uint64((1 << self.low_bits) - 1)).view(np.int64)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The i-th numbers."""
@@ -144,16 +147,17 @@ class Rising:
         high = x >> self.low_bits
         first, last = self._bucket(high)
         wanted = x & ((1 << self.low_bits) - 1)
-        low, up = first.copy(), last.copy()
+        low, up, same = first.copy(), last, np.zeros(len(x), bool)
         # All searches halve their stretch together: only numbers of the same high bits are compared.
         open_ = np.flatnonzero(low < up)
+        below, above, wanted = low[open_], up[open_], wanted[open_]
         while len(open_):
-            middle = (low[open_] + up[open_]) >> 1
-            less = self._low(middle) < wanted[open_]
-            low[open_] = np.where(less, middle + 1, low[open_])
-            up[open_] = np.where(less, up[open_], middle)
-            open_ = open_[low[open_] < up[open_]]
-        inside = np.flatnonzero(low < last)
-        same = np.zeros(len(x), bool)
-        same[inside] = self._low(low[inside]) == wanted[inside]
+            middle = (below + above) >> 1
+            found = self._low(middle)
+            less = found < wanted
+            same[open_[found == wanted]] = True
+            below, above = np.where(less, middle + 1, below), np.where(less, above, middle)
+            low[open_] = below
+            left = np.flatnonzero(below < above)
+            open_, below, above, wanted = open_[left], below[left], above[left], wanted[left]
         return low, same

@@ -3,10 +3,10 @@
 Level 1 is the vocabulary: hashes of words in order, with counts. A node of a further level is a pair (parent, word):
 the parent is a node of the level before, its children stand together in order of their words. A level is cut into files
 by ranges of such pairs that hold about equally many tokens, so a very frequent context fills several files and no task
-gets more than its share. A file has, for its parents, rising pointers to where their children start and a quantised
-weight for unseen words, and for its children one rising sequence (each word plus the last number of the parent before)
-and a quantised smoothed probability. Tasks map the files into memory; a lookup reads two pointers, takes the number
-before the parent's children as its base, and searches the successor of base plus word.
+gets more than its share. A file has, for its parents, a quantised weight for unseen words, and for its children one
+rising sequence of pairs as numbers, counted from the file's first parent, and a quantised smoothed probability. The high
+bits of that sequence are the pointers from parents to children, its low bits tell children apart. Tasks map the files
+into memory; a lookup is one search in the sequence, and only words that it doesn't find ask for the parent's weight.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumberline.llm.chunks import row_values, slices, strings_of, text_array
+from lumberline.llm.chunks import chunk_values, slices, strings_of, text_array
 from lumberline.llm.elias_fano import Rising
 from lumberline.llm.store import create_file, discard, local_path, open_file, shared_folder, written
 
@@ -53,8 +53,12 @@ def quantised(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(log10 / LOWEST * STEPS), 0, STEPS).astype(np.uint8)
 
 
+# The logarithm of each code.
+LOGS = np.arange(STEPS + 1) / STEPS * LOWEST
+
+
 def unquantised(codes: np.ndarray) -> np.ndarray:
-    return codes.astype(np.float64) / STEPS * LOWEST
+    return LOGS[codes]
 
 
 # ---------------------------------------------------------------- files of arrays
@@ -155,11 +159,15 @@ def _runs_of(table: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def _merged(keys: np.ndarray, more: np.ndarray, counts: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One entry per key (per key and ``more`` if ``both``) with the sum of its counts, in order."""
-    order = np.lexsort((more, keys)) if both else np.argsort(keys, kind="stable")
-    keys, more, counts = keys[order], more[order], counts[order]
-    new = keys[1:] != keys[:-1]
-    if both:
-        new = new | (more[1:] != more[:-1])
+    order = np.argsort(keys, kind="stable")
+    ordered, beside = keys[order], more[order]
+    new = ordered[1:] != ordered[:-1]
+    if both and (~new & (beside[1:] != beside[:-1])).any():
+        # Rare: two hashes that are equal in their first half.
+        order = np.lexsort((more, keys))
+        ordered, beside = keys[order], more[order]
+        new = (ordered[1:] != ordered[:-1]) | (beside[1:] != beside[:-1])
+    keys, more, counts = ordered, beside, counts[order]
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), new]))
     return keys[first], more[first], np.add.reduceat(counts, first) if len(first) else counts
 
@@ -175,7 +183,8 @@ def blank_separated(texts: pa.Array) -> pa.Array:
     return lower
 
 
-def _hashes(words: list[str]) -> np.ndarray:
+def _hashes(words: list[str] | list[bytes]) -> np.ndarray:
+    """Hashes of words as strings or as their UTF-8, which Arrow gives faster."""
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), HASH)
 
 
@@ -199,7 +208,7 @@ def _word_runs(buckets: int):
             texts_seen += batch.num_rows
             for part in slices(text_array(batch.column(0))):
                 coded = pc.split_pattern(blank_separated(part), " ").values.dictionary_encode()
-                hashes = _hashes(strings_of(coded.dictionary))
+                hashes = _hashes(strings_of(coded.dictionary.cast(pa.large_binary())))
                 number = np.bincount(coded.indices.to_numpy(), minlength=len(hashes)).astype(np.int64)
                 real = np.array(pc.binary_length(coded.dictionary)) > 0
                 firsts.append(hashes["first"][real])
@@ -259,16 +268,21 @@ class Model:
         """The id of every word that training never saw."""
         return self.distinct
 
-    def word_ids(self, words: list[str]) -> np.ndarray:
+    def word_ids(self, words: list[str] | list[bytes]) -> np.ndarray:
+        return self.known_words(words)[0]
+
+    def known_words(self, words: list[str] | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words and their training counts; 0 for words that training never saw."""
         hashes = _hashes(words)
         level = self.levels[0]
-        out = np.full(len(words), self.unknown, np.int64)
+        ids, counts = np.full(len(words), self.unknown, np.int64), np.zeros(len(words), np.int64)
         if not len(level.names) or not len(words):
-            return out
-        bucket = _bucket_of(hashes["first"], len(level.names))
-        order = np.argsort(bucket, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-            b = bucket[part[0]]
+            return ids, counts
+        # In the order of their hashes, so that neighbours are looked for in one place.
+        order = np.argsort(hashes["first"])
+        bucket = _bucket_of(hashes["first"][order], len(level.names))
+        for part in np.split(order, np.flatnonzero(np.diff(bucket)) + 1):
+            b = _bucket_of(hashes["first"][part[:1]], len(level.names))[0]
             if not level.names[b]:
                 continue
             arrays = load(self.folder, level.names[b])
@@ -279,11 +293,12 @@ class Model:
             while len(open_):
                 same = known[at[open_]] == hashes["first"][part[open_]]
                 hit = same & (second[at[open_]] == hashes["second"][part[open_]])
-                out[part[open_[hit]]] = level.before[b] + at[open_[hit]]
+                ids[part[open_[hit]]] = level.before[b] + at[open_[hit]]
+                counts[part[open_[hit]]] = arrays["counts"][at[open_[hit]]]
                 open_ = open_[same & ~hit]
                 at[open_] += 1
                 open_ = open_[at[open_] < len(known)]
-        return out
+        return ids, counts
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         """Training counts of word ids; 0 for the unknown one."""
@@ -315,23 +330,35 @@ class Model:
         Pairs are asked once each and in order, file by file.
         """
         level = self.levels[depth - 1]
-        keys, back = np.unique(self.keys(parents, words), return_inverse=True)
+        asked = self.keys(parents, words)
+        order = np.argsort(asked)
+        asked = asked[order]
+        new = _first_of_each(asked)
+        keys = asked[new]
         nodes, logs = np.full(len(keys), -1, np.int64), np.zeros(len(keys))
         if len(level.names):
-            shard = np.maximum(np.searchsorted(level.first_keys, keys, "right") - 1, 0)
-            cuts = np.flatnonzero(np.diff(shard)) + 1
-            for a, b in zip(np.concatenate([[0], cuts]), np.append(cuts, len(keys))):
+            cuts = np.searchsorted(keys, level.first_keys[1:]).tolist()
+            for s, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)])):
                 if a < b:
-                    s = shard[a]
-                    found, log = _look_up(load(self.folder, level.names[s]), keys[a:b], self.distinct + 1)
+                    found, logs[a:b] = _look_up(load(self.folder, level.names[s]), keys[a:b], self.distinct + 1)
                     nodes[a:b] = np.where(found >= 0, level.before[s] + found, -1)
-                    logs[a:b] = log
         if len(level.cut_parents):
-            parent = (keys // np.uint64(self.distinct + 1)).astype(np.int64)
+            missed = np.flatnonzero(nodes < 0)
+            parent = (keys[missed] // np.uint64(self.distinct + 1)).astype(np.int64)
             at = np.minimum(np.searchsorted(level.cut_parents, parent), len(level.cut_parents) - 1)
-            cut = (level.cut_parents[at] == parent) & (nodes < 0)
-            logs[cut] = unquantised(level.cut_unseen[at[cut]])
-        return nodes[back], logs[back]
+            cut = level.cut_parents[at] == parent
+            logs[missed[cut]] = unquantised(level.cut_unseen[at[cut]])
+        each = np.cumsum(new) - 1
+        all_nodes, all_logs = np.empty(len(order), np.int64), np.empty(len(order))
+        all_nodes[order], all_logs[order] = nodes[each], logs[each]
+        return all_nodes, all_logs
+
+
+def _first_of_each(ordered: np.ndarray) -> np.ndarray:
+    """Marks the first of equal numbers that stand together."""
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return new
 
 
 def _rising(arrays: dict[str, np.ndarray], name: str) -> Rising:
@@ -342,22 +369,15 @@ def _rising(arrays: dict[str, np.ndarray], name: str) -> Rising:
 
 def _look_up(arrays: dict[str, np.ndarray], keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Places in the file of keys in order, or -1, and log10 of the probability or of the unseen weight."""
-    parent, word = (keys // np.uint64(width)).astype(np.int64), (keys % np.uint64(width)).astype(np.int64)
-    first_parent = int(arrays["span"][0])
-    pointers, children = _rising(arrays, "pointers"), _rising(arrays, "children")
-    new = np.concatenate([[True], parent[1:] != parent[:-1]])
-    asked = parent[new] - first_parent
-    inside = (asked >= 0) & (asked < pointers.size - 1)
-    asked = np.clip(asked, 0, pointers.size - 2)
-    start, end = pointers.get(asked), pointers.get(asked + 1)
-    start, end = np.where(inside, start, 0), np.where(inside, end, 0)
-    base = np.where(start > 0, children.get(np.maximum(start - 1, 0)), 0)
-    unseen = np.where(inside, unquantised(arrays["unseen"][asked]), 0.0)
-    each = np.cumsum(new) - 1
-    place, same = children.successor(base[each] + word + 1)
-    hit = same & (place >= start[each]) & (place < end[each])
-    nodes = np.where(hit, place, -1)
-    logs = np.where(hit, unquantised(arrays["probability"][np.where(hit, place, 0)]), unseen[each])
+    nodes, logs = np.full(len(keys), -1, np.int64), np.zeros(len(keys))
+    start, end = (np.uint64(n) * np.uint64(width) for n in (arrays["span"][0], arrays["span"][1] + 1))
+    a, b = np.searchsorted(keys, np.array([start, end], np.uint64)).tolist()
+    pairs = (keys[a:b] - start).view(np.int64)
+    place, same = _rising(arrays, "children").successor(pairs)
+    hit, missed = np.flatnonzero(same), np.flatnonzero(~same)
+    nodes[a + hit] = place[hit]
+    logs[a + hit] = unquantised(arrays["probability"][place[hit]])
+    logs[a + missed] = unquantised(arrays["unseen"][pairs[missed] // width])
     return nodes, logs
 
 
@@ -491,12 +511,15 @@ def build_level(model: Model, encoded: DataFrame, end: int, last: bool) -> Model
         for _, ids, starts in _id_batches(batches, 0, BATCH_TOKENS):
             lower, parents = _contexts(model, depth, ids, starts, end)
             known = np.flatnonzero(parents >= 0)
-            key, first, number = np.unique(model.keys(parents[known], ids[known]), return_index=True, return_counts=True)
-            keys.append(key)
+            key = model.keys(parents[known], ids[known])
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(_first_of_each(key))
+            keys.append(key[first])
             # All that the lower order adds to a node is its probability, a byte; its node need not travel.
-            more.append(lower[known][first])
-            counts.append(number.astype(np.int64))
-            held += len(key)
+            more.append(lower[known[order[first]]])
+            counts.append(np.diff(np.append(first, len(key))))
+            held += len(first)
             if held > TASK_TOKENS:
                 yield out()
                 held, keys, more, counts = 0, [], [], []
@@ -561,16 +584,10 @@ def _save_level(model: Model, depth: int, pairs: np.ndarray, lower: np.ndarray,
     each = np.repeat(np.arange(len(first)), sizes)
     probability = np.maximum(counts - DISCOUNT, 0) / tokens[each] + unseen[each] * 10.0**lower_log
     span = int(parent[-1]) - int(parent[0]) + 1
-    at = parent[first] - parent[0]
-    pointers = np.zeros(span + 1, np.int64)
-    pointers[at + 1] = sizes
     weights = np.zeros(span, np.uint8)
-    weights[at] = quantised(np.log10(unseen))
-    # Each parent's words stand above the last number of the parent before.
-    tops = word[np.append(first[1:], len(word)) - 1] + 1
-    base = np.repeat(np.cumsum(tops) - tops, sizes)
+    weights[parent[first] - parent[0]] = quantised(np.log10(unseen))
     arrays = {"span": np.array([parent[0], parent[-1]], np.int64), "unseen": weights, "probability": quantised(np.log10(probability))}
-    rising = {"pointers": np.cumsum(pointers), "children": base + word + 1}
+    rising = {"children": pairs - np.uint64(parent[0]) * width}
     if not last:
         # What cuts the next level into files.
         rising["ends"] = np.cumsum(counts)
@@ -588,25 +605,34 @@ def _encode(docs: DataFrame, model: Model) -> DataFrame:
     """Word ids of each text with the end after them, and what the counts alone say of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = model.word_ids([END]).astype(ID)
-
-        def blobs(words: list[str]) -> list[bytes]:
-            ids = model.word_ids(words).astype(ID).tobytes()
-            return [ids[4 * i : 4 * i + 4] if word else b"" for i, word in enumerate(words)]
-
         for batch in batches:
-            rows = [np.concatenate([ids, end]) for ids in row_values(text_array(batch.column(2)), blank_separated, blobs, ID)]
+            found, held = [model.known_words([])], 0
+
+            def places(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+                """Where the batch keeps the id and the count of each word."""
+                nonlocal held
+                real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+                at = held + np.flatnonzero(real)
+                found.append(model.known_words(strings_of(words.cast(pa.large_binary()))))
+                held += len(words)
+                return at, real.astype(np.int64)
+
+            rows = list(chunk_values(text_array(batch.column(2)), blank_separated, places))
+            # The end stands behind all words.
+            rows = [np.append(row, held) for row in rows]
             sizes = np.array([len(r) for r in rows], np.int64)
-            flat = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
-            distinct, code = np.unique(flat, return_inverse=True)
-            counts = model.counts(distinct)[code]
-            starts = np.cumsum(sizes) - sizes
-            known = np.add.reduceat((counts > 0).astype(np.int64), starts) if rows else sizes
+            found.append(model.known_words([END]))
+            ids, counts = (np.concatenate(column) for column in zip(*found))
             logs = np.log10((counts + 1) / (model.tokens + model.distinct + 1))
-            base = np.add.reduceat(logs, starts) if rows else np.zeros(0)
+            starts = np.cumsum(sizes) - sizes
+            flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            known = np.add.reduceat((counts > 0).astype(np.int64)[flat], starts) if rows else sizes
+            base = np.add.reduceat(logs[flat], starts) if rows else np.zeros(0)
+            ids = ids.astype(ID)[flat].tobytes()
             columns = [batch.column(0), batch.column(1), pa.array(sizes), pa.array(known), pa.array(base)]
-            ids = pa.array([r.tobytes() for r in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([*columns, ids], [f.split()[0] for f in ENCODED.split(", ")])
+            ends = (starts + sizes) * ID.itemsize
+            rows = [ids[a:b] for a, b in zip((starts * ID.itemsize).tolist(), ends.tolist())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, pa.binary())], [f.split()[0] for f in ENCODED.split(", ")])
 
     return docs.mapInArrow(run, ENCODED)
 
@@ -615,9 +641,7 @@ def _score(encoded: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = int(model.word_ids([END])[0])
         for part, ids, starts in _id_batches(batches, 5, BATCH_TOKENS):
-            distinct, code = np.unique(ids, return_inverse=True)
-            logs = model.unigram_log10(model.counts(distinct))[code]
-            nodes, parents = ids, None
+            logs, nodes = np.zeros(len(ids)), ids
             for depth in range(2, len(model.levels) + 1):
                 parents = np.concatenate([[-1], nodes[:-1]])
                 parents[starts] = end if depth == 2 else -1
@@ -629,6 +653,11 @@ def _score(encoded: DataFrame, model: Model) -> DataFrame:
                 nodes[asked] = found
                 # Seen after this context: the kept probability; else the weight of unseen words times the lower order.
                 logs[asked] = np.where(found >= 0, log, log + logs[asked])
+                if depth == 2:
+                    # Only words that are not seen after the one before go down to the counts.
+                    alone = np.flatnonzero(nodes < 0)
+                    distinct, code = np.unique(ids[alone], return_inverse=True)
+                    logs[alone] += model.unigram_log10(model.counts(distinct))[code]
             score = np.add.reduceat(logs, starts) if len(starts) else np.zeros(0)
             columns = [*part.columns[:5], pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[:5], "score"])
