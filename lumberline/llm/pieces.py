@@ -90,13 +90,15 @@ class MergeRounds:
                 span, lowest = span[open_], lowest[open_]
                 if not len(symbol):
                     break
-            hit = rank == np.repeat(lowest, span)
-            at = np.flatnonzero(hit)
+            at = np.flatnonzero(rank == np.repeat(lowest, span))
             owner = word[at]
             # Only where a word has several pairs of its lowest rank can they overlap or make a better one.
-            if (owner[1:] == owner[:-1]).any():
-                hit = self._until_better(symbol, word, rank, result, self._leftmost(hit, word))
-                at = np.flatnonzero(hit)
+            again = owner[1:] == owner[:-1]
+            if again.any():
+                several = np.append(again, False)
+                several[1:] |= again
+                kept = self._until_better(symbol, word, rank, result, self._leftmost(at[several], owner[several]))
+                at = np.sort(np.concatenate([at[~several], kept]))
             symbol[at] = result[at]
             keep = np.ones(len(symbol), bool)
             keep[at + 1] = False
@@ -125,22 +127,19 @@ class MergeRounds:
         return np.where((right > at) & (word[right] == word[at]), rank, NONE), result
 
     @staticmethod
-    def _leftmost(hit: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Of pairs that overlap in a row, every second one from the left."""
-        follows = np.zeros(len(hit), bool)
-        follows[1:] = hit[1:] & hit[:-1] & (word[1:] == word[:-1])
-        if not follows.any():
-            return hit
-        place = np.arange(len(hit))
-        first = np.maximum.accumulate(np.where(hit & ~follows, place, 0))
-        return hit & ((place - first) % 2 == 0)
-
-    def _until_better(self, symbol, word, rank, result, hit: np.ndarray) -> np.ndarray:
+    def _leftmost(at: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Of pairs that overlap in a row, every second one from the left; ``owner`` has the word of each pair."""
+        follows = np.zeros(len(at), bool)
+        follows[1:] = (at[1:] == at[:-1] + 1) & (owner[1:] == owner[:-1])
+        place = np.arange(len(at))
+        first = np.maximum.accumulate(np.where(follows, 0, place))
+        return at[(place - first) % 2 == 0]
+
+    def _until_better(self, symbol, word, rank, result, at: np.ndarray) -> np.ndarray:
         """Keep a word's merges up to the first one that makes a pair of the same or a better rank."""
-        at = np.flatnonzero(hit)
         repeated = np.concatenate([[False], word[at[1:]] == word[at[:-1]]])
         if not repeated.any():
-            return hit
+            return at
         made = result[at]
         # The left neighbour may itself be a symbol that this round has just merged; the right one is not merged yet.
         left_at = at - 1
@@ -155,14 +154,12 @@ class MergeRounds:
         )
         better = best <= rank[at]
         if not better.any():
-            return hit
+            return at
         # A merge is kept if no earlier merge of its word was followed by a better pair.
         earlier = np.cumsum(better) - better
         first = np.flatnonzero(~repeated)
         base = np.repeat(earlier[first], np.diff(np.append(first, len(at))))
-        kept = np.zeros(len(hit), bool)
-        kept[at[earlier == base]] = True
-        return kept
+        return at[earlier == base]
 
 
 class PieceModel(MergeRounds):

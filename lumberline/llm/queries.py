@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,19 +43,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _crc_rows(df: DataFrame) -> DataFrame:
-    """``ids`` as the CRC of its bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("ids")
-            crc = pa.array([zlib.crc32(value.as_buffer()) for value in batch.column(at)], pa.int64())
-            columns = [crc if i == at else column for i, column in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, ["ids_crc32" if n == "ids" else n for n in batch.schema.names])
-
-    return df.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
-
-
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -70,7 +56,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, write coded files, read them back."""
     files = token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path(WORD_FILE), end_id=2)
-    return _crc_rows(token_files.read_token_files(files))
+    return token_files.read_token_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op3_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,3 +263,54 @@ def test_merged_words_are_placed_without_sorting_their_symbols(monkeypatch):
     assert flat.tolist() == [6, 4, 5, 9, 8, 6, 7] and counts.tolist() == [1, 0, 1, 1, 2, 2]
     flat, counts = pieces.MergeRounds(table).merge_symbols(np.zeros(0, np.int64), np.zeros(2, np.int64))
     assert flat.tolist() == [] and counts.tolist() == [0, 0]
+
+
+def test_stems_are_merged_once(monkeypatch):
+    """A stem that an earlier slice held is not merged again."""
+    merged, merge = [], pieces.MergeRounds.merge_symbols
+    monkeypatch.setattr(pieces.MergeRounds, "merge_symbols", lambda self, symbols, sizes: merged.extend(sizes) or merge(self, symbols, sizes))
+    encode, words = tokens.WordEncoder(WORDS), pa.array(["the", "Straße,", "the.", "x" * 17, "it's"])
+    first = encode.numbers(words)
+    assert sorted(merged) == [3, 7, 17]
+    again = encode.numbers(words)
+    # Only what is longer than a remembered stem comes back.
+    assert sorted(merged) == [3, 7, 17, 17]
+    assert [a.tolist() for a in again] == [a.tolist() for a in first]
+
+
+def test_the_table_of_stems_stays_bounded(word_encoder):
+    encode = tokens.WordEncoder(WORDS)
+    merged, merge = [], encode.stems.merge
+    encode.stems = tokens.StemIds(lambda data, sizes: merged.extend(sizes.tolist()) or merge(data, sizes), entries=40)
+    pick = random.Random(9)
+    often = [f"{'abcdefgh'[: n % 8 + 1]}{'é' * (n // 8)}xyz" for n in range(16)]
+    for _ in range(60):
+        rare = ["".join(pick.choices("aeiouñstr", k=pick.randrange(1, 30))) for _ in range(20)]
+        words = list(dict.fromkeys([w for pair in zip(often, rare) for w in pair] + ["Q" * 16, "Q" * 17, "q" * 15, "it's"]))
+        ids, counts = encode.numbers(pa.array(words))
+        assert [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])] == [word_encoder(w) for w in words]
+        assert len(encode.stems.low) <= 40 and len(encode.stems.flat) <= 40 * tokens.STEM_BYTES
+    # Only what was asked again outlives a full table.
+    count = len(merged)
+    encode.numbers(pa.array(often))
+    assert len(merged) == count
+
+
+@pytest.mark.parametrize("size", [1, 60, 1 << 21])
+def test_rows_handed_on_in_parts_keep_their_places(spark, word_encoder, monkeypatch, size):
+    monkeypatch.setattr(tokens, "ROW_BYTES", size)
+    texts = [*ODD, *["the cat"] * 20]
+    rows = packing.written(tokens.encode_documents(documents(spark, texts).coalesce(1), WORDS, 2), "ids").collect()
+    assert sorted(row["doc_id"] for row in rows) == list(range(len(texts)))
+    place = 0
+    for row in sorted(rows, key=lambda row: row["part_start"]):
+        ids = [*word_encoder(texts[row["doc_id"]]), 2]
+        assert (row["part"], row["part_start"], row["n_tokens"]) == (0, place, len(ids))
+        assert np.frombuffer(row["ids"], "<u2").tolist() == ids
+        place += len(ids)
+
+
+def test_op2_counts_its_sums_without_another_worker(spark):
+    """One Python worker a task: the CRC of the ids is Spark's own, so no second worker keeps an encoder in memory."""
+    plan = q.op2_token_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
