@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumberline.llm.store import small, written
@@ -106,19 +106,12 @@ def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW) -> DataF
 def piece_rows(sequences: DataFrame) -> DataFrame:
     """A row per piece with the CRC of its ids: what tells whether every id of every document lies in one piece."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
+    def with_crc(piece: Column) -> Column:
+        size = OUT_ID.itemsize
+        own = F.substring(F.col("ids"), (piece["offset"] * size + 1).cast("int"), (piece["length"] * size).cast("int"))
+        return F.struct(piece.alias("piece"), F.crc32(own).alias("ids_crc32"))
 
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length"]
-        for batch in batches:
-            rows = []
-            for number, padded, ids, pieces in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                for p in pieces:
-                    first = 4 * p["offset"]
-                    crc = zlib.crc32(memoryview(ids)[first : first + 4 * p["length"]])
-                    rows.append((p["doc_id"], p["start"], p["length"], crc, p["doc_tokens"], number, p["offset"], padded))
-            columns = list(zip(*rows)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
-
-    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, padded_length bigint"
-    return sequences.select("sequence_id", "padded_length", "ids", "pieces").mapInArrow(run, schema)
+    each = sequences.select("sequence_id", "padded_length", F.explode(F.transform("pieces", with_crc)).alias("own"))
+    return each.select(
+        "own.piece.doc_id", "own.piece.start", "own.piece.length", "own.ids_crc32", "own.piece.doc_tokens", "sequence_id", "own.piece.offset", "padded_length"
+    )

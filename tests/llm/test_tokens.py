@@ -310,7 +310,8 @@ def test_rows_handed_on_in_parts_keep_their_places(spark, word_encoder, monkeypa
         place += len(ids)
 
 
-def test_op2_counts_its_sums_without_another_worker(spark):
-    """One Python worker a task: the CRC of the ids is Spark's own, so no second worker keeps an encoder in memory."""
-    plan = q.op2_token_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInArrow") == 1
+@pytest.mark.parametrize("query", [q.op2_token_files, q.op8_concatenate_and_cut])
+def test_sums_of_ids_need_no_worker_of_their_own(spark, query):
+    """One Python worker a task: the CRC of ids is Spark's own, so no second worker keeps an encoder in memory."""
+    plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("FlatMapGroupsInArrow") == 1
